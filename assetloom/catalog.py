@@ -1,2 +1,6 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""All registered queries of the library proper."""
+
+from assetloom.plans import pixels, relational  # noqa: F401  they register themselves
+from assetloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
