@@ -9,7 +9,8 @@ from assetloom.schema import CATEGORIES, CATEGORY_ALIASES, COLOUR_ALIASES
 
 
 def clip(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
-    return F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi)))
+    """x within [lo, hi]; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi))))
 
 
 def ramp(x: Column, start: float, width: float) -> Column:
