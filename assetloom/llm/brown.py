@@ -11,26 +11,27 @@ with all three smoothed. Every text starts after, and closes with, an end token
 
 from __future__ import annotations
 
-import math
+import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import partial
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.llm.common import crc_of_id, cut, utf8
+from assetloom.llm.common import crc_of_id, cut, shared_dir, utf8
 
 FOLDS, HELD_OUT_FOLD = 5, 1
 #: Sizes of the model, the same for every corpus: words that are units of their own, buckets of endings, classes.
 FREQUENT, ENDINGS, CLASSES = 4096, 1024, 64
 ENDING_LETTERS = 3
 ROUNDS = 6
-#: Text bytes in a block of documents that is scored together with the counts of its words.
-BLOCK_BYTES = 16 << 20
+#: Distinct rare words in a block of documents, which is what is looked up together.
+BLOCK_WORDS = 150_000
 #: Distinct keys that a task counts before it hands the counts on.
 _PENDING = 400_000
 END_UNIT = 0
@@ -213,29 +214,27 @@ class Model:
     step: np.ndarray  # log10 P(class | class before)
     of_unit: np.ndarray
     in_class: np.ndarray  # log10 P(unit | class)
-    frequent_n: dict[bytes, int]
+    frequent_n: np.ndarray  # training count of the end and of each frequent word, by unit
     tokens_in: np.ndarray  # of each ending: training tokens and distinct words
     types_in: np.ndarray
-    end_n: int
     tokens: int
     types: int
 
-    def base(self, n):
-        return np.log10((n + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
+    def known_part(self, words: list[bytes]) -> tuple[np.ndarray, int, float, float]:
+        """(whether each word is rare, n_known, base_score, score), all but for the counts of the rare words.
 
-    def score(self, raw: bytes, rare: dict[bytes, int]) -> tuple[int, int, float, float]:
-        """(n_tokens, n_known, base_score, score); rare: training counts of the words that aren't frequent."""
-        words = words_of(raw)
-        frequent, rare_n = self.frequent_n, rare.get
-        n = np.array([frequent[w] if w in frequent else rare_n(w, 0) for w in words] + [self.end_n], dtype=float)
+        A rare word with training count n adds log10(n + 0.5) to both scores, and 1 to n_known if n > 0.
+        """
         unit = np.array([END_UNIT, *map(self.units.__getitem__, words), END_UNIT], dtype=np.int64)
         of = self.of_unit[unit]
-        total = self.step[of[:-1], of[1:]].sum() + self.in_class[unit[1:]].sum()
+        score = self.step[of[:-1], of[1:]].sum() + self.in_class[unit[1:]].sum()
         bucket = unit[1:] - 1 - self.units.frequent
-        among = bucket >= 0
-        b = bucket[among]
-        total += np.log10((n[among] + 0.5) / (self.tokens_in[b] + 0.5 * (self.types_in[b] + 1))).sum()
-        return len(words) + 1, int((n > 0).sum()), float(self.base(n).sum()), float(total)
+        rare = bucket >= 0
+        b = bucket[rare]
+        score -= np.log10(self.tokens_in[b] + 0.5 * (self.types_in[b] + 1)).sum()
+        n = self.frequent_n[unit[1:][~rare]]
+        base = np.log10(n + 0.5).sum() - len(bucket) * np.log10(self.tokens + 0.5 * (self.types + 1))
+        return rare, int((n > 0).sum()), float(base), float(score)
 
 
 def fit(train: DataFrame) -> tuple[Model, DataFrame]:
@@ -265,39 +264,61 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     step = np.log10((pairs + 8.0 * prior[None, :]) / (pairs.sum(axis=1)[:, None] + 8.0))
     members, tokens_of = np.bincount(of_unit, minlength=CLASSES), np.bincount(of_unit, weights=unit_n, minlength=CLASSES)
     in_class = np.log10((unit_n + 0.5) / (tokens_of + 0.5 * members)[of_unit])
-    model = Model(units, step, of_unit, in_class, {r.word.encode(): r.n for r in frequent}, tokens_in, types_in, end_n, (sums.n or 0) + end_n, sums.v + (end_n > 0))
+    frequent_n = np.array([end_n, *(r.n for r in frequent)], dtype=float)
+    model = Model(units, step, of_unit, in_class, frequent_n, tokens_in, types_in, (sums.n or 0) + end_n, sums.v + (end_n > 0))
     return model, tail
 
 
-def _rare_words_batches(batches, sent):
-    """The distinct words of each block that aren't frequent ones."""
-    frequent, seen = sent.value.frequent_n, {}
+class Places(dict):
+    """Numbers words in the order in which they are first asked for."""
 
-    def flush():
-        blocks = [b for b, words in seen.items() for _ in words]
-        out = pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([w.decode(errors="replace") for words in seen.values() for w in words], pa.string())], ["block", "word"])
-        seen.clear()
-        return out
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
+
+
+_PREPARED = "block long, words array<string>, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<int>"
+_PREPARED_ARROW = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.string())), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int32()))])
+
+
+def _prepare_batches(batches, sent):
+    """Documents with the places of their rare words in the block's list of words; the list is a row of its own."""
+    from pyspark import TaskContext
+
+    model, block, places = sent.value, TaskContext.get().partitionId() << 32, Places()
+
+    def word_list():
+        return pa.RecordBatch.from_pylist([{"block": block, "words": [w.decode(errors="replace") for w in places]}], schema=_PREPARED_ARROW)
 
-    waiting = 0
     for batch in batches:
-        for block, raw in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
-            own = set(words_of(raw)) - frequent.keys()
-            seen.setdefault(block, set()).update(own)
-            waiting += len(own)
-            if waiting > 2 * _PENDING:
-                yield flush()
-                waiting = 0
-    yield flush()
+        rows = []
+        for doc_id, raw in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
+            words = words_of(raw)
+            rare, n_known, base, score = model.known_part(words)
+            at = np.fromiter(map(places.__getitem__, compress(words, rare[:-1].tolist())), dtype=np.int32)
+            rows.append((block, None, doc_id, len(words) + 1, n_known, base, score, at))
+            if len(places) >= BLOCK_WORDS:
+                yield word_list()
+                block, places = block + 1, Places()
+        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, _PREPARED_ARROW, strict=True)], schema=_PREPARED_ARROW)
+    yield word_list()
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score_block(texts: pa.Table, words: pa.Table, sent) -> pa.Table:
-    rare = dict(zip((w.encode() for w in words["word"].to_pylist()), words["n"].to_pylist(), strict=True))
-    rows = [sent.value.score(x, rare) for x in texts["text"].to_pylist()]
-    return pa.table([texts["doc_id"].combine_chunks(), *(pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, list(_SCORED)[1:], strict=True))], schema=_SCORED)
+def _finish_block(docs: pa.Table, counts: pa.Table) -> pa.Table:
+    """Adds the rare words' part to the documents of a block; counts: (place, n) of the words that training holds."""
+    places = counts["place"].to_numpy()
+    rare = docs["rare"].combine_chunks()
+    at, lengths = rare.flatten().to_numpy(), rare.value_lengths().to_numpy(zero_copy_only=False)
+    n = np.zeros(max(at.max(initial=-1), places.max(initial=-1)) + 1)
+    n[places] = counts["n"].to_numpy()
+    doc = np.repeat(np.arange(len(docs)), lengths)
+    more = np.bincount(doc, weights=np.log10(n[at] + 0.5), minlength=len(docs))
+    known = np.bincount(doc, weights=n[at] > 0, minlength=len(docs)).astype(np.int64)
+    add = lambda name, x: pa.array(docs[name].to_numpy() + x)
+    return pa.table([docs["doc_id"], docs["n_tokens"], add("n_known", known), add("base_score", more), add("score", more)], schema=_SCORED)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -308,19 +329,19 @@ def score(docs: DataFrame) -> DataFrame:
     repeated rows count and are scored as often as they occur; other columns are ignored. Without
     training rows all probabilities come from the smoothing alone.
 
-    Documents are dealt by hash into blocks of bounded bytes. A block asks for the counts of its distinct
-    words, which meet the table of all counts in a join, so no task ever holds the whole vocabulary.
+    A task scores its documents but for the counts of rare words, which it lists for each block of
+    documents. The lists meet the table of all counts in a join and return to their blocks, so no
+    task ever holds the whole vocabulary and no text is shuffled.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
     held_out = crc_of_id(F.col("doc_id")) % FOLDS == HELD_OUT_FOLD
     model, tail = fit(rows.where(~held_out))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    # The hash of the text too: copies of one id don't meet in one block.
-    blocked = rows.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).alias("block"), "doc_id", "text")
-    sent = spark.sparkContext.broadcast(model)
-    asked = blocked.select("block", "text").mapInArrow(partial(_rare_words_batches, sent=sent), "block long, word string").distinct()
-    known = asked.join(tail, "word").select("block", "word", "n")
-    scored = blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(partial(_score_block, sent=sent), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    sent, path = spark.sparkContext.broadcast(model), f"{shared_dir(spark)}/brown-{uuid.uuid4().hex}"
+    rows.mapInArrow(partial(_prepare_batches, sent=sent), _PREPARED).write.parquet(path)
+    prepared = spark.read.schema(_PREPARED).parquet(path)
+    asked = prepared.where("words is not null").select("block", F.posexplode("words").alias("place", "word"))
+    known = asked.join(tail, "word").select(F.col("block").alias("of_block"), "place", "n")
+    blocks = prepared.where("words is null").select("block", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare")
+    scored = blocks.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(_finish_block, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

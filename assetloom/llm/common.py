@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from assetloom.session import table
+from assetloom.session import cut, shared_dir, table
 
 __all__ = ["WORD", "ascii_lower", "crc_of_id", "cut", "shared_dir", "table", "utf8", "word_count"]
 
@@ -16,21 +14,6 @@ __all__ = ["WORD", "ascii_lower", "crc_of_id", "cut", "shared_dir", "table", "ut
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="assetloom-")
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint, so that later reads survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def utf8(text: Column) -> Column:
     """The text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")
