@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -118,5 +118,5 @@ def job_progress(spark, sf_dir):
     from assetloom.session import shared_dir
 
     counted = progress.progress_counts(_events_stream(spark, sf_dir), ["event_type"])
-    name = f"progress_{abs(hash(tempfile.mktemp()))}"
+    name = f"progress_{uuid.uuid4().hex}"
     return progress.run_available(counted, "complete", name, f"{shared_dir(spark)}/{name}").withColumn("total", F.round("total", 4))

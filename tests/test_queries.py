@@ -33,6 +33,7 @@ def rows(found):
 def test_query(spark, small, duck, name):
     df = catalog.QUERIES[name](spark, small)
     got = df.collect()
+    assert got
     if name not in catalog.ORACLE_SQL:
         return
     want = duck.execute(catalog.ORACLE_SQL[name])
