@@ -21,7 +21,7 @@ from assetloom.llm.common import utf8
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 #: Units of text whose counts a Python worker remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
-_UNITS_AT_ONCE = 20_000
+_UNITS_AT_ONCE, _TEXTS_AT_ONCE = 20_000, 64
 
 
 def tokenizer_version(path: str) -> str:
@@ -87,17 +87,14 @@ class Counter:
         if not self.by_word:
             return self._encode(texts)
         out, known = [], self.known
-        for text in texts:
-            units = units_of(text)
-            counts = list(map(known.get, units))
-            if None in counts:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                missing = sorted(set(units) - known.keys())
-                for i in range(0, len(missing), _UNITS_AT_ONCE):
-                    known.update(zip(some := missing[i : i + _UNITS_AT_ONCE], self._encode(some), strict=True))
-                counts = list(map(known.get, units))
-            out.append(sum(counts))
+        for start in range(0, len(texts), _TEXTS_AT_ONCE):
+            cuts = [units_of(text) for text in texts[start : start + _TEXTS_AT_ONCE]]
+            missing = sorted({u for units in cuts for u in units if u not in known})
+            for i in range(0, len(missing), _UNITS_AT_ONCE):
+                known.update(zip(some := missing[i : i + _UNITS_AT_ONCE], self._encode(some), strict=True))
+            out += [sum(map(known.__getitem__, units)) for units in cuts]
+            if len(known) > REMEMBERED:
+                known.clear()
         return out
 
 
