@@ -88,7 +88,9 @@ def near_links(fps: DataFrame) -> DataFrame:
     most two bits exactly if some 64-bit number is within one bit of both, so a star around each
     such number joins the same components with 65 rows a fingerprint, however many copies there are.
     """
-    cells = fps.select("fp", F.explode(_grid_points(F.col("fp"))).alias("cell"))
+    # Each fingerprint becomes 33 rows: without an exchange of its own, few small partitions would make them all.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = fps.repartition(tasks, "fp").select("fp", F.explode(_grid_points(F.col("fp"))).alias("cell"))
     counts = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v"))
     shared = cut(counts.where("n > 1"))
     twos = shared.where("n = 2").where(_near("u", "v")).select("u", "v")
