@@ -133,7 +133,8 @@ def fill_cache(docs: DataFrame, tokenizer_path: str, cache: str) -> None:
     """
     version = tokenizer_version(tokenizer_path)
     texts = docs.select(content_digest(F.col("text")).alias("content"), F.coalesce(F.col("text"), F.lit("")).cast("string").alias("text"))
-    misses = texts.join(read_cache(docs, cache, version), "content", "left_anti").groupBy("content").agg(F.first("text").alias("text"))
+    distinct = texts.groupBy("content").agg(F.first("text").alias("text"))
+    misses = distinct.join(read_cache(docs, cache, version), "content", "left_anti")
     counted = misses.mapInArrow(partial(_count_batches, path=tokenizer_path), "content string, n_tokens long")
     counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
 
