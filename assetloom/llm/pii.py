@@ -196,7 +196,8 @@ def find(docs: DataFrame) -> DataFrame:
 
     Places count code points from 0, ends excluded; null texts count as empty and have no spans.
     Repeated and null ids keep their rows; other columns are ignored; no rows give no rows. A span of
-    the classifier never overlaps a strict one. Each text is searched once: its candidates go to the
+    the classifier never overlaps a strict one, and one that fails its form's check (part above 255,
+    check digit, number of digits) is evidence for the training but never a result. Each text is searched once: its candidates go to the
     shared folder and serve the votes, the training and the result.
     """
     found = cut(candidates(docs))
@@ -208,7 +209,7 @@ def find(docs: DataFrame) -> DataFrame:
         table = F.create_map(*[F.lit(x) for k, v in sorted(odds.items()) for x in (k, v)])
         known = lambda key: F.coalesce(F.try_element_at(table, key), F.lit(0.0))
         logit = lambda s: F.aggregate(s["traits"], known(s["kind"]), lambda a, t: a + known(F.concat(s["kind"], F.lit("|"), t)))
-        extra = F.filter("other", lambda s: logit(s) > 0)
+        extra = F.filter("other", lambda s: (s["form"] != "failed") & (logit(s) > 0))
     return found.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat(F.col("base"), extra)).alias("spans"))
 
 
