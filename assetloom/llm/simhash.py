@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from assetloom.llm.common import cut, utf8
+from assetloom.llm.common import cut, dealt_out, utf8
 from assetloom.operators.components import connected_components
 
 BITS = 64
@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     least = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = members.select("fp", "root").join(least, "root").select("fp", "component_id")
     of_fp = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return own.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return own.join(dealt_out(of_fp), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
