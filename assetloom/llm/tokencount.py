@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.llm.common import utf8
+from assetloom.llm.common import dealt_out, utf8
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 #: Units of text whose counts a Python worker remembers; beyond it the memory starts anew.
@@ -149,4 +149,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str) -> DataFrame:
     data = utf8(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(data).cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("content"))
     known = read_cache(docs, cache, tokenizer_version(tokenizer_path))
-    return rows.join(known, "content").select("doc_id", "n_bytes", "n_tokens")
+    return rows.join(dealt_out(known), "content").select("doc_id", "n_bytes", "n_tokens")
