@@ -33,7 +33,8 @@ ROUNDS = 6
 #: Distinct rare words in a block of documents, which is what is looked up together.
 BLOCK_WORDS = 150_000
 #: Distinct keys that a task counts before it hands the counts on.
-_PENDING = 400_000
+_PENDING = 250_000
+_ROWS_AT_ONCE = 256
 END_UNIT = 0
 
 
@@ -74,6 +75,13 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
+def _slices(batches):
+    """Few rows at a time: a batch may hold ten thousand texts, and Python's copies of them come on top."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, _ROWS_AT_ONCE):
+            yield batch.slice(start, _ROWS_AT_ONCE)
+
+
 def _texts(batch, at: int) -> list[bytes]:
     return batch.column(at).to_pylist()
 
@@ -86,7 +94,7 @@ def _word_batches(batches):
         counts.clear()
         return out
 
-    for batch in batches:
+    for batch in _slices(batches):
         for raw in _texts(batch, 0):
             counts.update(words_of(raw))
             if len(counts) > _PENDING:
@@ -108,7 +116,7 @@ def _bigram_batches(batches, units, size):
         parts.clear()
         return pa.RecordBatch.from_arrays([pa.array(codes // size, pa.int32()), pa.array(codes % size, pa.int32()), pa.array(counts, pa.int64())], ["u", "v", "n"])
 
-    for batch in batches:
+    for batch in _slices(batches):
         for raw in _texts(batch, 0):
             own = np.array([END_UNIT, *map(units.__getitem__, words_of(raw)), END_UNIT], dtype=np.int64)
             parts.append(own[:-1] * size + own[1:])
@@ -290,7 +298,7 @@ def _prepare_batches(batches, sent):
     def word_list():
         return pa.RecordBatch.from_pylist([{"block": block, "words": [w.decode(errors="replace") for w in places]}], schema=_PREPARED_ARROW)
 
-    for batch in batches:
+    for batch in _slices(batches):
         rows = []
         for doc_id, raw in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
             words = words_of(raw)
