@@ -431,6 +431,33 @@ def test_edited_copies_are_caught_and_clean_texts_left(spark, documents):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_lone_edited_copies_against_full_alignment(spark):
+    rng = np.random.default_rng(11)
+    items = {i: [f"w{rng.integers(0, 400)}" for _ in range(n)] for i, n in enumerate([3, 4, 12, 25, 40, 41])}
+    filler = lambda n: [f"f{rng.integers(0, 999)}" for _ in range(n)]
+    texts = []
+    for item in items.values():
+        for step in (3, 4, 5, 6):
+            texts.append([f"x{i}" if i % step == step - 1 else w for i, w in enumerate(item)])
+            texts.append([w for i, w in enumerate(item) if i % step])
+            texts.append([x for i, w in enumerate(item) for x in ([w, f"x{i}"] if i % step == 0 else [w])])
+        texts.append([x for w in item for x in (w, "between")])
+        texts.append(item[: len(item) // 2 + 1])
+        for share in (0.2, 0.3, 0.4):
+            texts.append([x for w in item for x in ([w], [w], ["new"], [], [w, "more"])[rng.integers(0, 5) if rng.random() < 2 * share else 0]])
+    texts = [filler(rng.integers(0, 60)) + t + filler(rng.integers(0, 60)) for t in texts]
+    # Exact copies elsewhere make an item's pairs commoner; a variant that repeats makes its own so.
+    texts += [filler(9) + w + filler(9) for w in items.values() for _ in range(3)] + [texts[45]] * 20
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    score = {(k, i): smith_waterman(w, t) / (2 * len(w)) for k, t in enumerate(texts) for i, w in items.items() if set(w) & set(t)}
+    for threshold in (decontaminate.THRESHOLD, 0.4, 0.8, 1.0):
+        want = sorted((k, i, round(s, 9)) for (k, i), s in score.items() if s >= threshold)
+        assert sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.contaminated(docs, bench, threshold).collect()) == want
+        kept = {r.doc_id for r in decontaminate.keep_clean(docs, bench, threshold).collect()}
+        assert kept == set(range(len(texts))) - {k for k, _, _ in want}
+
+
 def test_benchmark_in_several_passes(spark, small, documents, monkeypatch):
     bench = spark.read.parquet(f"{small}/benchmark.parquet")
     one = decontaminate.contaminated(documents, bench).collect()
