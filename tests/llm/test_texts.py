@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from assetloom.llm import brown, decontaminate, mixing, pii, quality, registry, sharding, simhash, tokencount
+from assetloom.llm import brown, decontaminate, mixing, nearcopies, pii, quality, registry, sharding, simhash, tokencount
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, fp string, word string"
 ODD = [None, "", " \n\t", "one", "two words", "A b\u00a0c", "x" * 5000, "é" * 300 + " " + "y z " * 2000, "7" * 4000, "+" * 3000, "same text here", "same text here"]
@@ -115,6 +115,31 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)}
 
 
+@pytest.mark.parametrize("crowded", [64, 2])
+def test_pipeline_stage_leaves_no_near_copies(spark, documents, odd, monkeypatch, crowded):
+    import corpus_pipeline
+
+    monkeypatch.setattr(nearcopies, "CROWDED", crowded)
+    rng = np.random.default_rng(8)
+    base = [[f"w{rng.integers(0, 5000)}" for _ in range(150)] for _ in range(5)]
+    rows = [(None if k == 9 else k % 60, " ".join("new" if rng.random() < 0.001 * (k % 40) else w for w in base[k % 5])) for k in range(70)]
+    edited = spark.createDataFrame(rows, "doc_id long, text string")
+    for docs in (edited, odd) if crowded == 2 else (edited, odd, documents):
+        kept = corpus_pipeline.keep_one_of_each(spark, docs, "")
+        assert kept.columns == docs.columns
+        left, had = rows_of(kept), rows_of(docs)
+        assert not Counter(left) - Counter(had)
+        sets = [frozenset(nearcopies.shingles((t or "").encode()).tolist()) for _, t in left]
+        alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+        assert not any(alike(a, b) for i, a in enumerate(sets) for b in sets[:i])
+        # Each text that went is joined to one that stayed by a chain of pairs at 0.8.
+        new, rest = set(sets), {frozenset(nearcopies.shingles((t or "").encode()).tolist()) for _, t in had} - set(sets)
+        while new:
+            new = {b for b in rest if any(alike(a, b) for a in new)}
+            rest -= new
+        assert not rest
+
+
 def test_keep_first_keeps_one_of_each_component(documents, odd):
     for docs in (documents, odd):
         kept = simhash.keep_first(docs)
