@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.session import cut
+from assetloom.session import cut, dealt_out
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.where("v > u").join(dealt_out(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(dealt_out(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v"))).where("u <> v")
 
 
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Self links and repeated links are ignored; no links give no rows. Each round is cut by a
     checkpoint; only a count and a digest of the links reach the driver. The number of rounds grows
-    with the logarithm of a component's size.
+    with the logarithm of a component's size. A node with many links is a hot key of the joins, whose
+    other sides are dealt out first, so that Spark can split it.
     """
     clean = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = cut(clean.distinct())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,9 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    A local master may go without the setting and gets a temporary folder; elsewhere that would give
+    wrong reads, so it is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and the executors of {master} share")
         configured = tempfile.mkdtemp(prefix="assetloom-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured
@@ -43,3 +51,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with a reliable checkpoint, so that later reads survive lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like ``cut``, as a compressed table in the shared folder: smaller for many rows."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt_out(df: DataFrame) -> DataFrame:
+    """Deals rows out evenly, so that a join that follows shuffles both sides for itself alone.
+
+    Spark splits the hot keys of such a join, but not where it reuses the partitioning of an
+    aggregate. For small rows: it costs one more exchange of ``df``.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
