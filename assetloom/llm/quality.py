@@ -1,12 +1,15 @@
 """Naive-Bayes support vectors: a linear hinge-loss quality model over scaled n-gram indicators.
 
-A text is read as two symbol sequences: the classes of its characters with runs collapsed, and for
-each word whether it repeats the word before. The indicators of their n-grams are scaled by the log
-ratio of the class counts, and a linear model is fitted to them by dual coordinate descent.
+A text has three families of indicators: its bytes (n-grams of 1 to 4, A-Z lower-cased), its words
+(single words and pairs, and lines that occur again) and its shape (n-grams of character classes with
+runs collapsed, and of whether a word repeats the one before). Each indicator is scaled by the log
+ratio of the class counts, each family to length one, and a linear model is fitted to them by dual
+coordinate descent.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from functools import partial
 
@@ -21,11 +24,18 @@ from assetloom.llm.common import crc_of_id
 SAMPLE_ROWS = 10_000
 THRESHOLD = 0.3
 FOLDS, HELD_OUT_FOLD = 5, 0
+#: One row in so many of the sample is kept from the first fit, to turn margins into probabilities.
+CALIBRATION = 4
 _LONGEST = 4
-_HASH_BITS = 16
 _REPEATS = 1 << (_LONGEST + 1)
-#: Hashed character-class n-grams, then the n-grams of repeats.
-SIZE = (1 << _HASH_BITS) + _REPEATS
+#: Hashed slots of each kind of indicator, and where the slots of each family start.
+_BYTE_BITS, _WORD_BITS, _LINE_SLOTS, _SHAPE_BITS = 17, 18, 8, 16
+_WORDS = 1 << _BYTE_BITS
+_LINES = _WORDS + (1 << _WORD_BITS)
+_SHAPES = _LINES + _LINE_SLOTS
+SIZE = _SHAPES + (1 << _SHAPE_BITS) + _REPEATS
+FAMILIES = (0, _WORDS, _SHAPES, SIZE)
+_ODD = np.uint32(2654435761)
 
 
 def _character_classes() -> np.ndarray:
@@ -39,16 +49,18 @@ def _character_classes() -> np.ndarray:
 
 
 _CLASSES = _character_classes()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
-def _ngram_slots(symbols: np.ndarray, flags: np.ndarray) -> None:
+def _ngram_slots(symbols: np.ndarray, width: int, bits: int, start: int, flags: np.ndarray) -> None:
     code = symbols
     for n in range(1, _LONGEST + 1):
         if len(symbols) < n:
             return
         if n > 1:
-            code = (code[:-1] << np.uint32(6)) | symbols[n - 1 :]
-        flags[((code * np.uint32(4) + np.uint32(n - 1)) * np.uint32(2654435761)) >> np.uint32(32 - _HASH_BITS)] = True
+            code = (code[:-1] << np.uint32(width)) | symbols[n - 1 :]
+        flags[start + (((code ^ np.uint32(n << 29)) * _ODD) >> np.uint32(32 - bits)).astype(np.int64)] = True
 
 
 def _repeat_slots(same: np.ndarray, flags: np.ndarray) -> None:
@@ -58,15 +70,35 @@ def _repeat_slots(same: np.ndarray, flags: np.ndarray) -> None:
             return
         if n > 1:
             code = code[:-1] * 2 + same[n - 1 :]
-        flags[(1 << _HASH_BITS) + (1 << n) + code] = True
+        flags[_SHAPES + (1 << _SHAPE_BITS) + (1 << n) + code] = True
+
+
+def _word_slots(words: list[bytes], flags: np.ndarray) -> None:
+    """Single words and pairs of neighbours."""
+    h = np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words))
+    for code in (h, (h[:-1] * np.uint32(31) + h[1:]) ^ np.uint32(1 << 31)):
+        flags[_WORDS + ((code * _ODD) >> np.uint32(32 - _WORD_BITS)).astype(np.int64)] = True
+
+
+def _line_slot(raw: bytes, flags: np.ndarray) -> None:
+    """Which share of the lines and sentences stood in the text before, in eighths; none if none did."""
+    lines = [x for line in raw.replace(b". ", b"\n").split(b"\n") if (x := line.strip())]
+    again = len(lines) - len(set(lines))
+    if again:
+        flags[_LINES + min(_LINE_SLOTS * again // len(lines), _LINE_SLOTS - 1)] = True
 
 
 def features(raw: bytes, flags: np.ndarray) -> np.ndarray:
-    """Sorted indices of the n-grams that the whole text has. flags: SIZE booleans, all false before and after."""
-    classes = _CLASSES[np.frombuffer(raw, dtype=np.uint8)]
-    if len(classes):
-        _ngram_slots(classes[np.flatnonzero(np.diff(classes, prepend=np.uint32(255)))], flags)
+    """Sorted slots of the indicators that the whole text has. flags: SIZE booleans, all false before and after."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    if len(data):
+        _ngram_slots(_LOWER[data].astype(np.uint32), 8, _BYTE_BITS, 0, flags)
+        classes = _CLASSES[data]
+        _ngram_slots(classes[np.flatnonzero(np.diff(classes, prepend=np.uint32(255)))], 6, _SHAPE_BITS, _SHAPES, flags)
     words = raw.split()
+    if words:
+        _word_slots(raw.lower().split(), flags)
+        _line_slot(raw, flags)
     if len(words) > 1:
         _repeat_slots(np.fromiter(map(bytes.__eq__, words, words[1:]), dtype=np.int64, count=len(words) - 1), flags)
     found = np.flatnonzero(flags)
@@ -74,19 +106,31 @@ def features(raw: bytes, flags: np.ndarray) -> np.ndarray:
     return found.astype(np.int32)
 
 
+def _parts(found: np.ndarray) -> list[np.ndarray]:
+    return np.split(found, np.searchsorted(found, FAMILIES[1:-1]))
+
+
+def _scaled(found: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """The ratios of a text's indicators, each family to length one."""
+    parts = [ratio[x] for x in _parts(found)]
+    return np.concatenate([v / np.sqrt((v * v).sum() + 1e-12) for v in parts])
+
+
 @dataclass
 class Model:
-    """Score of a text: logistic(slope * margin + shift), margin = bias + sum(weight) / sqrt(sum(norm))."""
+    """Score of a text: logistic(slope * margin + shift), margin = bias + the scaled ratios times the weights."""
 
     weight: np.ndarray
-    norm: np.ndarray
+    ratio: np.ndarray
     bias: float
     slope: float
     shift: float
 
+    def margin(self, found: np.ndarray) -> float:
+        return self.bias + float(self.weight[found] @ _scaled(found, self.ratio))
+
     def score(self, found: np.ndarray) -> float:
-        margin = self.bias + self.weight[found].sum() / np.sqrt(self.norm[found].sum() + 1e-12)
-        return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -35, 35))))
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(found) + self.shift, -35, 35))))
 
 
 def _log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -125,17 +169,30 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(b[0]), float(b[1])
 
 
+def _linear(rows: list[np.ndarray], y: np.ndarray) -> Model:
+    ratio = _log_count_ratios(rows, y)
+    w = _dual_coordinate_descent(rows, [_scaled(x, ratio) for x in rows], y, SIZE)
+    return Model(w[:SIZE], ratio, float(w[SIZE]), 1.0, 0.0)
+
+
 def fit_model(rows: list[np.ndarray], labels: list[int]) -> Model:
-    """With one class or no rows the model gives every text the smoothed share of label 1."""
+    """With one class or no rows the model gives every text the smoothed share of label 1.
+
+    The logistic curve is fitted to margins of rows that the fit for it hasn't seen, one in
+    ``CALIBRATION`` (to all rows where those or the others hold one class only); then all rows are fitted.
+    """
     y = np.where(np.array(labels, dtype=int) == 1, 1, -1)
     if len({*y.tolist()}) < 2:
         share = ((y > 0).sum() + 1) / (len(y) + 2)
         return Model(np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0, float(np.log(share / (1 - share))))
-    ratio = _log_count_ratios(rows, y)
-    values = [(v := ratio[x]) / np.sqrt((v * v).sum() + 1e-12) for x in rows]
-    w = _dual_coordinate_descent(rows, values, y, SIZE)
-    margin = np.array([w[SIZE] + (w[x] * v).sum() for x, v in zip(rows, values, strict=True)])
-    return Model(w[:SIZE] * ratio, ratio * ratio, float(w[SIZE]), *_platt(margin, y))
+    model = _linear(rows, y)
+    unseen = np.arange(len(y)) % CALIBRATION == 0
+    first, judged = model, ~unseen | unseen
+    if all(len({*y[x].tolist()}) == 2 for x in (unseen, ~unseen)):
+        first, judged = _linear([x for x, u in zip(rows, unseen, strict=True) if not u], y[~unseen]), unseen
+    margin = np.array([first.margin(rows[i]) for i in np.flatnonzero(judged)])
+    model.slope, model.shift = _platt(margin, y[judged])
+    return model
 
 
 def _raw(column) -> list[bytes]:
@@ -145,8 +202,8 @@ def _raw(column) -> list[bytes]:
 def _feature_batches(batches):
     flags = np.zeros(SIZE, dtype=bool)
     for batch in batches:
-        found = [features(x, flags) for x in _raw(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["quality", "found"])
+        found = [features(x, flags).tobytes() for x in _raw(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "quality", "found"])
 
 
 def training_labels(labels: DataFrame, held_out_fold: int | None = HELD_OUT_FOLD) -> DataFrame:
@@ -161,12 +218,15 @@ def training_labels(labels: DataFrame, held_out_fold: int | None = HELD_OUT_FOLD
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on at most ``SAMPLE_ROWS`` labelled rows; that bound lets the label side be broadcast.
 
-    Repeated ids among the documents are used once for each id at most.
+    An id that repeats among the documents is used once (the text with the least indicators in byte
+    order), so at most ``SAMPLE_ROWS`` rows reach the driver. They are put in the order of their ids,
+    so the same tables give the same model.
     """
     sample = training_labels(labels)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = texts.select("quality", "text").mapInArrow(_feature_batches, "quality int, found array<int>").limit(2 * SAMPLE_ROWS).collect()
-    return fit_model([np.array(r.found, dtype=np.int32) for r in found], [r.quality for r in found])
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
+    found = texts.mapInArrow(_feature_batches, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, quality int, found binary")
+    rows = sorted(found.groupBy("doc_id").agg(F.min(F.struct("found", "quality")).alias("one")).select("doc_id", "one.*").collect())
+    return fit_model([np.frombuffer(r.found, dtype=np.int32) for r in rows], [r.quality for r in rows])
 
 
 def _score_batches(batches, model):
