@@ -16,12 +16,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.llm.common import dealt_out, utf8
+from assetloom.llm.common import cut, dealt_out, utf8
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 #: Units of text whose counts a Python worker remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
 _UNITS_AT_ONCE, _TEXTS_AT_ONCE = 20_000, 64
+#: So many digests of texts to encode (64 letters each) are broadcast; more are joined by shuffling.
+SENT_DIGESTS = 400_000
 
 
 def tokenizer_version(path: str) -> str:
@@ -112,7 +114,8 @@ def _count_batches(batches, path):
 def read_cache(docs: DataFrame, cache: str, version: str) -> DataFrame:
     """(content, n_tokens) that the cache holds for this tokenizer; nothing where there is no cache yet.
 
-    Two jobs may have appended the same digest; it is read once.
+    The cache is stored by tokenizer, so others' counts aren't read. Two jobs may have appended the
+    same digest; it is read once.
     """
     spark = docs.sparkSession
     try:
@@ -124,6 +127,19 @@ def read_cache(docs: DataFrame, cache: str, version: str) -> DataFrame:
     return stored.where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def _texts_of_misses(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(content, text) of each distinct text whose digest is not in ``known``.
+
+    Digests alone are compared first. Only texts that miss are shuffled, if their digests are few
+    enough to be sent to the tasks or nothing is known.
+    """
+    texts = docs.select(content_digest(F.col("text")).alias("content"), F.coalesce(F.col("text"), F.lit("")).cast("string").alias("text"))
+    if not known.isEmpty():
+        misses = cut(texts.select("content").distinct().join(known, "content", "left_anti"))
+        texts = texts.join(F.broadcast(misses) if misses.count() <= SENT_DIGESTS else misses, "content", "left_semi")
+    return texts.groupBy("content").agg(F.first("text").alias("text"))
+
+
 def fill_cache(docs: DataFrame, tokenizer_path: str, cache: str) -> None:
     """Encodes each distinct text that the cache lacks and appends its count.
 
@@ -132,11 +148,9 @@ def fill_cache(docs: DataFrame, tokenizer_path: str, cache: str) -> None:
     executors.
     """
     version = tokenizer_version(tokenizer_path)
-    texts = docs.select(content_digest(F.col("text")).alias("content"), F.coalesce(F.col("text"), F.lit("")).cast("string").alias("text"))
-    distinct = texts.groupBy("content").agg(F.first("text").alias("text"))
-    misses = distinct.join(read_cache(docs, cache, version), "content", "left_anti")
+    misses = _texts_of_misses(docs, read_cache(docs, cache, version))
     counted = misses.mapInArrow(partial(_count_batches, path=tokenizer_path), "content string, n_tokens long")
-    counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache: str) -> DataFrame:
