@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm.common import ascii_lower
+from assetloom.llm.common import ascii_lower, dealt_out
 
 TOKEN = "[a-z0-9]+"
 #: Fixed rules by host and path.
@@ -25,7 +25,7 @@ HOST_RULES = [
     ("block", "com", "/de/"),
 ]
 #: Words that mark a host as unwanted when no host rule fits: each a label or a part between hyphens.
-BLOCKED_WORDS = ["ads", "adult", "casino", "malware", "phishing", "porn", "spam", "viagra", "xxx"]
+BLOCKED_WORDS = ["ads", "adult", "casino", "escort", "gambling", "lottery", "malware", "phishing", "porn", "spam", "torrent", "viagra", "warez", "xxx"]
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,9 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     A host rule wins over a pattern rule, then the longest wins, equal lengths by name; ``rule`` is
     null unless a host rule fits. Nothing fits: allow. Null URLs and URLs without ``://`` have empty
     host and path. Null and repeated page ids keep their rows. Each distinct host and path is judged
-    once, so a URL or host that a third of all pages have is no hot group; the html is never read.
+    once, so a URL or host that a third of all pages have is no hot group, and the join that hands the
+    verdicts to the pages shuffles both sides for itself, so that Spark can split a hot URL; the html is
+    never read.
     The rules come from the driver, which bounds the side that is broadcast.
     """
     spark = pages.sparkSession
@@ -100,7 +102,7 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     fetched = urls.select("*", F.explode(F.concat(_tokens(F.col("key")), F.array(F.lit(None).cast("string")))).alias("url_token"))
     tried = fetched.join(F.broadcast(index), F.col("url_token").eqNullSafe(F.col("token"))).where(F.rlike("key", F.col("regex")))
     best = tried.groupBy("host", "path").agg(F.max_by(F.struct("rule_name", "verdict", "is_host_rule"), F.struct("is_host_rule", "weight", "rule_name")).alias("best"))
-    judged = rows.join(best, ["host", "path"], "left")
+    judged = rows.join(dealt_out(best), ["host", "path"], "left")
     return judged.select(
         "page_id", "host", "path",
         F.when(F.col("best.is_host_rule"), F.col("best.rule_name")).alias("rule"),
