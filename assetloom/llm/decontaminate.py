@@ -204,19 +204,31 @@ def _clean_batches(batches, index, place, threshold):
         yield batch.filter(pa.array([not copies_in(index.value, x, threshold) for x in _raw(batch.column(place))], pa.bool_()))
 
 
+def _passes(one: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of item ids, both ends included, of at most WORDS_PER_PASS words or of one item.
+
+    Only item ids and lengths reach the driver, a few bytes an item.
+    """
+    out, held = [], 0
+    for r in sorted(one.select("item_id", word_count(F.col("text")).alias("n")).toLocalIterator()):
+        if not out or held + r.n > WORDS_PER_PASS:
+            out.append((r.item_id, r.item_id))
+            held = 0
+        out[-1], held = (out[-1][0], r.item_id), held + r.n
+    return out or [(0, 0)]
+
+
 def indexes(docs: DataFrame, benchmark: DataFrame, threshold: float):
-    """The indexes of the rarest links of the benchmark, one for each pass of at most WORDS_PER_PASS item words.
+    """The indexes of the rarest links of the benchmark, one for each pass (see ``_passes``).
 
     Items with null text or id are left out; an id that repeats keeps its least text.
     """
     if not 1 < threshold * LEAST_WORDS <= LEAST_WORDS:
         raise ValueError(f"threshold {threshold}: a copy of {LEAST_WORDS} words needs more than one of them, so more than 1 / {LEAST_WORDS}, and 1 at most")
     one = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
-    total = one.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
-    passes = max(1, -(-total // WORDS_PER_PASS))
     context = docs.sparkSession.sparkContext
-    for k in range(passes):
-        rows = one.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()
+    for low, high in _passes(one):
+        rows = one.where(F.col("item_id").between(low, high)).collect()
         index = Index.of({r.item_id: r.text.encode() for r in rows})
         sent = context.broadcast(index)
         counted = docs.select(F.col("text").cast("string")).mapInArrow(partial(_count_batches, index=sent), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
