@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from assetloom.llm.common import cut
@@ -34,9 +34,14 @@ LOOSE = {
     "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])",
 }
 _ANY_LOOSE = "|".join(LOOSE.values())
-#: Fixed lists of the gazetteer.
-TOP_DOMAINS = ["com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "it", "nl", "eu", "ch", "at", "us", "ca"]
-CALLING_CODES = ["1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "82", "86", "90", "91"]
+#: Fixed values of the gazetteer: common top-level domains and, as a pattern, the country calling codes in use.
+TOP_DOMAINS = [
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "ai", "co", "me", "tv", "app", "dev", "xyz", "online", "eu", "example", "test",
+    "ae", "ar", "at", "au", "be", "bg", "br", "by", "ca", "ch", "cl", "cn", "cz", "de", "dk", "ee", "eg", "es", "fi", "fr", "gr", "hk", "hr", "hu", "id", "ie", "il", "in", "ir", "is", "it",
+    "jp", "ke", "kr", "kz", "lt", "lu", "lv", "ma", "mx", "my", "ng", "nl", "no", "nz", "pe", "ph", "pk", "pl", "pt", "ro", "rs", "ru", "sa", "se", "sg", "si", "sk", "th", "tn", "tr", "tw",
+    "ua", "uk", "us", "uy", "ve", "vn", "za",
+]
+CALLING_CODES = "1|7|2(?:[07]|[1-689][0-9])|3(?:[0-4]|6|9|[578][0-9])|4(?:[013-9]|2[0-9])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|[7-9][0-9])|8(?:[1246]|[0578][0-9])|9(?:[0-58]|[679][0-9])"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
 CONTEXT = {
     "email": r"\b(?:e-?mail|mail|contact|write|reach|correo|courriel|kontakt)\b",
@@ -75,7 +80,7 @@ def _gazetteer(kind: str, x: Column) -> Column:
     elif kind == "card":
         known = _digits(x).rlike(ISSUERS)
     else:
-        known = x.rlike(r"^\+(?:" + "|".join(CALLING_CODES) + ")") | x.rlike(r"^\(?[2-9]")
+        known = x.rlike(rf"^\+(?:{CALLING_CODES})") | x.rlike(r"^\(?[2-9]")
     return _vote(known, ~known)
 
 
@@ -99,22 +104,7 @@ def _candidate(kind: str, x: Column, before: Column, after: Column, gap: Column,
         F.concat(F.lit("digits="), F.least(F.length(_digits(x)), F.lit(20)).cast("string")),
         F.concat(F.lit("gazetteer="), votes[1].cast("string")), F.concat(F.lit("context="), votes[2].cast("string")),
     )
-    return F.struct(F.lit(kind).alias("kind"), gap.alias("gap"), F.length(x).alias("size"), form.alias("form"), votes.alias("votes"), traits.alias("traits"))
-
-
-_SPAN = "struct<start:bigint,place:int,end:bigint,kind:string,form:string,votes:array<int>,traits:array<string>>"
-
-
-def _placed(candidates: Column) -> Column:
-    """Turns gaps and lengths into code-point places by a running sum over one text's candidates."""
-    index = lambda kind: sum((F.when(kind == k, i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0))
-
-    def step(acc, c):
-        start = acc["at"] + c["gap"]
-        span = F.struct(start.alias("start"), index(c["kind"]).alias("place"), (start + c["size"]).alias("end"), c["kind"].alias("kind"), c["form"].alias("form"), c["votes"].alias("votes"), c["traits"].alias("traits"))
-        return F.struct((start + c["size"]).alias("at"), F.concat(acc["spans"], F.array(span.cast(_SPAN))).alias("spans"))
-
-    return F.aggregate(candidates, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans")), step, lambda acc: acc["spans"])
+    return F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("place"), gap.alias("gap"), F.length(x).cast("bigint").alias("size"), form.alias("form"), votes.alias("votes"), traits.alias("traits"))
 
 
 def _cuts(df: DataFrame, name: str, pattern: str, may_hold: str) -> DataFrame:
@@ -124,8 +114,12 @@ def _cuts(df: DataFrame, name: str, pattern: str, may_hold: str) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, strict spans array, other spans array), one row for each row of ``docs``."""
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("string").alias("text"))
+    """(pii_row, doc_id, runs), one row for each row of ``docs``. pii_row numbers the rows.
+
+    runs: an array for each search of the text, its candidates in the order of the text, each with
+    the gap from the end of the one before and its length.
+    """
+    df = docs.select(F.monotonically_increasing_id().alias("pii_row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     for kind in KINDS:
         df = _cuts(df, kind, STRICT[kind], MAY_HOLD[kind])
     df = _cuts(df, "loose", _ANY_LOOSE, _ANY_LOOSE)
@@ -138,13 +132,26 @@ def candidates(docs: DataFrame) -> DataFrame:
         as_kind = lambda kind: _candidate(kind, x, before, after, gap, F.lit("loose"))
         return F.when(x.rlike(r"[\[(]at[\])]"), as_kind("email")).when(x.contains(":"), as_kind("ip")).otherwise(as_kind("phone"))
 
-    strict = {kind: around(kind, lambda x, before, after, gap, kind=kind: _candidate(kind, x, before, after, gap, F.when(_valid(kind, x), "strict").otherwise("failed"))) for kind in KINDS}
-    found = df.select("doc_id", *[_placed(c).alias(k) for k, c in strict.items()], _placed(around("loose", loose)).alias("loose"))
-    found = found.withColumn("all", F.concat(*KINDS))
-    found = found.withColumn("base", F.filter("all", lambda s: s["form"] == "strict"))
-    free = lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))
-    other = F.filter(F.concat(F.filter("all", lambda s: s["form"] == "failed"), F.col("loose")), free)
-    return found.select("doc_id", "base", other.alias("other"))
+    strict = [around(kind, lambda x, before, after, gap, kind=kind: _candidate(kind, x, before, after, gap, F.when(_valid(kind, x), "strict").otherwise("failed"))) for kind in KINDS]
+    return df.select("pii_row", "doc_id", F.array(*strict, around("loose", loose)).alias("runs"))
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """(pii_row, kind, place, start, end, form, votes, traits, free), one row for each candidate.
+
+    A running sum over each search gives the places in the text. free: whether no strict span
+    overlaps the candidate, by the furthest end of those that start before it and the first start of
+    the others. Windows do both, so a text with very many candidates takes little more than linear time.
+    """
+    runs = found.select("pii_row", F.posexplode("runs").alias("run", "candidates"))
+    each = runs.select("pii_row", "run", F.posexplode("candidates").alias("i", "c")).select("pii_row", "run", "i", "c.*")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("pii_row", "run").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    each = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
+    strict, by_start = F.col("form") == "strict", Window.partitionBy("pii_row").orderBy("start")
+    before = F.max(F.when(strict, F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(strict, F.col("start"))).over(by_start.rangeBetween(0, Window.unboundedFollowing))
+    free = ~(F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False)))
+    return each.select("pii_row", "kind", "place", "start", "end", "form", "votes", "traits", free.alias("free"))
 
 
 def reliabilities(spans: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
@@ -192,25 +199,29 @@ def classifier(spans: DataFrame, patterns: DataFrame) -> dict[str, float]:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, spans): arrays of (start, place, end, kind, ...) by start, then kind.
+    """(doc_id, base, spans): arrays of (start, place, end, kind) by start, then kind; one row for each row of ``docs``.
 
     Places count code points from 0, ends excluded; null texts count as empty and have no spans.
     Repeated and null ids keep their rows; other columns are ignored; no rows give no rows. A span of
     the classifier never overlaps a strict one, and one that fails its form's check (part above 255,
-    check digit, number of digits) is evidence for the training but never a result. Each text is searched once: its candidates go to the
-    shared folder and serve the votes, the training and the result.
+    check digit, number of digits) is evidence for the training but never a result. Each text is
+    searched once: its candidates go to the shared folder and serve the votes, the training and the
+    result. After that only candidates are shuffled, by the row that they come from.
     """
     found = cut(candidates(docs))
-    spans = found.select(F.explode(F.concat("base", "other")).alias("s")).select("s.kind", "s.votes", "s.traits")
-    patterns, _ = reliabilities(spans)
-    odds = classifier(spans, patterns)
-    extra = F.array().cast(f"array<{_SPAN}>")
-    if odds:
-        table = F.create_map(*[F.lit(x) for k, v in sorted(odds.items()) for x in (k, v)])
-        known = lambda key: F.coalesce(F.try_element_at(table, key), F.lit(0.0))
-        logit = lambda s: F.aggregate(s["traits"], known(s["kind"]), lambda a, t: a + known(F.concat(s["kind"], F.lit("|"), t)))
-        extra = F.filter("other", lambda s: (s["form"] != "failed") & (logit(s) > 0))
-    return found.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat(F.col("base"), extra)).alias("spans"))
+    spans = cut(placed(found.where(F.exists("runs", lambda run: F.size(run) > 0))))
+    judged = spans.where((F.col("form") == "strict") | F.col("free"))
+    patterns, _ = reliabilities(judged)
+    odds = classifier(judged, patterns)
+    table = F.create_map(*[F.lit(x) for k, v in sorted(odds.items()) for x in (k, v)]) if odds else F.create_map().cast("map<string,double>")
+    known = lambda key: F.coalesce(F.try_element_at(table, key), F.lit(0.0))
+    logit = F.aggregate("traits", known(F.col("kind")), lambda a, t: a + known(F.concat("kind", F.lit("|"), t)))
+    extra = (F.col("form") == "loose") & F.col("free") & (logit > 0)
+    span = F.struct("start", "place", "end", "kind")
+    strict = F.col("form") == "strict"
+    kept = spans.where(strict | extra).groupBy("pii_row").agg(F.array_sort(F.collect_list(F.when(strict, span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"))
+    none = F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>")
+    return found.select("pii_row", "doc_id").join(kept, "pii_row", "left").select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
