@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from assetloom.session import cut, shared_dir, table
+from assetloom.session import cut, dealt_out, shared_dir, stored, table
 
-__all__ = ["WORD", "ascii_lower", "crc_of_id", "cut", "dealt_out", "shared_dir", "table", "utf8", "word_count"]
+__all__ = ["WORD", "ascii_lower", "crc_of_id", "cut", "dealt_out", "shared_dir", "stored", "table", "utf8", "word_count"]
 
 #: A word is a maximal run of characters other than ASCII white space. ``bytes.split()`` cuts
 #: UTF-8 at the same six characters, so Python and SQL see the same words.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def dealt_out(df: DataFrame) -> DataFrame:
-    """Deals rows out evenly, so that a join that follows shuffles both sides for itself alone.
-
-    Spark splits the hot keys of such a join, but not where it reuses the partitioning of an
-    aggregate. For small rows: it costs one more exchange of ``df``.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def utf8(text: Column) -> Column:
     """The text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

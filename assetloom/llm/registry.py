@@ -31,7 +31,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sharding.assign(table(spark, sf_dir, "documents"))
+    """The shards come from a stored map, and those of one shard more from its next version."""
+    path = sharding.new_map(spark, sharding.SHARDS)
+    maps = {"shard": sharding.read_map(spark, path, 1), "grown_shard": sharding.read_map(spark, path, sharding.grow(spark, path, 1, sharding.SHARDS + 1))}
+    rows = sharding.assign(table(spark, sf_dir, "documents"), maps)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot", "slot_bytes")
 
 

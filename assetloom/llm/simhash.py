@@ -114,14 +114,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     ``MAX_DISTANCE`` differing bits join. Null texts are empty; empty texts have fingerprint 0 and
     are linked like any other. Null ids keep their row and never become a component_id unless the
     component has no other id (then null). Repeated rows stay repeated. Other columns are ignored.
-    Copies collapse to one fingerprint before anything is compared.
+    Copies collapse to one fingerprint before anything is compared. Fingerprints at grid points that
+    more than ``CROWDED`` share are linked by shared one-bit neighbours, which finds the same components.
     """
     own = cut(fingerprints(docs, shingle_words))
     fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     members = connected_components(near_links(fps.select("fp"))).withColumnRenamed("node", "fp")
     members = members.join(fps, "fp")
     least = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = members.select("fp", "root").join(least, "root").select("fp", "component_id")
+    linked = members.select("fp", "root").join(dealt_out(least), "root").select("fp", "component_id")
     of_fp = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     return own.join(dealt_out(of_fp), "fp").select("doc_id", "fp", "component_id")
 

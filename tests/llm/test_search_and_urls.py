@@ -100,9 +100,10 @@ def test_sql_agrees(spark, small):
         assert rows == sorted(map(repr, (tuple(r) for r in df.select(names).collect())))
 
 
-def test_pipeline_stages(spark, small, tmp_path):
+def test_pipeline_stages(spark, small):
+    """The run against its stages one by one, each of which has tests of its own."""
     import corpus_pipeline
-    from assetloom.llm import decontaminate, mixing, quality, sharding, simhash
+    from assetloom.llm import decontaminate, mixing, nearcopies, quality
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels, bench = (spark.read.parquet(f"{small}/{x}.parquet") for x in ("labels", "benchmark"))
@@ -110,11 +111,31 @@ def test_pipeline_stages(spark, small, tmp_path):
     model = quality.fit(docs, labels)
     good = {r.doc_id for r in quality.score(docs, model).where(f"score >= {quality.THRESHOLD}").collect()}
     step = docs.where(docs.doc_id.isin(good))
-    step = step.where(step.doc_id.isin({r.component_id for r in simhash.near_duplicates(step).collect()}))
+    step = step.where(step.doc_id.isin({r.doc_id for r in nearcopies.keep_one(step).collect()}))
     hit = {r.doc_id for r in decontaminate.contaminated(step, bench).collect()}
     step = step.where(~step.doc_id.isin(hit)) if hit else step
     copies = {r.doc_id: len(r.copies) for r in mixing.mix_plan(step).collect()}
-    got = corpus_pipeline.run(spark, small).collect()
+    out = corpus_pipeline.run(spark, small)
+    assert out.columns == [*docs.columns, "size", "text_crc32", "virtual_slot", "slot_bytes", "shard", "slot"]
+    got, texts = out.collect(), {r.doc_id: r.text for r in docs.collect()}
     count = {k: sum(r.doc_id == k for r in got) for k in copies}
     assert count == copies and len(got) == sum(copies.values())
-    assert all(r.shard == sharding.slot_map(16)[r.virtual_slot] for r in got)
+    assert all(r.text == texts[r.doc_id] and 0 <= r.shard < 16 for r in got)
+    for k in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_pipeline_stages_take_odd_and_no_rows(spark, small):
+    """Nulls in every column, repeated ids with other texts, empty and long texts, more columns; and no rows at all."""
+    import corpus_pipeline
+
+    rows = [(i % 40 if i % 9 else None, [None, "", "one", f"text {i} of some words that differ a little", "long " * 50_000][i % 5], "en" if i % 2 else None, [None, "a", "b"][i % 3], None, "x", "y") for i in range(120)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string, shard string")
+    for docs in (odd, odd.limit(0)):
+        had = {repr(r) for r in docs.collect()}
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, small)
+            assert out.schema == docs.schema and {repr(r) for r in out.collect()} <= had
+            docs = out if stage is not corpus_pipeline.keep_quality else docs
+        out = corpus_pipeline.shard(spark, docs, small)
+        assert out.count() == docs.count() and {"text", "size", "shard", "slot"} <= set(out.columns)

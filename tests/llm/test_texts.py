@@ -304,6 +304,41 @@ def test_mixing_meets_its_targets(documents, odd, empty):
         assert all(len(r.copies) <= 3 and all(0 <= k < mixing.SHARDS for k in r.copies) for r in plan)
 
 
+def test_the_tree_decides_what_is_read(documents):
+    """Every source's blocks are dealt out completely, and the words of each shard near its blocks' words."""
+    plan = mixing.mix_plan(documents).collect()
+    words, target = Counter(), sum({r.source: r.target for r in plan}.values())
+    for r in plan:
+        for k in r.copies:
+            words[k] += r.size
+    assert max(abs(words[k] - target / 16) for k in range(16)) <= 3 * mixing.BLOCK_WORDS + 2 * max(r.size for r in plan)
+
+
+def test_mixing_of_many_sources_and_of_more_blocks_than_one_draw_allows(spark, monkeypatch):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 9).cast("int")).alias("text"), (F.col("id") % 700).cast("string").alias("source"))
+    want = mixing.mix_plan(docs).drop("copies").collect()
+    monkeypatch.setattr(mixing, "SENT_SOURCES", 10)
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 8)
+    monkeypatch.setattr(mixing, "_LEAST_RANGES", 2)
+    monkeypatch.setattr(mixing, "RANGE_WORDS", 64)
+    got = mixing.mix_plan(docs).collect()
+    same([tuple(r)[:-1] for r in got], [tuple(r) for r in want])
+    taken = Counter()
+    for r in got:
+        taken[r.source] += len(r.copies) * r.size
+    assert all(abs(taken[r.source] - r.target) <= 4 + 1e-6 for r in got)
+
+
+def test_mix_of_odd_rows(odd, empty):
+    """Null and equal ids, null sources, a source without words, columns with the operator's own names."""
+    named = odd.withColumns({"mix_epoch": F.lit(1), "copies": F.lit("c"), "place": F.lit("p"), "target": F.lit("t"), "plan_key": F.lit("k")})
+    for docs in (odd, named, empty):
+        out = mixing.mix(docs)
+        assert out.columns == [*docs.columns, "mix_shard", "mix_order"]
+        had = Counter(map(repr, docs.collect()))
+        assert all(n <= 3 * had[k] for k, n in Counter(map(repr, out.select(docs.columns).collect())).items())
+
+
 def test_splitting_tree_keeps_quotas():
     quotas = np.array([100, 7, 0, 33])
     split = mixing.split_quotas(quotas, 5, np.random.default_rng(1))
@@ -340,6 +375,53 @@ def test_quality_without_usable_labels(spark, odd, empty):
     assert quality.score(empty, model).count() == 0 and quality.keep_good(odd, model).count() == odd.count()
 
 
+def test_quality_tells_texts_apart_by_their_words_alone(spark):
+    """Good and bad texts of one shape: the same lengths, case and marks, other words."""
+    rng = np.random.default_rng(12)
+    words = [["".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(300)] for _ in range(2)]
+    text = lambda k: " ".join(words[k][rng.integers(0, 300)] if rng.random() < 0.3 else words[rng.integers(0, 2)][rng.integers(0, 300)] for _ in range(40)) + "."
+    docs = spark.createDataFrame([(i, text(i % 2)) for i in range(800)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(800)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    held = [r for r in quality.score(docs, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert np.mean([(r.score >= 0.5) == r.doc_id % 2 for r in held]) > 0.9
+
+
+def test_quality_scores_odd_rows_and_is_the_same_again(spark, documents, odd, empty):
+    from conftest import DATA
+
+    labels = spark.read.parquet(f"{DATA}/sf0.001/labels.parquet")
+    model = quality.fit(documents, labels)
+    again = quality.fit(documents.repartition(7).unionByName(documents), labels)
+    assert (again.weight == model.weight).all() and (again.slope, again.shift) == (model.slope, model.shift)
+    long = spark.createDataFrame([(1, "word " * 300_000), (None, None)], "doc_id long, text string")
+    for docs in (odd, long, empty):
+        got = quality.score(docs, model).collect()
+        same([r.doc_id for r in got], [k for k, _ in rows_of(docs)])
+        assert all(0 <= r.score <= 1 for r in got)
+        kept = quality.keep_good(docs, model)
+        assert kept.schema == docs.schema and kept.count() == sum(r.score >= quality.THRESHOLD for r in got)
+
+
+def test_quality_features_against_plain_sets():
+    """Two texts share a slot exactly where they share an n-gram, up to collisions of hashes, and the model is its formula."""
+    flags = np.zeros(quality.SIZE, dtype=bool)
+    grams = lambda t, n: {t.lower()[i : i + n] for i in range(len(t) - n + 1)}
+    for t in ("Abc abc. Abc", "one two two\none two two", "é x", ""):
+        raw = t.encode()
+        parts = quality._parts(quality.features(raw, flags))
+        words = raw.lower().split()
+        assert len(parts[0]) == sum(len(grams(raw, n)) for n in range(1, 5))
+        assert len(parts[1]) == len(set(words)) + len(set(zip(words, words[1:]))) + (t.count("two two") > 1)
+        assert not flags.any()
+    rows, y = [quality.features(t.encode(), flags) for t in ("good text", "bad text", "good word", "bad word")], [1, 0, 1, 0]
+    model = quality.fit_model(rows, y)
+    for x in rows:
+        parts = [model.ratio[p] for p in quality._parts(x)]
+        margin = model.bias + sum(model.weight[p] @ v / np.sqrt(v @ v + 1e-12) for p, v in zip(quality._parts(x), parts, strict=True))
+        assert model.score(x) == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.shift))))
+
+
 def test_dual_coordinate_descent_separates():
     rows = [np.array([0]), np.array([1]), np.array([0, 2]), np.array([1, 2])]
     w = quality._dual_coordinate_descent(rows, [np.ones(len(r)) for r in rows], np.array([1, -1, 1, -1]), 3, rounds=200)
@@ -404,6 +486,18 @@ def test_token_cache_encodes_only_misses(spark, documents, tmp_path):
     assert spark.read.parquet(cache).count() == documents.select("text").distinct().count()
 
 
+def test_warm_cache_shuffles_no_text(spark, documents, tmp_path):
+    path, _ = library()
+    cache = str(tmp_path / "cache")
+    tokencount.fill_cache(documents, path, cache)
+    known = tokencount.read_cache(documents, cache, tokencount.tokenizer_version(path))
+    assert tokencount._texts_of_misses(documents, known).count() == 0
+    more = documents.unionByName(documents.limit(2).withColumn("text", F.concat("text", F.lit(" more"))))
+    assert tokencount._texts_of_misses(more, known).count() == 2
+    plan = tokencount._texts_of_misses(more, known)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 # --- decontamination
 
 def smith_waterman(a, b):
@@ -492,11 +586,19 @@ def test_benchmark_in_several_passes(spark, small, documents, monkeypatch):
 
 # --- sharding
 
-def test_slots_and_shards(spark, small, documents, odd, empty):
-    old, new = sharding.slot_map(16), sharding.slot_map(17)
+@pytest.fixture(scope="session")
+def maps(spark):
+    path = sharding.new_map(spark, 16)
+    assert sharding.grow(spark, path, 1, 17) == 2
+    return {"shard": sharding.read_map(spark, path, 1), "grown_shard": sharding.read_map(spark, path, 2)}
+
+
+def test_slots_and_shards(spark, small, documents, odd, empty, maps):
+    old = sharding.slot_map(16)
+    new = sharding.grown(old, 17)
     assert np.ptp(np.bincount(old, minlength=16)) <= 1 and all(a == b or b == 16 for a, b in zip(old, new, strict=True))
     for docs in (documents, odd, empty):
-        rows = sharding.assign(docs).collect()
+        rows = sharding.assign(docs, maps).collect()
         data = lambda t: (t or "").encode()
         same([(r.doc_id, r.size, r.text_crc32) for r in rows], [(k, len(data(t)) + 1, zlib.crc32(data(t))) for k, t in rows_of(docs)])
         assert all(r.shard == old[r.virtual_slot] and r.grown_shard == new[r.virtual_slot] for r in rows)
@@ -508,23 +610,50 @@ def test_slots_and_shards(spark, small, documents, odd, empty):
         for r in rows:
             size[r.virtual_slot] += r.size
         assert all(r.slot_bytes == size[r.virtual_slot] for r in rows)
-    whole = {r.doc_id: r.shard for r in sharding.assign(documents).collect()}
-    part = {r.doc_id: r.shard for r in sharding.assign(documents.where("doc_id % 3 = 0")).collect()}
+    whole = {r.doc_id: r.shard for r in sharding.assign(documents, maps).collect()}
+    part = {r.doc_id: r.shard for r in sharding.assign(documents.where("doc_id % 3 = 0"), maps).collect()}
     assert part.items() <= whole.items()
     assert {r.law for r in registry.op4_virtual_slots(spark, small).collect()} == {"key"}
 
 
+def test_sharding_keeps_the_documents_columns(documents, odd, empty, maps):
+    """odd has a column named size, which gives way to the result's."""
+    for docs in (documents, odd, empty):
+        out = sharding.assign(docs, maps, keep=True)
+        kept = [c for c in docs.columns if c != "size"]
+        assert out.columns == [*kept, "size", "text_crc32", "virtual_slot", "slot_bytes", "shard", "grown_shard", "slot"]
+        same([tuple(r) for r in out.select(kept).collect()], [tuple(r) for r in docs.select(kept).collect()])
+
+
+def test_many_rows_without_an_id_are_numbered_in_pieces(spark, maps):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    rows = sharding.assign(docs, maps).collect()
+    assert len({r.shard for r in rows}) == 1 and sorted(r.slot for r in rows) == list(range(3000))
+
+
+def test_stored_maps_are_rebalanced_by_bytes(spark, documents):
+    path = sharding.new_map(spark, 16)
+    version = sharding.rebalance(documents, path, 1)
+    one, two = ([r.shard for r in sharding.read_map(spark, path, v).orderBy("virtual_slot").collect()] for v in (1, version))
+    assert version == 2 and one == sharding.slot_map(16) and one != two
+    load = lambda m: Counter({r.shard: r.n for r in sharding.assign(documents, {"shard": sharding.read_map(spark, path, m)}).groupBy("shard").agg(F.sum("size").alias("n")).collect()})
+    before, after = load(1), load(2)
+    assert sum(before.values()) == sum(after.values()) and max(after.values()) - min(after.values()) < 0.5 * (max(before.values()) - min(before.values()))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        sharding.write_map(spark, path, 2, one)
+
+
 def test_rebalancing_moves_little_and_evens_out():
     rng = np.random.default_rng(6)
     sizes = [int(x) for x in rng.pareto(1.5, 4096) * 1000 + 1]
     before = sharding.slot_map(16)
-    after = sharding.rebalance(before, sizes, 16)
+    after = sharding.rebalanced(before, sizes, 16)
     load = np.bincount(after, weights=sizes, minlength=16)
     start = np.bincount(before, weights=sizes, minlength=16)
     assert np.ptp(load) < 0.5 * np.ptp(start) and sum(a != b for a, b in zip(before, after, strict=True)) < 1000
-    assert sharding.rebalance(before, [1] * 4096, 16) == before
+    assert sharding.rebalanced(before, [1] * 4096, 16) == before
 
 
-def test_sharding_runs_no_python(documents):
-    plan = sharding.assign(documents)._jdf.queryExecution().executedPlan().toString()
+def test_sharding_runs_no_python(documents, maps):
+    plan = sharding.assign(documents, maps)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
