@@ -1,17 +1,20 @@
 """Brown class-based bigram language model.
 
-Words are first reduced to units: the frequent words stand for themselves, all others for a bucket of
-their ending, so that unseen words have a unit too. Exchange clustering assigns the units to classes
-so that class bigrams explain the corpus best. The model's probability of a word is
+Every training word has a class. The core words, each of which makes up a certain share of the
+corpus, are assigned by exchange clustering so that class bigrams explain the corpus best; in it all
+other words stand as buckets of their ending. Then each of the others gets the class to which its own
+neighbours move it, by the same criterion, in one pass over the corpus. The model's probability of a
+word is
 
-    P(class | class before) * P(unit | class) * P(word | unit)
+    P(class | class before) * P(word | class)
 
-with all three smoothed. Every text starts after, and closes with, an end token of its own.
+with both smoothed; class bigrams are counted anew with the classes of all words. A word that
+training doesn't hold belongs to the class of its ending and is one more word there. Every text starts
+after, and closes with, an end token, which is a class of its own.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -20,55 +23,59 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.llm.common import crc_of_id, cut, shared_dir, utf8
+from assetloom.llm.common import crc_of_id, stored, utf8
 
 FOLDS, HELD_OUT_FOLD = 5, 1
-#: Sizes of the model, the same for every corpus: words that are units of their own, buckets of endings, classes.
-FREQUENT, ENDINGS, CLASSES = 4096, 1024, 64
+#: Core words make up at least one in so many of all training tokens, so there are no more of them than that.
+CORE_SHARE = 16_384
+#: Buckets of endings, and classes.
+ENDINGS, CLASSES = 1024, 64
 ENDING_LETTERS = 3
-ROUNDS = 6
-#: Distinct rare words in a block of documents, which is what is looked up together.
-BLOCK_WORDS = 150_000
-#: Distinct keys that a task counts before it hands the counts on.
-_PENDING = 250_000
+ROUNDS = 8
+#: A word leaves the class of its ending if that gains so much log likelihood (natural); else a word met once or twice
+#: would go wherever its few neighbours happen to point.
+LEAST_GAIN = 2.0
+#: Distinct other words in a block of documents, which is what is looked up together.
+BLOCK_WORDS = 250_000
+#: Distinct keys, and tokens, that a task gathers before it hands them on.
+_PENDING, _TOKENS = 200_000, 2_000_000
 _ROWS_AT_ONCE = 256
-END_UNIT = 0
+END = 0
+#: Marks the class byte of a word that is not core.
+_OTHER = 128
 
 
 def ending(word: bytes) -> int:
-    """Bucket of a word's last letters; the SQL form is ending_of()."""
+    """Bucket of a word's last letters."""
     return zlib.crc32(word.decode(errors="replace")[-ENDING_LETTERS:].encode()) % ENDINGS
 
 
-def ending_of(word: Column) -> Column:
-    return (F.crc32(F.right(word, F.lit(ENDING_LETTERS)).cast("binary")) % ENDINGS).cast("int")
-
-
 class Units(dict):
-    """Unit of each word: 0 the end, then the frequent words, then the buckets of endings.
+    """Unit of each word: 0 the end, then the core words, then the buckets of endings.
 
     Looked-up words are remembered, up to a bound.
     """
 
-    def __init__(self, frequent: list[bytes]):
-        super().__init__({w: i for i, w in enumerate(frequent, 1)})
-        self.frequent = len(self)
+    def __init__(self, core: list[bytes]):
+        super().__init__({w: i for i, w in enumerate(core, 1)})
+        self.core = len(self)
 
     def __missing__(self, word: bytes) -> int:
-        unit = 1 + self.frequent + ending(word)
-        if len(self) < self.frequent + _PENDING:
+        unit = 1 + self.core + ending(word)
+        if len(self) < self.core + _PENDING:
             self[word] = unit
         return unit
 
     def __reduce__(self):
-        return Units, ([w for w, i in self.items() if i <= self.frequent],)
+        return Units, ([w for w, i in self.items() if i <= self.core],)
 
 
-def n_units(frequent: int) -> int:
-    return 1 + frequent + ENDINGS
+def n_units(core: int) -> int:
+    return 1 + core + ENDINGS
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -107,8 +114,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(_word_batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _units_of(units: Units, words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(units.__getitem__, words), dtype=np.int64, count=len(words))
+
+
 def _bigram_batches(batches, units, size):
-    """Counts of unit pairs, as left * size + right; each text runs from an end to an end."""
+    """Counts of unit pairs; each text runs from an end to an end."""
     units, parts, waiting = units.value, [], 0
 
     def flush():
@@ -118,10 +129,10 @@ def _bigram_batches(batches, units, size):
 
     for batch in _slices(batches):
         for raw in _texts(batch, 0):
-            own = np.array([END_UNIT, *map(units.__getitem__, words_of(raw)), END_UNIT], dtype=np.int64)
+            own = np.concatenate([[END], _units_of(units, words_of(raw)), [END]])
             parts.append(own[:-1] * size + own[1:])
             waiting += len(own)
-            if waiting > 8 * _PENDING:
+            if waiting > _TOKENS:
                 yield flush()
                 waiting = 0
     yield flush()
@@ -173,13 +184,17 @@ def _exchange_batches(batches, state, classes):
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int32()), pa.array([c for _, c in out], pa.int32())], ["unit", "to"])
 
 
+def _likelihood(pairs: np.ndarray) -> float:
+    return _plogp(pairs.astype(float)).sum() - _plogp(pairs.sum(axis=1).astype(float)).sum() - _plogp(pairs.sum(axis=0).astype(float)).sum()
+
+
 def cluster(bigrams: DataFrame, size: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(class of each unit, class bigram counts). The end has a class of its own, 0.
 
     Units start dealt over the classes by frequency. In a round each unit of one half finds its best
-    class with all others fixed, from its counts of neighbouring classes; the halves take turns, and a
-    round that lowers the likelihood is the last and is undone. The driver holds one class for each
-    unit and the table of class bigrams, both of fixed size.
+    class with all others fixed, from its counts of neighbouring classes. The halves take turns; moves
+    that together lower the likelihood are undone, and two such rounds in a row are the last. The
+    driver holds one class for each unit and the table of class bigrams; CORE_SHARE bounds both.
     """
     spark = bigrams.sparkSession
     totals = {r.v: r.n for r in bigrams.groupBy("v").agg(F.sum("n").alias("n")).collect()}
@@ -191,142 +206,274 @@ def cluster(bigrams: DataFrame, size: int, classes: int = CLASSES, rounds: int =
     def class_pairs(assigned):
         table = spark.createDataFrame([(u, int(c)) for u, c in enumerate(assigned)], "unit int, class int")
         left, right = table.toDF("u", "cu"), table.toDF("v", "cv")
+        # A row a unit.
         both = bigrams.join(F.broadcast(left), "u").join(F.broadcast(right), "v")
         out = np.zeros((classes, classes), dtype=np.int64)
         for r in both.groupBy("cu", "cv").agg(F.sum("n").alias("n")).collect():
             out[r.cu, r.cv] = r.n
         return both, out
 
-    def likelihood(pairs):
-        return _plogp(pairs.astype(float)).sum() - _plogp(pairs.sum(axis=1).astype(float)).sum() - _plogp(pairs.sum(axis=0).astype(float)).sum()
-
-    both, pairs = class_pairs(of_unit)
-    for k in range(rounds):
-        gather = lambda unit, cls: both.where((F.col(unit) > 0) & (F.col(unit) % 2 == k % 2)).groupBy(F.col(unit).alias("unit"), cls).agg(F.sum("n").alias("n")).groupBy("unit").agg(F.collect_list(F.array(F.col(cls).cast("long"), F.col("n"))).alias(f"by_{unit}"))  # noqa: E731, B023
+    def moves(both, assigned, pairs, half):
+        gather = lambda unit, cls: both.where((F.col(unit) > 0) & (F.col(unit) % 2 == half)).groupBy(F.col(unit).alias("unit"), cls).agg(F.sum("n").alias("n")).groupBy("unit").agg(F.collect_list(F.array(F.col(cls).cast("long"), F.col("n"))).alias(f"by_{unit}"))
         alone = both.where("u = v").select(F.col("u").alias("unit"), F.col("n").alias("self_n"))
         profile = gather("u", "cv").join(gather("v", "cu"), "unit", "full").join(alone, "unit", "left").select("unit", "by_u", "by_v", "self_n")
-        state = spark.sparkContext.broadcast((of_unit, pairs))
-        moved = of_unit.copy()
+        state, moved = spark.sparkContext.broadcast((assigned, pairs)), assigned.copy()
         for r in profile.mapInArrow(partial(_exchange_batches, state=state, classes=classes), "unit int, to int").collect():
             moved[r.unit] = max(1, r.to)
+        return moved
+
+    (both, pairs), failed = class_pairs(of_unit), 0
+    for k in range(rounds):
+        moved = moves(both, of_unit, pairs, k % 2)
         new_both, new_pairs = class_pairs(moved)
-        if likelihood(new_pairs) < likelihood(pairs):
-            break
-        of_unit, both, pairs = moved, new_both, new_pairs
+        if _likelihood(new_pairs) > _likelihood(pairs):
+            of_unit, both, pairs, failed = moved, new_both, new_pairs, 0
+        else:
+            failed += 1
+            if failed == 2:
+                break
     return of_unit, pairs
 
 
+class Places(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
+
+
+def _binaries(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Binary values of the given lengths out of consecutive bytes."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.astype(np.uint8).tobytes())])
+
+
+def _profile_batches(batches, state):
+    """(word, sides): for each word that is not core, two bytes an occurrence, the classes before and after."""
+    units, of_unit = state.value
+    places, found, sides, waiting = Places(), [], [], 0
+
+    def flush():
+        at = np.concatenate(found or [np.zeros(0, np.int64)])
+        around = np.concatenate(sides or [np.zeros((0, 2), np.uint8)])
+        order = np.argsort(at, kind="stable")
+        words = pa.array([w.decode(errors="replace") for w in places], pa.string())
+        out = pa.RecordBatch.from_arrays([words, _binaries(around[order].reshape(-1), 2 * np.bincount(at, minlength=len(places)))], ["word", "sides"])
+        for x in (places, found, sides):
+            x.clear()
+        return out
+
+    for batch in _slices(batches):
+        for raw in _texts(batch, 0):
+            words = words_of(raw)
+            unit = _units_of(units, words)
+            other = unit > units.core
+            classes = np.concatenate([[END], of_unit[unit], [END]]).astype(np.uint8)
+            at = np.flatnonzero(other)
+            found.append(np.fromiter(map(places.__getitem__, compress(words, other.tolist())), dtype=np.int64, count=len(at)))
+            sides.append(np.stack([classes[at], classes[at + 2]], axis=1))
+            waiting += len(at)
+            if len(places) > _PENDING or waiting > _TOKENS:
+                yield flush()
+                waiting = 0
+    yield flush()
+
+
+def smoothed(pairs: np.ndarray) -> np.ndarray:
+    """Natural log of P(class | class before): counts and eight imagined tokens of the classes' shares."""
+    came = pairs.sum(axis=0).astype(float)
+    prior = (came + 0.5) / (came.sum() + 0.5 * len(pairs))
+    return np.log((pairs + 8.0 * prior[None, :]) / (pairs.sum(axis=1)[:, None] + 8.0))
+
+
+def best_classes(before: np.ndarray, after: np.ndarray, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The class that each word's neighbours fit best. before, after: a row a word, its counts of neighbouring
+    classes; own: the class of its ending, which it leaves for a gain of ``LEAST_GAIN`` only.
+
+    This is what ``exchange`` gains by a move, to first order in the word's count, which is small
+    against its class: the mutual information of the word's class bigrams. The end takes no words.
+    """
+    step, came = smoothed(pairs), pairs.sum(axis=0) + 0.5
+    gain = before @ (step - np.log(came / came.sum())[None, :]) + after @ step.T
+    gain[:, END] = -np.inf
+    gain[np.arange(len(own)), own] += LEAST_GAIN
+    return gain.argmax(axis=1)
+
+
+def _class_batches(batches, pairs, of_ending):
+    """(word, n, class) from rows sorted by word. Only the counts of one word are carried from batch to batch."""
+    carried, counts = None, np.zeros((1, 2 * CLASSES))
+
+    def rows(words, counts):
+        own = of_ending[[ending(w.encode()) for w in words]]
+        classes = best_classes(counts[:, :CLASSES], counts[:, CLASSES:], own, pairs)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts[:, :CLASSES].sum(axis=1).astype(np.int64)), pa.array(classes.astype(np.int32))], ["word", "n", "class"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words = batch.column(0).to_pylist()
+        new = np.array([a != b for a, b in zip(words, [carried, *words], strict=False)])
+        number = np.cumsum(new) + (0 if carried is not None else -1)
+        distinct = [*([carried] if carried is not None else []), *compress(words, new.tolist())]
+        lengths = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        data = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 2).astype(np.int64)
+        owner = np.repeat(number, lengths // 2)
+        codes = np.concatenate([owner * 2 * CLASSES + data[:, 0], owner * 2 * CLASSES + CLASSES + data[:, 1]])
+        more = np.bincount(codes, minlength=len(distinct) * 2 * CLASSES).reshape(-1, 2 * CLASSES).astype(float)
+        if carried is not None:
+            more[0] += counts[0]
+        if len(distinct) > 1:
+            yield rows(distinct[:-1], more[:-1])
+        carried, counts = distinct[-1], more[-1:]
+    if carried is not None:
+        yield rows([carried], counts)
+
+
 @dataclass
 class Model:
     units: Units
-    step: np.ndarray  # log10 P(class | class before)
     of_unit: np.ndarray
-    in_class: np.ndarray  # log10 P(unit | class)
-    frequent_n: np.ndarray  # training count of the end and of each frequent word, by unit
-    tokens_in: np.ndarray  # of each ending: training tokens and distinct words
+    core_n: np.ndarray  # training count of the end and of each core word, by unit
+    tokens_in: np.ndarray  # of each class: training tokens and distinct words
     types_in: np.ndarray
     tokens: int
     types: int
 
-    def known_part(self, words: list[bytes]) -> tuple[np.ndarray, int, float, float]:
-        """(whether each word is rare, n_known, base_score, score), all but for the counts of the rare words.
+    def emission(self, n: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """log10 P(word | class) of words with the training counts n; the end is the only one in its class."""
+        out = np.log10((n + 0.5) / (self.tokens_in + 0.5 * (self.types_in + 1))[of])
+        return np.where(of == END, 0.0, out)
 
-        A rare word with training count n adds log10(n + 0.5) to both scores, and 1 to n_known if n > 0.
+    def core_part(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int, float, float]:
+        """(class bytes, whether each token is another word, n_known, base_score, emission) without the other words' counts.
+
+        An other word with training count n adds log10(n + 0.5) to the base score, and 1 to n_known if n > 0.
         """
-        unit = np.array([END_UNIT, *map(self.units.__getitem__, words), END_UNIT], dtype=np.int64)
-        of = self.of_unit[unit]
-        score = self.step[of[:-1], of[1:]].sum() + self.in_class[unit[1:]].sum()
-        bucket = unit[1:] - 1 - self.units.frequent
-        rare = bucket >= 0
-        b = bucket[rare]
-        score -= np.log10(self.tokens_in[b] + 0.5 * (self.types_in[b] + 1)).sum()
-        n = self.frequent_n[unit[1:][~rare]]
-        base = np.log10(n + 0.5).sum() - len(bucket) * np.log10(self.tokens + 0.5 * (self.types + 1))
-        return rare, int((n > 0).sum()), float(base), float(score)
+        unit = np.concatenate([_units_of(self.units, words), [END]])
+        of, other = self.of_unit[unit], unit > self.units.core
+        n = self.core_n[unit[~other]]
+        base = np.log10(n + 0.5).sum() - len(unit) * np.log10(self.tokens + 0.5 * (self.types + 1))
+        return (of + _OTHER * other).astype(np.uint8), other, int((n > 0).sum()), float(base), float(self.emission(n, of[~other]).sum())
 
 
 def fit(train: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the texts in ``train`` (column text, UTF-8), and the table (word, n) of all its words."""
+    """The model of the texts in ``train`` (column text, UTF-8) but for class bigrams, and the table (word, n, class) of all words that are not core."""
     spark = train.sparkSession
-    counts = cut(word_counts(train))
-    frequent = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    units = Units([r.word.encode() for r in frequent])
-    size = n_units(len(frequent))
+    counts = stored(word_counts(train), "brown-words")
+    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    core = sorted(counts.where(F.col("n") * CORE_SHARE >= (sums.n or 0)).collect(), key=lambda r: (-r.n, r.word))
+    units = Units([r.word.encode() for r in core])
+    size = n_units(len(core))
     sent = spark.sparkContext.broadcast(units)
-    bigrams = cut(train.select("text").mapInArrow(partial(_bigram_batches, units=sent, size=size), "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n")))
+    bigrams = stored(train.select("text").mapInArrow(partial(_bigram_batches, units=sent, size=size), "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n")), "brown-bigrams")
     of_unit, pairs = cluster(bigrams, size)
 
-    end_n = train.count()
-    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    unit_n = np.zeros(size)
-    for r in bigrams.groupBy("v").agg(F.sum("n").alias("n")).collect():
-        unit_n[r.v] = r.n
-    least = frequent[-1] if frequent else None
-    tail = counts.where((F.col("n") < least.n) | ((F.col("n") == least.n) & (F.col("word") > least.word))) if least else counts
-    tokens_in, types_in = np.zeros(ENDINGS), np.zeros(ENDINGS)
-    for r in tail.groupBy(ending_of(F.col("word")).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        tokens_in[r.b], types_in[r.b] = r.n, r.v
-
-    class_n = pairs.sum(axis=0).astype(float)
-    prior = (class_n + 0.5) / (class_n.sum() + 0.5 * CLASSES)
-    step = np.log10((pairs + 8.0 * prior[None, :]) / (pairs.sum(axis=1)[:, None] + 8.0))
-    members, tokens_of = np.bincount(of_unit, minlength=CLASSES), np.bincount(of_unit, weights=unit_n, minlength=CLASSES)
-    in_class = np.log10((unit_n + 0.5) / (tokens_of + 0.5 * members)[of_unit])
-    frequent_n = np.array([end_n, *(r.n for r in frequent)], dtype=float)
-    model = Model(units, step, of_unit, in_class, frequent_n, tokens_in, types_in, (sums.n or 0) + end_n, sums.v + (end_n > 0))
-    return model, tail
-
-
-class Places(dict):
-    """Numbers words in the order in which they are first asked for."""
+    state = spark.sparkContext.broadcast((units, of_unit))
+    profiles = train.select("text").mapInArrow(partial(_profile_batches, state=state), "word string, sides binary")
+    others = profiles.repartition("word").sortWithinPartitions("word").mapInArrow(partial(_class_batches, pairs=pairs, of_ending=of_unit[-ENDINGS:]), "word string, n long, class int")
+    others = stored(others, "brown-others")
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = place = len(self)
-        return place
+    end_n = int(pairs[:, END].sum())
+    core_n = np.array([end_n, *(r.n for r in core)], dtype=float)
+    tokens_in = np.bincount(of_unit[: len(core_n)], weights=core_n, minlength=CLASSES)
+    types_in = np.bincount(of_unit[: len(core_n)], weights=core_n > 0, minlength=CLASSES)
+    for r in others.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        tokens_in[r["class"]] += r.n
+        types_in[r["class"]] += r.v
+    return Model(units, of_unit, core_n, tokens_in, types_in, (sums.n or 0) + end_n, sums.v + (end_n > 0)), others
 
 
-_PREPARED = "block long, words array<string>, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<int>"
-_PREPARED_ARROW = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.string())), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int32()))])
+_PREPARED = "block long, words array<string>, doc_id long, n_tokens long, n_known long, base_score double, score double, classes binary, others array<int>"
+_PREPARED_ARROW = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.string())), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("classes", pa.binary()), ("others", pa.list_(pa.int32()))])
 
 
 def _prepare_batches(batches, sent):
-    """Documents with the places of their rare words in the block's list of words; the list is a row of its own."""
+    """Documents with the places of their other words in the block's list of words; the list is a row of its own."""
     from pyspark import TaskContext
 
     model, block, places = sent.value, TaskContext.get().partitionId() << 32, Places()
 
     def word_list():
-        return pa.RecordBatch.from_pylist([{"block": block, "words": [w.decode(errors="replace") for w in places]}], schema=_PREPARED_ARROW)
+        listed = [w.decode(errors="replace") for w in places]
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([listed], pa.list_(pa.string())), *(pa.nulls(1, f.type) for f in list(_PREPARED_ARROW)[2:])], schema=_PREPARED_ARROW)
 
     for batch in _slices(batches):
         rows = []
         for doc_id, raw in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
             words = words_of(raw)
-            rare, n_known, base, score = model.known_part(words)
-            at = np.fromiter(map(places.__getitem__, compress(words, rare[:-1].tolist())), dtype=np.int32)
-            rows.append((block, None, doc_id, len(words) + 1, n_known, base, score, at))
+            classes, other, n_known, base, score = model.core_part(words)
+            at = np.fromiter(map(places.__getitem__, compress(words, other[:-1].tolist())), dtype=np.int32)
+            rows.append((block, None, doc_id, len(words) + 1, n_known, base, score, classes.tobytes(), at))
             if len(places) >= BLOCK_WORDS:
                 yield word_list()
                 block, places = block + 1, Places()
-        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, _PREPARED_ARROW, strict=True)], schema=_PREPARED_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, _PREPARED_ARROW, strict=True)], schema=_PREPARED_ARROW)
     yield word_list()
 
 
-_SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_FINISHED = "doc_id long, n_tokens long, n_known long, base_score double, score double, classes binary"
+
+
+def _bytes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes one after the other, the values' lengths)."""
+    data = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8)
+    return data, pc.binary_length(column).to_numpy()
+
+
+def _finisher(sent):
+    """Gives the other words of a block's documents their counts and classes; known: (place, n, class) of those that training holds."""
 
+    def finish_block(docs: pa.Table, known: pa.Table) -> pa.Table:
+        model = sent.value
+        data, lengths = _bytes_of(docs["classes"])
+        data = data.astype(np.int64)
+        at = docs["others"].combine_chunks().flatten().to_numpy() if len(docs) else np.zeros(0, np.int64)
+        places = known["place"].to_numpy()
+        size = int(max(at.max(initial=-1), places.max(initial=-1))) + 1
+        count, own = np.zeros(size), np.full(size, -1, dtype=np.int64)
+        count[places], own[places] = known["n"].to_numpy(), known["class"].to_numpy()
+        other = np.flatnonzero(data >= _OTHER)
+        data[other] -= _OTHER
+        n = count[at]
+        data[other] = np.where(own[at] < 0, data[other], own[at])
+        doc = np.repeat(np.arange(len(docs)), lengths)[other]
+        sums = lambda x: np.bincount(doc, weights=x, minlength=len(docs))
+        add = lambda name, x: pa.array(docs[name].to_numpy() + x)
+        return pa.table(
+            [docs["doc_id"], docs["n_tokens"], add("n_known", sums(n > 0).astype(np.int64)), add("base_score", sums(np.log10(n + 0.5))), add("score", sums(model.emission(n, data[other]))), _binaries(data, lengths)],
+            names=["doc_id", "n_tokens", "n_known", "base_score", "score", "classes"],
+        )
 
-def _finish_block(docs: pa.Table, counts: pa.Table) -> pa.Table:
-    """Adds the rare words' part to the documents of a block; counts: (place, n) of the words that training holds."""
-    places = counts["place"].to_numpy()
-    rare = docs["rare"].combine_chunks()
-    at, lengths = rare.flatten().to_numpy(), rare.value_lengths().to_numpy(zero_copy_only=False)
-    n = np.zeros(max(at.max(initial=-1), places.max(initial=-1)) + 1)
-    n[places] = counts["n"].to_numpy()
-    doc = np.repeat(np.arange(len(docs)), lengths)
-    more = np.bincount(doc, weights=np.log10(n[at] + 0.5), minlength=len(docs))
-    known = np.bincount(doc, weights=n[at] > 0, minlength=len(docs)).astype(np.int64)
-    add = lambda name, x: pa.array(docs[name].to_numpy() + x)
-    return pa.table([docs["doc_id"], docs["n_tokens"], add("n_known", known), add("base_score", more), add("score", more)], schema=_SCORED)
+    return finish_block
+
+
+def _steps(column) -> tuple[np.ndarray, np.ndarray]:
+    """(class before * CLASSES + class of each token, its text's number); each text starts after an end."""
+    data, lengths = _bytes_of(pa.chunked_array([column]))
+    before = np.concatenate([[END], data[:-1]])[: len(data)].astype(np.int64)
+    before[np.cumsum(lengths)[:-1]] = END  # every text has its end, so none is empty
+    return before * CLASSES + data, np.repeat(np.arange(len(lengths)), lengths)
+
+
+def _step_batches(batches):
+    counts = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            counts += np.bincount(_steps(batch.column(0))[0], minlength=len(counts))
+    met = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(counts[met])], ["step", "n"])
+
+
+def _score_batches(batches, step):
+    step = step.reshape(-1)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code, doc = _steps(batch.column(5))
+        total = batch.column(4).to_numpy() + np.bincount(doc, weights=step[code], minlength=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(total)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -337,19 +484,25 @@ def score(docs: DataFrame) -> DataFrame:
     repeated rows count and are scored as often as they occur; other columns are ignored. Without
     training rows all probabilities come from the smoothing alone.
 
-    A task scores its documents but for the counts of rare words, which it lists for each block of
-    documents. The lists meet the table of all counts in a join and return to their blocks, so no
-    task ever holds the whole vocabulary and no text is shuffled.
+    A task reads its documents' core words by itself and lists the other words of each block of
+    documents. The lists meet the table of all other words in a join and return to their blocks, so no
+    task ever holds the whole vocabulary and no text is shuffled: a document goes on as one byte a
+    token, its class. From these the class bigrams are counted and the scores summed.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text").cast("string")).alias("text"))
     held_out = crc_of_id(F.col("doc_id")) % FOLDS == HELD_OUT_FOLD
-    model, tail = fit(rows.where(~held_out))
-    sent, path = spark.sparkContext.broadcast(model), f"{shared_dir(spark)}/brown-{uuid.uuid4().hex}"
-    rows.mapInArrow(partial(_prepare_batches, sent=sent), _PREPARED).write.parquet(path)
-    prepared = spark.read.schema(_PREPARED).parquet(path)
+    model, others = fit(rows.where(~held_out))
+    sent = spark.sparkContext.broadcast(model)
+    prepared = stored(rows.mapInArrow(partial(_prepare_batches, sent=sent), _PREPARED), "brown-blocks")
     asked = prepared.where("words is not null").select("block", F.posexplode("words").alias("place", "word"))
-    known = asked.join(tail, "word").select(F.col("block").alias("of_block"), "place", "n")
-    blocks = prepared.where("words is null").select("block", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare")
-    scored = blocks.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(_finish_block, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    known = asked.join(others, "word").select(F.col("block").alias("of_block"), "place", "n", "class")
+    blocks = prepared.where("words is null").drop("words")
+    finished = stored(blocks.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(_finisher(sent), _FINISHED), "brown-classes")
+
+    pairs = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+    for r in finished.where(~held_out).select("classes").mapInArrow(_step_batches, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect():
+        pairs[r.step] = r.n
+    step = smoothed(pairs.reshape(CLASSES, CLASSES)) / np.log(10)
+    scored = finished.mapInArrow(partial(_score_batches, step=step), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
