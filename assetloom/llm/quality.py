@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from assetloom.llm.common import crc_of_id
 
 #: The model is fitted on at most this many labelled rows, those with the least hash of their id.
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 4_000
 THRESHOLD = 0.3
 FOLDS, HELD_OUT_FOLD = 5, 0
 #: One row in so many of the sample is kept from the first fit, to turn margins into probabilities.
@@ -171,7 +171,7 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _linear(rows: list[np.ndarray], y: np.ndarray) -> Model:
     ratio = _log_count_ratios(rows, y)
-    w = _dual_coordinate_descent(rows, [_scaled(x, ratio) for x in rows], y, SIZE)
+    w = _dual_coordinate_descent(rows, [_scaled(x, ratio).astype(np.float32) for x in rows], y, SIZE)
     return Model(w[:SIZE], ratio, float(w[SIZE]), 1.0, 0.0)
 
 
