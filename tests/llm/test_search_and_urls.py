@@ -22,6 +22,9 @@ SCHEMA = "vec_id long, embedding array<float>, label int, v string, cell int"
 
 @pytest.mark.parametrize("cell", [4096, 16])
 def test_top_k(spark, monkeypatch, cell):
+    """With cells of 16 rows the bounds go out in several passes, and cells and parts meet by a join."""
+    monkeypatch.setattr(topk, "SENT_CELLS", cell // 4)
+    monkeypatch.setattr(topk, "SENT_PAIRS", cell // 4)
     monkeypatch.setattr(topk, "CELL_ROWS", cell)
     monkeypatch.setattr(topk, "CELL_QUERIES", cell)
     monkeypatch.setattr(topk, "BLOCK_ROWS", 8)
@@ -45,6 +48,20 @@ def test_blocks_are_pruned():
     assert scored == 8
 
 
+def test_queries_are_sent_only_to_cells_that_can_hold_something(spark):
+    """Eight far clusters, a cell each: every query stays in its own cell."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    centres = np.eye(8) * 100
+    boxes = SimpleNamespace(value=(np.arange(8), centres + 3, centres - 3))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(range(8)), pa.array(centres.astype(int).tolist(), pa.list_(pa.int64())), pa.array([9000] * 8)], ["query_row", "q_id", "q_v", "floor"])
+    for vectors in (True, False):
+        sent = [(c, p) for out in topk._ship_batches([batch], boxes, 1, vectors) for c, p in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+        assert sent == [(c, 0) for c in range(8)]
+
+
 def test_large_components_stay_exact():
     a, b = np.array([[2.0**30, 1.0]]), np.array([[2.0**30, 1.0]])
     assert topk._product(a, b)[0, 0] == 2**60 + 1

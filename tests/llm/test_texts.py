@@ -236,17 +236,94 @@ def test_brown_beats_single_words_on_held_out_texts(spark, documents):
 def test_brown_probabilities_sum_to_one(documents):
     from assetloom.llm.common import utf8
 
-    model, tail = brown.fit(documents.select(utf8(F.col("text")).alias("text")))
-    assert np.allclose((10**model.step).sum(axis=1), 1)
-    units = 10**model.in_class
-    assert np.allclose(np.bincount(model.of_unit, weights=units)[np.unique(model.of_unit)], 1)
-    rare = [(r.word.encode(), r.n) for r in tail.collect()]
-    mass = np.zeros(brown.ENDINGS)
-    for w, n in rare:
-        b = brown.ending(w)
-        mass[b] += (n + 0.5) / (model.tokens_in[b] + 0.5 * (model.types_in[b] + 1))
-    unseen = 0.5 / (model.tokens_in + 0.5 * (model.types_in + 1))
-    assert np.allclose(mass + unseen, 1)
+    model, others = brown.fit(documents.select(utf8(F.col("text")).alias("text")))
+    rows = others.collect()
+    n = np.concatenate([model.core_n[1:], [r.n for r in rows]])
+    of = np.concatenate([model.of_unit[1 : len(model.core_n)], [r["class"] for r in rows]]).astype(int)
+    assert (of != brown.END).all() and len({r.word for r in rows}) == len(rows) and len(rows) + model.units.core + 1 == model.types
+    mass = np.bincount(of, weights=10 ** model.emission(n, of), minlength=brown.CLASSES) + 10 ** model.emission(np.zeros(brown.CLASSES), np.arange(brown.CLASSES))
+    assert np.allclose(mass[1:], 1)
+    assert np.allclose(np.exp(brown.smoothed(np.random.default_rng(0).integers(0, 99, (64, 64)))).sum(axis=1), 1)
+
+
+def test_brown_scores_are_the_formulas(spark, monkeypatch):
+    """Every step by hand on a small corpus, from the classes that the model gives."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[int(x)] for x in np.minimum(rng.pareto(1.0, 30) * 3, 59))) for i in range(80)] + [(500, "never seen w1"), (501, None), (501, "")], "doc_id long, text string")
+    monkeypatch.setattr(brown, "CORE_SHARE", 20)
+    got = {(r.doc_id, r.n_tokens): r for r in brown.score(docs).collect()}
+    fold = lambda k: zlib.crc32(str(k).encode()) % 5 == 1
+    rows = [(k, (t or "").split()) for k, t in rows_of(docs)]
+    train = [t for k, t in rows if not fold(k)]
+    model, others = brown.fit(spark.createDataFrame([(" ".join(t).encode(),) for t in train], "text binary"))
+    assert 0 < model.units.core <= 20
+    tail = {r.word: (r.n, r["class"]) for r in others.collect()}
+    count = Counter(w for t in train for w in t)
+
+    def of(w):
+        u = model.units[w.encode()]
+        return int(model.of_unit[u]) if u <= model.units.core or w not in tail else tail[w][1]
+
+    assert all(count[w] == n for w, (n, _) in tail.items())
+    pairs = np.zeros((brown.CLASSES, brown.CLASSES))
+    for t in train:
+        np.add.at(pairs, ([0, *map(of, t)], [*map(of, t), 0]), 1)
+    step = brown.smoothed(pairs) / np.log(10)
+    tokens, types = np.zeros(brown.CLASSES), np.zeros(brown.CLASSES)
+    for w, n in count.items():
+        tokens[of(w)] += n
+        types[of(w)] += 1
+    for k, t in rows:
+        c = [0, *map(of, t), 0]
+        want = sum(step[a, b] for a, b in zip(c, c[1:], strict=False)) + sum(np.log10((count[w] + 0.5) / (tokens[of(w)] + 0.5 * (types[of(w)] + 1))) for w in t)
+        assert got[k, len(t) + 1].score == pytest.approx(want)
+
+
+def test_brown_words_follow_their_neighbours():
+    """A word that stands where one class stands goes there; one met once stays with its ending."""
+    pairs = np.full((brown.CLASSES, brown.CLASSES), 10)
+    pairs[1, 2] = pairs[2, 3] = 5000
+    before, after = np.zeros((2, brown.CLASSES)), np.zeros((2, brown.CLASSES))
+    before[:, 1], after[:, 3] = [50, 0], [50, 0]
+    before[1, 5] = after[1, 6] = 1
+    assert brown.best_classes(before, after, np.array([9, 9]), pairs).tolist() == [2, 9]
+
+
+def test_brown_scores_don_t_depend_on_the_batches(spark, documents):
+    want = {r.doc_id: r.score for r in brown.score(documents).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r.doc_id: r.score for r in brown.score(documents.repartition(5)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_brown_profiles_are_handed_on_in_parts(monkeypatch):
+    """Small parts, and words cut over batches, give the same classes."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, 30)).encode() for _ in range(50)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 7], pa.binary())], ["text"]) for i in range(0, 50, 7)]
+    units = brown.Units([b"w1", b"w2", b"w3"])
+    of_unit = rng.integers(1, brown.CLASSES, brown.n_units(3))
+    state, pairs = SimpleNamespace(value=(units, of_unit)), rng.integers(0, 100, (brown.CLASSES, brown.CLASSES))
+
+    def classes(size):
+        parts = [pa.Table.from_batches([b]) for b in brown._profile_batches(iter(batches), state)]
+        rows = pa.concat_tables(parts).sort_by("word").combine_chunks().to_batches(max_chunksize=size)
+        return parts, [r for b in brown._class_batches(rows, pairs, of_unit[-brown.ENDINGS :]) for r in b.to_pylist()]
+
+    parts, want = classes(1000)
+    assert len(parts) == 1 and sum(r["n"] for r in want) == sum(w not in units.keys() or units[w] > 3 for t in texts for w in t.split())
+    monkeypatch.setattr(brown, "_PENDING", 9)
+    for size in (1, 3):
+        parts, got = classes(size)
+        assert len(parts) > 5 and got == want
 
 
 def test_exchange_gain_is_the_likelihood_change():
