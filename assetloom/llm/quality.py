@@ -29,7 +29,7 @@ CALIBRATION = 4
 _LONGEST = 4
 _REPEATS = 1 << (_LONGEST + 1)
 #: Hashed slots of each kind of indicator, and where the slots of each family start.
-_BYTE_BITS, _WORD_BITS, _LINE_SLOTS, _SHAPE_BITS = 17, 18, 8, 16
+_BYTE_BITS, _WORD_BITS, _LINE_SLOTS, _SHAPE_BITS = 15, 16, 8, 14
 _WORDS = 1 << _BYTE_BITS
 _LINES = _WORDS + (1 << _WORD_BITS)
 _SHAPES = _LINES + _LINE_SLOTS
