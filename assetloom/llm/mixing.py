@@ -58,8 +58,8 @@ def target_words(sources: DataFrame) -> DataFrame:
 
 def with_weights(sizes: DataFrame, weights=(1, 2, 3)) -> DataFrame:
     """Numbers the sources by code point, null last, and repeats the weights over them. No task sorts all sources."""
-    ranked = ordinal_ranks(sizes.withColumn("no_source", F.col("source").isNull()), "no_source", "source", "place")
-    return ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))).drop("place", "no_source")
+    ranked = ordinal_ranks(sizes, [F.col("source").isNull(), "source"], "place")
+    return ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))).drop("place")
 
 
 def _split(totals, quotas: np.ndarray, rng: np.random.Generator) -> np.ndarray:
