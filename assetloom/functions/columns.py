@@ -130,6 +130,32 @@ def is_safe_id(x: Column) -> Column:
     return F.coalesce(x.rlike(r"^[A-Za-z0-9._-]+\z"), F.lit(False))
 
 
+def stays_inside(path: Column) -> Column:
+    """Whether a relative path can't leave its folder: no step up that isn't taken back, and not absolute."""
+    depth = F.aggregate(F.split(path, "/"), F.struct(F.lit(0).alias("now"), F.lit(0).alias("least")), lambda acc, part: F.struct(
+        (acc["now"] + F.when(part == "..", -1).when(part.isin("", "."), 0).otherwise(1)).alias("now"),
+        F.least(acc["least"], acc["now"] + F.when(part == "..", -1).otherwise(0)).alias("least"),
+    ), lambda acc: acc["least"])
+    return F.coalesce((depth >= 0) & ~path.startswith("/"), F.lit(False))
+
+
+def ordered_quad(quad: Column) -> Column:
+    """Four points as top left, top right, bottom right, bottom left (y grows downwards).
+
+    They are sorted by their angle around the middle and turned so that the least x + y leads.
+    """
+    mean = lambda i: F.aggregate(quad, F.lit(0.0), lambda acc, p: acc + p[i]) / 4
+    around = F.array_sort(F.transform(quad, lambda p, i: F.struct(F.atan2(p[1] - mean(1), p[0] - mean(0)).alias("angle"), i.alias("i"), p.alias("p"))))
+    points = F.transform(around, lambda s: s["p"])
+    first = F.array_min(F.transform(points, lambda p, i: F.struct((p[0] + p[1]).alias("sum"), i.alias("i"))))["i"]
+    return F.concat(F.slice(points, first + 1, F.lit(4)), F.slice(points, F.lit(1), first))
+
+
+def luminance(lightness: Column) -> Column:
+    """Lab lightness (0-100) as 0 to 1."""
+    return lightness / 100.0
+
+
 def is_truthy(x: Column) -> Column:
     return F.lower(F.trim(x)).isin("1", "true", "yes", "on")
 

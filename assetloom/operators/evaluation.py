@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from assetloom.session import cut
 
 
-def accuracy_summary(iou: Column, latency: Column) -> list[Column]:
-    at = [F.avg((iou >= t).cast("double")).alias(f"iou_at_{round(100 * t)}") for t in (0.50, 0.75, 0.90, 0.95)]
-    return [F.count("*").alias("images"), F.avg(iou).alias("mean_iou"), F.median(iou).alias("median_iou"), F.min(iou).alias("min_iou"), F.avg(latency).alias("mean_latency"), F.percentile(latency, 0.95).alias("p95_latency"), *at]
+def accuracy_summary(rows: DataFrame, iou: str, latency: str) -> DataFrame:
+    """One row: count, mean, median and least iou, shares of rows from four levels on, mean and p95 latency.
+
+    Percentiles come from ranks, so no task holds all values.
+    """
+    at = [F.avg((F.col(iou) >= t).cast("double")).alias(f"iou_at_{round(100 * t)}") for t in (0.50, 0.75, 0.90, 0.95)]
+    plain = rows.agg(F.count("*").alias("images"), F.avg(iou).alias("mean_iou"), F.min(iou).alias("min_iou"), F.avg(latency).alias("mean_latency"), *at)
+    median = percentiles(rows, iou, [], {"median_iou": 0.5})
+    p95 = percentiles(rows, latency, [], {"p95_latency": 0.95})
+    # One row each.
+    return plain.join(F.broadcast(median), how="left").join(F.broadcast(p95), how="left")
 
 
 def by_verdict(rows: DataFrame) -> DataFrame:
@@ -25,21 +33,42 @@ def by_category(rows: DataFrame) -> DataFrame:
     return known.groupBy("category_true").agg(F.count("*").alias("count"), F.avg("iou").alias("mean_iou"), F.avg((F.col("category_pred") == F.col("category_true")).cast("double")).alias("accuracy"))
 
 
-def ordinal_ranks(rows: DataFrame, value: str, key: str, name: str) -> DataFrame:
-    """Adds the rank by (value, key), from 1, without sorting all rows in one task.
+def ordinal_ranks(rows: DataFrame, by: list[Column | str], name: str) -> DataFrame:
+    """Adds the rank by ``by``, from 1, without sorting all rows in one task.
 
-    Rows are ranged by value, numbered inside their range and moved up by the rows of earlier ranges;
+    Rows are ranged by ``by``, numbered inside their range and moved up by the rows of earlier ranges;
     the table of ranges has one row a partition.
     """
-    ranged = cut(rows.repartitionByRange(value, key).withColumn("part", F.spark_partition_id()))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(value, key))
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    earlier = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("part", earlier.alias("earlier"))
-    return ranged.withColumn("inside", inside).join(offsets, "part").withColumn(name, F.col("inside") + F.col("earlier")).drop("part", "inside", "earlier")
+    keys = [f"rank_key_{i}" for i in range(len(by))]
+    keyed = rows.select("*", *[(F.col(k) if isinstance(k, str) else k).alias(n) for k, n in zip(by, keys, strict=True)])
+    ranged = cut(keyed.repartitionByRange(*keys).withColumn("rank_part", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("rank_part").orderBy(*keys))
+    counts = ranged.groupBy("rank_part").agg(F.count("*").alias("rank_n"))
+    earlier = F.coalesce(F.sum("rank_n").over(Window.orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("rank_part", earlier.alias("rank_earlier"))
+    # A row a partition.
+    ranked = ranged.withColumn("rank_inside", inside).join(F.broadcast(offsets), "rank_part")
+    return ranked.withColumn(name, F.col("rank_inside") + F.col("rank_earlier")).drop("rank_part", "rank_inside", "rank_earlier", *keys)
+
+
+def percentiles(rows: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """(by, a column for each of ``shares``): exact percentiles with linear interpolation, nulls left out.
+
+    All rows are ranked once; a group's percentile needs the values at two ranks, which a join picks
+    by rank. A group that holds a third of all rows is no hot key.
+    """
+    ranked = cut(ordinal_ranks(rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("pct_value")), [*by, "pct_value"], "pct_rank"))
+    groups = ranked.groupBy(*by).agg(F.min("pct_rank").alias("pct_first"), F.count("*").alias("pct_n"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), ((F.col("pct_n") - 1) * F.lit(float(share))).alias("at")) for k, share in shares.items()])
+    each = groups.select(*by, "pct_first", F.explode(wanted).alias("w")).select(*by, F.col("w.name").alias("pct_name"), "pct_first", F.col("w.at").alias("pct_at"))
+    ends = F.array(*[F.struct(f(F.col("pct_at")).cast("long").alias("place"), weight.alias("weight")) for f, weight in ((F.floor, 1 - (F.col("pct_at") - F.floor("pct_at"))), (F.ceil, F.col("pct_at") - F.floor("pct_at")))])
+    picked = each.select(*by, "pct_name", "pct_first", F.explode(ends).alias("e")).select(*by, "pct_name", (F.col("pct_first") + F.col("e.place")).alias("pct_rank"), F.col("e.weight").alias("pct_weight"))
+    met = picked.join(ranked.select("pct_rank", "pct_value"), "pct_rank")
+    of = lambda k: F.sum(F.when(F.col("pct_name") == k, F.col("pct_weight") * F.col("pct_value"))).alias(k)
+    return met.groupBy(*by).agg(*map(of, shares))
 
 
 def rank_correlation(rows: DataFrame, a: str, b: str, key: str) -> DataFrame:
     """Spearman's correlation with ordinal ranks, ties by ``key``; NaN below three rows."""
-    ranked = ordinal_ranks(ordinal_ranks(rows.select(key, a, b), a, key, "rank_a"), b, key, "rank_b")
+    ranked = ordinal_ranks(ordinal_ranks(rows.select(key, a, b), [a, key], "rank_a"), [b, key], "rank_b")
     return ranked.agg(F.when(F.count("*") < 3, float("nan")).otherwise(F.corr("rank_a", "rank_b")).alias("rank_correlation"), F.count("*").alias("n"))

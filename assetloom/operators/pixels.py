@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from assetloom.functions.columns import band_score, clip, falling, ratio
 from assetloom.operators.components import connected_components
+from assetloom.operators.evaluation import ordinal_ranks
+from assetloom.session import cut
 
-NEIGHBOURS_4 = [(0, 1), (1, 0)]
-NEIGHBOURS_8 = [(0, 1), (1, -1), (1, 0), (1, 1)]
 AXES = (("y", "x"), ("x", "y"))
 
 
@@ -25,11 +25,26 @@ def from_vectors(rows: DataFrame, image: str, values: str, width: int) -> DataFr
 
 
 def from_images(images: DataFrame) -> DataFrame:
-    """(image, y, x, r, g, b) from rows of Spark's image source with three channels; unreadable images give no rows."""
+    """(image, y, x, r, g, b) from rows of Spark's image source with three channels; unreadable images give no rows.
+
+    An image is cut into its lines first, and each line into its pixels, so no row lists all pixels.
+    """
     good = images.select("image.*").where("height > 0 and nChannels = 3")
-    at = good.select(F.col("origin").alias("image"), "width", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("p"), "data")
-    byte = lambda k: F.conv(F.hex(F.substring("data", 3 * F.col("p") + k, F.lit(1))), 16, 10).cast("int")
-    return at.select("image", F.floor(F.col("p") / F.col("width")).cast("int").alias("y"), (F.col("p") % F.col("width")).alias("x"), byte(3).alias("r"), byte(2).alias("g"), byte(1).alias("b"))
+    lines = good.select(F.col("origin").alias("image"), "width", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+    # One character a byte, so that a character's code is the byte's value.
+    lines = lines.select("image", "y", "width", F.decode(F.substring("data", F.col("y") * 3 * F.col("width") + 1, 3 * F.col("width")), "ISO-8859-1").alias("line"))
+    at = lines.select("image", "y", "line", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    byte = lambda k: F.ascii(F.substring("line", 3 * F.col("x") + k, F.lit(1)))
+    return at.select("image", "y", "x", byte(3).alias("r"), byte(2).alias("g"), byte(1).alias("b"))
+
+
+def boxes(px: DataFrame, values: dict[str, Column], radius: int) -> DataFrame:
+    """Adds the box means of several values, in the two passes of one."""
+    px = px.withColumns(values)
+    for line, along in AXES:
+        frame = Window.partitionBy("image", line).orderBy(along).rowsBetween(-radius, radius)
+        px = px.withColumns({k: F.avg(k).over(frame) for k in values})
+    return px
 
 
 def box(px: DataFrame, value: str, radius: int, out: str, how=F.avg) -> DataFrame:
@@ -135,19 +150,31 @@ def shape_bands(shapes: DataFrame, fill: tuple[float, float], aspect: tuple[floa
     return shapes.withColumn("shape", F.least(band_score(F.col("fill"), lit(fill[0]), lit(fill[1]), 0.30), band_score(F.col("aspect"), lit(aspect[0]), lit(aspect[1]), 1.20)))
 
 
+def row_runs(px: DataFrame, mask: str, value: int = 1) -> DataFrame:
+    """(image, y, x0, x1): the maximal runs along rows of pixels that have ``value``."""
+    own = px.where(F.col(mask) == value).select("image", "y", "x")
+    run = F.col("x") - F.row_number().over(Window.partitionBy("image", "y").orderBy("x"))
+    return own.withColumn("run", run).groupBy("image", "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("run")
+
+
 def label(px: DataFrame, mask: str, value: int = 1, diagonal: bool = True) -> DataFrame:
-    """(image, y, x, component) of the pixels that have ``value``; a component is named by a number.
+    """(image, y, x, component) of the pixels that have ``value``; a component is named by a number, the
+    least that of its first pixel.
 
-    Diagonal neighbours join foreground; leave them out for the background.
+    Diagonal neighbours join foreground; leave them out for the background. What is linked are runs
+    along rows, not pixels. A run's number is its image's, then its place, so numbers never clash (for
+    sides below 32,768 and up to 2^33 images).
     """
-    own = px.where(F.col(mask) == value).select("image", "y", "x", F.xxhash64("image", "y", "x").alias("node"))
-    links = None
-    for dy, dx in NEIGHBOURS_8 if diagonal else NEIGHBOURS_4:
-        beside = own.select("image", (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("node").alias("v"))
-        found = own.join(beside, ["image", "y", "x"]).select(F.col("node").alias("u"), "v")
-        links = found if links is None else links.union(found)
-    roots = connected_components(links)
-    return own.join(roots, "node", "left").select("image", "y", "x", F.coalesce("root", "node").alias("component"))
+    images = ordinal_ranks(px.select("image").distinct(), ["image"], "image_number")
+    runs = row_runs(px, mask, value).join(images, "image")
+    place = lambda c: F.col(c).cast("long")
+    runs = cut(runs.select("image", "y", "x0", "x1", (F.shiftleft(F.col("image_number").cast("long"), 30) + place("y") * (1 << 15) + place("x0")).alias("node")))
+    reach = 1 if diagonal else 0
+    below = runs.select("image", (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("node").alias("v"))
+    links = runs.join(below, ["image", "y"]).where((F.col("x0") <= F.col("b1") + reach) & (F.col("b0") <= F.col("x1") + reach))
+    roots = connected_components(links.select(F.col("node").alias("u"), "v"))
+    found = runs.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
+    return found.select("image", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "component")
 
 
 def component_areas(labelled: DataFrame) -> DataFrame:
@@ -182,18 +209,128 @@ def largest_rectangle(px: DataFrame, mask: str) -> DataFrame:
     """(image, area) of the largest upright rectangle inside the mask.
 
     Every run of pixels down a column ends a stack of heights; a rectangle of height k is a run of
-    columns at least k high. Each (row, height) is an islands query, so work is rows x heights x columns.
+    columns at least k high. A rectangle that can't grow is as high as one of its columns, so a
+    stretch of a row is tried only for the heights that occur in it: for a solid shape these are few.
     """
     down = Window.partitionBy("image", "x").orderBy("y")
     breaks = F.sum((F.col(mask) == 0).cast("int")).over(down)
-    high = px.withColumn("block", breaks).withColumn("height", F.sum(mask).over(Window.partitionBy("image", "x", "block").orderBy("y")))
-    tall = high.where("height > 0").select("image", "y", "x", F.explode(F.sequence(F.lit(1), F.col("height").cast("int"))).alias("k"))
+    high = px.withColumn("block", breaks).withColumn("height", F.sum(mask).over(Window.partitionBy("image", "x", "block").orderBy("y"))).where("height > 0")
+    stretch = F.col("x") - F.row_number().over(Window.partitionBy("image", "y").orderBy("x"))
+    heights = F.collect_set("height").over(Window.partitionBy("image", "y", "stretch"))
+    tried = high.withColumn("stretch", stretch).withColumn("heights", heights)
+    tall = tried.select("image", "y", "x", F.explode(F.filter("heights", lambda k: k <= F.col("height"))).alias("k"))
     along = Window.partitionBy("image", "y", "k").orderBy("x")
     runs = tall.withColumn("run", F.col("x") - F.row_number().over(along))
     widths = runs.groupBy("image", "y", "k", "run").agg(F.count("*").alias("w"))
     return widths.groupBy("image").agg(F.max(F.col("w") * F.col("k")).alias("area"))
 
 
+def contour_length(on: DataFrame) -> DataFrame:
+    """(image, contour): the length of the outline of the pixels in ``on`` (image, y, x), steps from pixel
+    to pixel, diagonal ones sqrt(2). The frame counts as outside; parts one pixel thin count once."""
+    df = on
+    for i, (line, along) in enumerate(AXES):
+        w = Window.partitionBy("image", line).orderBy(along)
+        beside = F.coalesce(F.lag(along).over(w) == F.col(along) - 1, F.lit(False)) & F.coalesce(F.lead(along).over(w) == F.col(along) + 1, F.lit(False))
+        df = df.withColumn(f"inner_{i}", beside)
+    edge = cut(df.where(~(F.col("inner_0") & F.col("inner_1"))).select("image", "y", "x"))
+    diagonals = None
+    for dx in (1, -1):
+        at = lambda dy, ddx: edge.select("image", (F.col("y") - dy).alias("y"), (F.col("x") - ddx).alias("x"))
+        # Two pixels that touch at a corner only, without one beside both.
+        met = edge.join(at(1, dx), ["image", "y", "x"]).join(at(1, 0), ["image", "y", "x"], "left_anti").join(at(0, dx), ["image", "y", "x"], "left_anti")
+        diagonals = met if diagonals is None else diagonals.union(met)
+    turns = diagonals.groupBy("image").agg(F.count("*").alias("d"))
+    sized = edge.groupBy("image").agg(F.count("*").alias("n")).join(turns, "image", "left")
+    return sized.select("image", (F.col("n") + F.coalesce("d", F.lit(0)) * (2**0.5 - 1)).alias("contour"))
+
+
+def topology(px: DataFrame, mask: str, share: float = 0.05) -> DataFrame:
+    """One row an image: pieces of at least ``share`` of the largest, their size_ratio, holes, and of the largest
+    piece (the first of equal ones) main_area, fill, aspect and contour. Images without mask pixels have no pieces."""
+    labelled = cut(label(px, mask))
+    areas = cut(component_areas(labelled))
+    main = areas.groupBy("image").agg(F.min_by(F.struct("component", "area", "x0", "x1", "y0", "y1"), F.struct(-F.col("area"), "component")).alias("m")).select("image", "m.*")
+    pieces = areas.join(main.select("image", F.col("area").alias("top")), "image").where(F.col("area") >= share * F.col("top"))
+    counts = pieces.groupBy("image").agg(F.count("*").alias("pieces"), F.try_divide(F.min("area"), F.max("area")).alias("size_ratio"))
+    w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
+    shapes = main.select("image", F.col("area").alias("main_area"), ratio(F.col("area"), w * h).alias("fill"), ratio(w, h).alias("aspect"))
+    contours = contour_length(labelled.join(main.select("image", "component"), ["image", "component"], "left_semi").select("image", "y", "x"))
+    found = holes(px, mask).groupBy("image").agg(F.count("*").alias("holes"))
+    out = px.select("image").distinct()
+    for part in (counts, shapes, contours, found):
+        out = out.join(part, "image", "left")
+    return out.na.fill(0, ["pieces", "holes", "main_area"])
+
+
+def edge_width(px: DataFrame, alpha: str, mask: str) -> DataFrame:
+    """(image, uncertain, perimeter): pixels neither inside nor outside, and pixels that lie at the mask's outline."""
+    near = boundary_band(px, mask, 3)
+    uncertain = (F.col(alpha) > 0.05) & (F.col(alpha) < 0.95)
+    return near.groupBy("image").agg(F.count_if(uncertain).alias("uncertain"), F.count_if("band").alias("perimeter"))
+
+
+def boundary_contrast(px: DataFrame, mask: str, radius: int, least: int = 64) -> DataFrame:
+    """(image, boundary_contrast): whether the colours on the two sides of the outline differ by more than the noise.
+
+    Box means in Lab of the mask's side and of the other are compared along the outline, but for the
+    frame; 0.5 where mask or outline have too few pixels or the mask fills the image.
+    """
+    scaled = lab(px).withColumns({"L": F.col("L") * 2.55, "m": F.col(mask).cast("double")})
+    inside, outside = F.col("m"), 1 - F.col("m")
+    means = {f"{side}_{c}": F.col(c) * w for side, w in (("in", inside), ("out", outside)) for c in ("L", "a", "b_")}
+    df = boxes(scaled, means | {"in_w": inside, "out_w": outside, "mean_l": F.col("L"), "mean_l2": F.col("L") * F.col("L")}, radius)
+    size = Window.partitionBy("image")
+    df = boundary_band(df.withColumns({"h": F.max("y").over(size), "w": F.max("x").over(size)}), mask, 3)
+    of = lambda side, c: F.col(f"{side}_{c}") / F.greatest(F.col(f"{side}_w"), F.lit(1e-3))
+    step = F.sqrt(sum((F.pow(of("in", c) - of("out", c), 2) for c in ("L", "a", "b_")), F.lit(0.0)))
+    noise = F.sqrt(F.greatest(F.col("mean_l2") - F.col("mean_l") * F.col("mean_l"), F.lit(0.0))) + 1.5
+    free = (F.least("y", "x", F.col("h") - F.col("y"), F.col("w") - F.col("x")) > radius) & F.col("band")
+    sums = df.groupBy("image").agg(F.sum("m").alias("on"), F.avg("m").alias("share"), F.count_if(free).alias("n"), F.avg(F.when(free, (step < noise).cast("double"))).alias("flat"))
+    known = (F.col("on") >= least) & (F.col("share") <= 0.98) & (F.col("n") >= least)
+    return sums.select("image", F.when(known, falling(F.col("flat"), 0.06, 0.34)).otherwise(0.5).alias("boundary_contrast"))
+
+
+def suppress_shadow(px: DataFrame, alpha: str, least: int = 200, least_shadow: int = 300) -> DataFrame:
+    """Sets ``alpha`` to 0 where a cast shadow was taken for the object; adds shadow_suppressed.
+
+    A shadow is soft, without colour, a little darker than the backdrop and away from the solid body.
+    Images with too few soft, solid, backdrop or shadow pixels stay as they are.
+    """
+    v, low, a = F.greatest("r", "g", "b") / 255.0, F.least("r", "g", "b") / 255.0, F.col(alpha)
+    df = px.withColumns({"sh_v": v, "sh_s": F.when(v == 0, 0.0).otherwise((v - low) / v), "sh_body": (a > 0.6).cast("int")})
+    backdrop = df.groupBy("image").agg(F.count_if((a > 0.08) & (a < 0.75)).alias("soft"), F.count_if(a > 0.9).alias("solid"), F.count_if(a < 0.02).alias("empty"), F.median(F.when(a < 0.02, F.col("sh_v"))).alias("bg"))
+    df = dilate(df, "sh_body", 8, "sh_near").join(backdrop, "image")
+    dim = (a > 0.08) & (a < 0.75) & (F.col("sh_s") < 0.18) & (F.col("sh_v") < F.col("bg") - 0.02) & (F.col("sh_v") > F.col("bg") - 0.42)
+    df = df.withColumn("sh_dim", F.coalesce(dim, F.lit(False))).withColumn("sh_target", F.col("sh_dim") & (F.col("sh_near") == 0))
+    image = Window.partitionBy("image")
+    gate = (F.least("soft", "solid", "empty") >= least) & (F.count_if("sh_dim").over(image) >= least_shadow) & (F.count_if("sh_target").over(image) >= least_shadow)
+    df = df.withColumn("shadow_suppressed", gate)
+    return df.withColumn(alpha, F.when(F.col("shadow_suppressed") & F.col("sh_target"), 0.0).otherwise(a)).select(*px.columns, "shadow_suppressed")
+
+
+def weighted_low_pass(px: DataFrame, value: str, alpha: str, radius: int, out: str) -> DataFrame:
+    """Smooths ``value`` over the pixels that ``alpha`` says belong to the object: three box passes stand for a Gaussian."""
+    df = px.withColumns({"wl_n": F.col(value) * F.col(alpha), "wl_d": F.col(alpha).cast("double")})
+    for _ in range(3):
+        df = boxes(df, {"wl_n": F.col("wl_n"), "wl_d": F.col("wl_d")}, radius)
+    return df.withColumn(out, F.col("wl_n") / F.greatest(F.col("wl_d"), F.lit(1e-4))).drop("wl_n", "wl_d")
+
+
+def shrink(px: DataFrame, most: int = 480, least: int = 8) -> DataFrame:
+    """The pixels of an image whose long edge is ``most`` at the most, by nearest sampling; short edges keep ``least``."""
+    size = Window.partitionBy("image")
+    df = px.withColumns({"sk_y": F.max("y").over(size) + 1, "sk_x": F.max("x").over(size) + 1})
+    long, kept = F.greatest("sk_y", "sk_x"), []
+    for c in ("y", "x"):
+        n = F.col(f"sk_{c}")
+        to = F.when(long <= most, n).otherwise(F.greatest(F.lit(least), F.round(n * most / long))).cast("long")
+        place = F.ceil(F.col(c) * to / n)
+        kept.append((place, (F.floor(place * n / to) == F.col(c)) & (place < to)))
+    df = df.where(kept[0][1] & kept[1][1]).withColumns({"sk_ny": kept[0][0], "sk_nx": kept[1][0]})
+    return df.select(*[F.col(f"sk_n{c}").cast(px.schema[c].dataType).alias(c) if c in ("y", "x") else c for c in px.columns])
+
+
 def longest_column_run(px: DataFrame, mask: str, share: float = 0.92, gap: int = 2) -> DataFrame:
     """(image, x0, x1): the longest run of columns of which ``share`` of the tallest column is covered."""
     columns = px.groupBy("image", "x").agg(F.sum(mask).alias("n"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetloom.functions.columns import ratio
-from assetloom.schema import FAILED, READY, RESULT_COLUMNS, REVIEW
+from assetloom.functions.columns import percent, ratio
+from assetloom.operators.evaluation import percentiles
+from assetloom.schema import FAILED, READY, RESULT_COLUMNS, REVIEW, Settings
 
 
 def summary_columns(wall_ms: Column) -> list[Column]:
@@ -39,6 +40,35 @@ def report_order(best_first: bool = False, missing: int = 1) -> list[Column]:
     return [verdict_rank(F.col("verdict"), missing), conf.desc() if best_first else conf.asc()]
 
 
+def metric_chips() -> Column:
+    """What a report card says about a row of RESULT_SCHEMA: (name, text) pairs; none for a row in error."""
+    m = lambda name: F.col(f"metrics.{name}")
+    fixed = lambda c, places: F.format_string(f"%.{places}f", c.cast("double"))
+    chips = [
+        ("confidence", fixed(F.coalesce("confidence", F.lit(0.0)), 3)),
+        ("coverage", percent(m("coverage"))),
+        ("edge", fixed(m("edge_sharpness"), 2)),
+        ("ensemble IoU", F.when(m("ensemble_iou").isNotNull(), fixed(m("ensemble_iou"), 3))),
+        ("solidity", fixed(m("solidity"), 2)),
+        ("holes", m("holes").cast("string")),
+        ("print area", F.when(F.col("print_area.kind") != "none", F.concat(F.col("print_area.kind"), F.lit(" ("), fixed(F.col("print_area.confidence"), 2), F.lit(")")))),
+        ("latency", F.concat(fixed(F.coalesce(F.try_element_at("timings_ms", F.lit("total")), F.lit(0.0)), 0), F.lit(" ms"))),
+    ]
+    pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("text")) for k, v in chips]), lambda c: c["text"].isNotNull())
+    return F.when((F.col("status") == "error") | F.col("metrics").isNull(), F.array().cast("array<struct<name:string,text:string>>")).otherwise(pairs)
+
+
+def verdict_tag(verdict: Column) -> Column:
+    """The verdict that a card shows: a row without one counts as failed."""
+    return F.coalesce(verdict, F.lit(FAILED))
+
+
+def with_run_metadata(results: DataFrame, model: str, workers: int, settings: Settings | None = None) -> DataFrame:
+    """Adds the run's model, workers and thresholds to every row of a report."""
+    s = settings or Settings.of(results.sparkSession)
+    return results.withColumns({"run_model": F.lit(model), "run_workers": F.lit(workers), "run_ready_threshold": F.lit(s.ready_threshold), "run_review_threshold": F.lit(s.review_threshold)})
+
+
 def filter_verdict(results: DataFrame, verdict: str) -> DataFrame:
     return results if verdict == "ALL" else results.where(F.col("verdict") == verdict)
 
@@ -69,10 +99,10 @@ def disk_usage_mb(files: DataFrame) -> DataFrame:
     return files.agg(F.round(F.coalesce(F.sum("length"), F.lit(0)) / 1e6, 2).alias("disk_mb"))
 
 
-def stage_deltas(marks: DataFrame, image: str, at: str, tiebreak: str) -> DataFrame:
+def stage_deltas(marks: DataFrame, image: str, mark: str, order: tuple[str, ...]) -> DataFrame:
     """Time of each stage: its mark less the mark before; null for the first."""
-    before = F.lag(at).over(Window.partitionBy(image).orderBy(at, tiebreak))
-    return marks.withColumn("delta", F.col(at) - before)
+    before = F.lag(mark).over(Window.partitionBy(image).orderBy(*order))
+    return marks.withColumn("delta", F.col(mark) - before)
 
 
 def shares(df: DataFrame, value: str) -> DataFrame:
@@ -83,12 +113,16 @@ def shares(df: DataFrame, value: str) -> DataFrame:
 
 
 def latency_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Count, mean, exact p50 and p95, least and most of each group."""
     v = F.col(value)
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.95).alias("p95"), F.min(v).alias("min"), F.max(v).alias("max"))
+    plain = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    ranked = percentiles(df, value, by, {"p50": 0.5, "p95": 0.95})
+    same = [plain[c].eqNullSafe(ranked[c]) for c in by]
+    return plain.join(ranked, same, "left").select(*[plain[c] for c in by], "n", "mean", "p50", "p95", "min", "max")
 
 
-def runs(df: DataFrame, key: str, at: str, gap) -> DataFrame:
-    """Numbers the runs of each key: a new one starts where ``at`` steps by more than ``gap``."""
-    w = Window.partitionBy(key).orderBy(at)
+def runs(df: DataFrame, key: str, at: str, gap, tiebreak: tuple[str, ...] = ()) -> DataFrame:
+    """Numbers the runs of each key from 0: a new one starts where ``at`` steps by more than ``gap``."""
+    w = Window.partitionBy(key).orderBy(at, *tiebreak)
     starts = F.coalesce((F.col(at) - F.lag(at).over(w) > gap).cast("int"), F.lit(0))
-    return df.withColumn("starts", starts).withColumn("run", F.sum("starts").over(w)).drop("starts")
+    return df.withColumn("starts", starts).withColumn("run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")

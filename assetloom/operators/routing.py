@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.functions.columns import band_score, clip, coverage_score, falling, ramp
-from assetloom.schema import FAILED, READY, REVIEW, WEIGHTS, Settings, taxonomy
+from assetloom.schema import CATEGORIES, FAILED, READY, REVIEW, WEIGHTS, Settings, taxonomy
 
 EMPTY_BELOW, FULL_ABOVE = 0.004, 0.985
 
@@ -63,7 +63,7 @@ def shape_score(fill: Column, aspect: Column, solidity: Column, quad_fit: Column
 
 def with_taxonomy(df: DataFrame) -> DataFrame:
     """Adds the category's row; unknown categories get that of auto. The dimension has five rows."""
-    known = F.when(F.col("category").isin([r.category for r in taxonomy(df.sparkSession).collect()]), F.col("category")).otherwise("auto")
+    known = F.when(F.col("category").isin(CATEGORIES), F.col("category")).otherwise("auto")
     dimension = F.broadcast(taxonomy(df.sparkSession).withColumnRenamed("category", "known_category"))
     return df.withColumn("known_category", known).join(dimension, "known_category").drop("known_category")
 

@@ -13,7 +13,7 @@ from assetloom.plans.registry import query
 from assetloom.plans.relational import ROUTED, routed
 from assetloom.schema import CATEGORIES, CATEGORY_ALIASES, Settings
 from assetloom.session import shared_dir, table
-from assetloom.sources import sinks
+from assetloom.sources import manifests, sinks
 from assetloom.streaming import progress
 
 TERMS = ["edge_alignment", "sharpness", "topology", "border", "bg_consistency", "shape_prior", "boundary_contrast", "complexity"]
@@ -187,6 +187,80 @@ def longest_column_run(spark, sf_dir):
 @query("select cast(date_trunc('day', ts) as timestamp) as day, event_type, count(*) n from events group by 1, 2")
 def windowed_events(spark, sf_dir):
     """Event-time windows of a day with a watermark, run to the end of the available data."""
-    name = f"windows_{uuid.uuid4().hex}"
-    found = progress.run_available(progress.windowed_counts(_events_stream(spark, sf_dir), "ts"), "complete", name, f"{shared_dir(spark)}/{name}")
+    folder = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    found = progress.run_available(progress.windowed_counts(_events_stream(spark, sf_dir), "ts"), ["window", "event_type"], folder)
     return found.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query("select o_custkey, array_to_string(list(o_orderkey order by o_orderkey desc), ' ') newest from (select *, row_number() over (partition by o_custkey order by o_orderkey desc) place from orders) where place <= 3 group by 1")
+def streamed_history(spark, sf_dir):
+    """The newest three orders of each customer, kept as state of a stream that forgets what they push out."""
+    orders = spark.readStream.schema(table(spark, sf_dir, "orders").schema).option("pathGlobFilter", "orders.parquet*").parquet(sf_dir)
+    found = progress.run_available(progress.newest(orders, "o_custkey", "o_orderkey", 3), ["o_custkey"], f"{shared_dir(spark)}/history-{uuid.uuid4().hex}")
+    return found.select("o_custkey", F.array_join(F.col("newest").cast("array<string>"), " ").alias("newest"))
+
+
+def _reviewed_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.select("doc_id", F.when(F.col("quality") == 1, "accept").when(F.col("quality") == 0, "reject").otherwise(" ").alias("review_status"))
+
+
+@query("select w, count(*) n, cast(sum(doc_id) as bigint) ids from (select d.doc_id, case quality when 1 then 'accept' when 0 then 'reject' else 'todo' end s from documents d left join labels l using (doc_id)), (values ('all'), ('todo'), ('accept')) f(w) where w = 'all' or w = s group by w")
+def review_filters(spark, sf_dir):
+    rows, out = _reviewed_rows(spark, sf_dir), None
+    for which in ("all", "todo", "accept"):
+        found = curation.review_filter(rows, which).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")).select(F.lit(which).alias("w"), "n", "ids")
+        out = found if out is None else out.union(found)
+    return out
+
+
+PATHS = ["a/b.png", "../b.png", "a/../../b", "a/../b", "/etc/x", "./a", "..", "a/./../b"]
+
+
+@query(f"select doc_id, [true, false, false, true, false, true, false, true][doc_id % {len(PATHS)} + 1] inside from documents")
+def contained_paths(spark, sf_dir):
+    path = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("doc_id") % len(PATHS) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", c.stays_inside(path).alias("inside"))
+
+
+@query("""with p as (select vec_id, unnest([{'x': embedding[1]::double, 'y': embedding[2]::double}, {'x': embedding[3]::double, 'y': embedding[4]::double}, {'x': embedding[5]::double, 'y': embedding[6]::double}, {'x': embedding[7]::double, 'y': embedding[8]::double}]) p from embeddings),
+a as (select vec_id, p.x x, p.y y, atan2(p.y - avg(p.y) over w, p.x - avg(p.x) over w) t from p window w as (partition by vec_id)), o as (select *, row_number() over (partition by vec_id order by t) - 1 i, first_value(t) over (partition by vec_id order by x + y, t) t0 from a),
+f as (select *, max(case when t = t0 then i end) over (partition by vec_id) i0 from o) select vec_id, (i - i0 + 4) % 4 place, round(x, 6) x, round(y, 6) y from f""")
+def ordered_quads(spark, sf_dir):
+    e = F.col("embedding").cast("array<double>")
+    quads = table(spark, sf_dir, "embeddings").select("vec_id", c.ordered_quad(F.array(*[F.array(e[2 * i], e[2 * i + 1]) for i in range(4)])).alias("quad"))
+    return quads.select("vec_id", F.posexplode("quad").alias("place", "p")).select("vec_id", F.col("place").cast("long").alias("place"), F.round(F.col("p")[0], 6).alias("x"), F.round(F.col("p")[1], 6).alias("y"))
+
+
+def _old_and_new(d):
+    """An old and a new address of each document; one in three lacks the old, one in five the new."""
+    old = F.when(d % 3 != 0, F.concat(F.lit("http://old/"), d.cast("string"))).otherwise("")
+    new = F.when(d % 5 != 0, F.concat(F.lit("https://new/"), d.cast("string"), F.lit(".jpg"))).otherwise("")
+    return old, new
+
+
+MANIFEST_SQL = "select cast(doc_id as varchar) sku, 'https://new/' || doc_id || '.jpg' url, 'apparel' category from documents where doc_id % 5 <> 0"
+
+
+@query(MANIFEST_SQL)
+def csv_manifest(spark, sf_dir):
+    """A written list whose header has one name twice: the last column counts, rows without an address there are warnings."""
+    d = F.col("doc_id")
+    old, new = _old_and_new(d)
+    folder = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    lines = table(spark, sf_dir, "documents").select(d.alias("k"), F.concat_ws(",", d.cast("string"), old, new, F.lit("T-Shirt")).alias("value"))
+    head = spark.createDataFrame([(-1, "SKU,URL,url,Product Type")], "k long, value string")
+    lines.union(head).repartition(1).sortWithinPartitions("k").select("value").write.text(folder)
+    return manifests.read_csv(spark, folder)[0].select("sku", "url", "category")
+
+
+@query(MANIFEST_SQL)
+def json_manifest(spark, sf_dir):
+    """The same as one JSON document, with keys that normalise alike."""
+    d = F.col("doc_id")
+    old, new = _old_and_new(d)
+    folder = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    entry = F.to_json(F.struct(d.cast("string").alias("sku"), old.alias("url"), new.alias("URL "), F.lit("hoodie").alias("type")))
+    entries = table(spark, sf_dir, "documents").agg(F.concat(F.lit('{"items": ['), F.array_join(F.collect_list(entry), ","), F.lit("]}")).alias("value"))
+    entries.write.text(folder)
+    return manifests.read_json(spark, folder)[0].select("sku", "url", "category")

@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from assetloom.operators import pixels
+from assetloom.operators import pixels, routing, verdicts
 from assetloom.plans.registry import query
-from assetloom.session import table
+from assetloom.schema import CATEGORIES, Settings
+from assetloom.session import cut, shared_dir, table
 from assetloom.streaming import progress
 
 PX = """
@@ -107,6 +108,51 @@ def thumbnail(spark, sf_dir):
     return pixels.thumbnail(_px(spark, sf_dir), "e", 2).select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("e", 9).alias("e"))
 
 
+@query(PX + "select image, k.y, k.x, e from px join (select a.k y, b.k x, a.k * 8 // 3 sy, b.k * 8 // 3 sx from (values (0), (1), (2)) a(k), (values (0), (1), (2)) b(k)) k on k.sy = px.y and k.sx = px.x")
+def shrunk(spark, sf_dir):
+    return pixels.shrink(_px(spark, sf_dir), most=3, least=2).select("image", "y", "x", "e")
+
+
+BAND_SCORE = "greatest(0, least(1, case when {x} < {lo} then 1 - ({lo} - {x}) / {soft}::double when {x} > {hi} then 1 - ({x} - {hi}) / {soft}::double else 1 end))"
+GRID_VERDICTS = (
+    PX
+    + LABELS.format(value=1, more="")
+    + LABELS.format(value=0, more="and abs(o.y - l.y) + abs(o.x - l.x) = 1").replace(" own", " own0").replace(" l as", " l0 as").replace("from l join", "from l0 l join").replace("best as", "best0 as").replace("from l group", "from l0 group")
+    + f""",
+ar as (select image, c, count(*) area, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from best group by 1, 2),
+mn as (select * from (select *, row_number() over (partition by image order by area desc, c) p from ar) where p = 1),
+pc as (select ar.image, count(*) pieces, min(ar.area) / max(ar.area)::double size_ratio from ar join mn on mn.image = ar.image where ar.area >= 0.05::double * mn.area group by 1),
+ho as (select image, count(*) holes from (select image, c from best0 group by 1, 2 having min(y) > 0 and min(x) > 0 and max(y) < 7 and max(x) < 7) group by 1),
+main as (select b.image, b.y, b.x from best b join mn on mn.image = b.image and mn.c = b.c),
+ed as (select * from main o where (select count(*) from main n where n.image = o.image and abs(n.y - o.y) + abs(n.x - o.x) = 1) < 4),
+dg as (select a.image, count(*) d from ed a join ed b on b.image = a.image and b.y = a.y + 1 and abs(b.x - a.x) = 1 where not exists (select 1 from ed k where k.image = a.image and ((k.y = a.y + 1 and k.x = a.x) or (k.y = a.y and k.x = b.x))) group by 1),
+ct as (select ed.image, count(*) + coalesce(max(d), 0) * (sqrt(2) - 1) contour from ed left join dg on dg.image = ed.image group by 1),
+nb as (select p.image, p.y, p.x, p.m, p.e, max(n.m) hi, min(n.m) lo from px p join px n on n.image = p.image and abs(n.y - p.y) <= 1 and abs(n.x - p.x) <= 1 group by 1, 2, 3, 4, 5),
+ew as (select image, avg(m) coverage, sum(case when hi > lo then 1 else 0 end)::double perimeter, count(*) filter (e + 0.5::double > 0.05::double and e + 0.5::double < 0.95::double) uncertain,
+  sum(m * ((y = 0)::int + (y = 7)::int + (x = 0)::int + (x = 7)::int)) / 32.0::double contact from nb group by 1),
+t(k, lo, hi, holes_ok, f0, f1, a0, a1) as (values (0, 0.10::double, 0.92::double, true, 0.34::double, 0.94::double, 0.45::double, 2.10::double), (1, 0.05, 0.75, true, 0.62, 1.0, 0.28, 1.9), (2, 0.08, 0.95, false, 0.78, 1.0, 0.25, 4.0), (3, 0.04, 0.9, true, 0.52, 1.0, 0.2, 4.5), (4, 0.03, 0.96, true, 0.25, 1.0, 0.15, 5.0)),
+f as (select ew.*, coalesce(pieces, 0) pieces, coalesce(size_ratio, 1) size_ratio, coalesce(ho.holes, 0) holes, coalesce(mn.area, 0) main_area, mn.area / ((x1 - x0 + 1) * (y1 - y0 + 1))::double fill, (x1 - x0 + 1) / (y1 - y0 + 1)::double aspect, contour, t.*
+  from ew left join pc on pc.image = ew.image left join ho on ho.image = ew.image left join mn on mn.image = ew.image left join ct on ct.image = ew.image join t on t.k = ew.image % 5),
+g as (select *, case when pieces = 0 then 1 when pieces between 2 and 4 and size_ratio >= 0.25 then 0 else least(1, greatest(0, (pieces - 1) / 4.0::double)) end cp, case when f.holes > 12 then least(1, (f.holes - 12) / 30.0::double) when f.holes > 0 and not holes_ok then 0.35::double else 0 end hp,
+  case when perimeter < 32 then 0 else greatest(0, least(1, 1 - (uncertain / perimeter - 2) / 12.0::double)) end sharp, case when main_area < 32 then 0 else greatest(0, least(1, (contour / sqrt(main_area) - 4.2::double) / 8.0::double)) end cx, greatest(0, least(1, 1 - (contact - 0.02::double) / 0.28::double)) border,
+  case when coverage between lo and hi then 1 when coverage < lo then least(1, coverage / lo) else greatest(0, least(1, (1 - coverage) / (1 - hi))) end cov,
+  case when main_area < 8 then 0 else least({BAND_SCORE.format(x="fill", lo="f0", hi="f1", soft="0.30")}, {BAND_SCORE.format(x="aspect", lo="a0", hi="a1", soft="1.20")}) end shape from f),
+k as (select *, (0.12::double * sharp + 0.10::double * case when pieces = 0 then 0 else greatest(0, 1 - 0.5::double * cp - 0.3::double * hp) end + 0.07::double * cov + 0.05::double * border + 0.02::double * shape) / 0.36::double * (1 - 0.1::double * cx) conf from g)
+select image, pieces, holes, round(contour, 6) contour, round(case when coverage < 0.004::double or coverage > 0.985::double then 0 else conf end, 4) confidence,
+  case when coverage < 0.004::double or coverage > 0.985::double then 'FAILED' when conf >= 0.82::double and not (cp > 0.2::double or shape < 0.6::double or contact > 0.06::double) then 'READY' when conf >= 0.55::double then 'REVIEW' else 'FAILED' end verdict from k"""
+)
+
+
+@query(GRID_VERDICTS)
+def grid_verdicts(spark, sf_dir):
+    """From pixels to a verdict in one run: everything that a mask alone tells is measured, scored and routed."""
+    px = _px(spark, sf_dir).withColumn("alpha", F.greatest(F.least(F.col("e") + 0.5, F.lit(1.0)), F.lit(0.0)))
+    kind = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.col("image") % 5 + 1).cast("int"))
+    measured = cut(verdicts.measure(px, "m", "alpha").withColumn("category", kind))
+    found = routing.assess(verdicts.signals(measured, least=8), Settings())
+    return found.select("image", "pieces", "holes", F.round("contour", 6).alias("contour"), "confidence", "verdict")
+
+
 def _events_stream(spark, sf_dir):
     batch = table(spark, sf_dir, "events")
     return spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet*").parquet(sf_dir)
@@ -115,8 +161,5 @@ def _events_stream(spark, sf_dir):
 @query("select event_type, count(*) n, round(sum(value), 4) total from events group by event_type")
 def job_progress(spark, sf_dir):
     """The streaming count of what has arrived, run to the end of the available data."""
-    from assetloom.session import shared_dir
-
     counted = progress.progress_counts(_events_stream(spark, sf_dir), ["event_type"])
-    name = f"progress_{uuid.uuid4().hex}"
-    return progress.run_available(counted, "complete", name, f"{shared_dir(spark)}/{name}").withColumn("total", F.round("total", 4))
+    return progress.run_available(counted, ["event_type"], f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}").withColumn("total", F.round("total", 4))

@@ -153,7 +153,7 @@ def _groups(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    return curation.group_split(_groups(spark, sf_dir), "grp", seed=None)
+    return curation.group_split(_groups(spark, sf_dir), "grp")
 
 
 GREEDY = """
@@ -209,17 +209,15 @@ def stage_share(spark, sf_dir):
 
 @query("select event_id, round(value - lag(value) over (partition by user_id order by ts, event_id), 9) delta from events")
 def stage_delta(spark, sf_dir):
-    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") - before, 9).alias("delta"))
+    found = reporting.stage_deltas(table(spark, sf_dir, "events"), "user_id", "value", ("ts", "event_id"))
+    return found.select("event_id", F.round("delta", 9).alias("delta"))
 
 
 @query("""select user_id, run, count(*) n from (select user_id, sum(s) over (partition by user_id order by ts, event_id rows unbounded preceding) run from
   (select user_id, ts, event_id, case when ts - lag(ts) over (partition by user_id order by ts, event_id) > interval 1 day then 1 else 0 end s from events)) group by 1, 2""")
 def gap_runs(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    df = table(spark, sf_dir, "events").withColumn("s", F.when(F.col("ts") - F.lag("ts").over(w) > F.expr("interval 1 day"), 1).otherwise(0))
-    run = F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run")
-    return df.select("user_id", run).groupBy("user_id", "run").agg(F.count("*").alias("n"))
+    found = reporting.runs(table(spark, sf_dir, "events"), "user_id", "ts", F.expr("interval 1 day"), ("event_id",))
+    return found.groupBy("user_id", "run").agg(F.count("*").alias("n"))
 
 
 @query("select l_returnflag, round(avg(case when l_discount >= 0.02 then 1.0 else 0.0 end), 9) at_02, round(avg(case when l_discount >= 0.05 then 1.0 else 0.0 end), 9) at_05, round(avg(case when l_discount >= 0.08 then 1.0 else 0.0 end), 9) at_08 from lineitem group by 1")
@@ -246,7 +244,7 @@ def eval_by_category(spark, sf_dir):
 @query(ROUTED + """select count(*) images, round(avg(confidence), 6) mean_iou, round(quantile_cont(confidence, 0.5), 6) median_iou, min(confidence) min_iou, round(avg(n_chars), 6) mean_latency, round(quantile_cont(n_chars::double, 0.95), 6) p95_latency,
  round(avg((confidence >= 0.5::double)::int), 9) iou_at_50, round(avg((confidence >= 0.75::double)::int), 9) iou_at_75, round(avg((confidence >= 0.9::double)::int), 9) iou_at_90, round(avg((confidence >= 0.95::double)::int), 9) iou_at_95 from routed""")
 def eval_summary(spark, sf_dir):
-    found = routed(spark, sf_dir).agg(*evaluation.accuracy_summary(F.col("confidence"), F.col("n_chars").cast("double")))
+    found = evaluation.accuracy_summary(routed(spark, sf_dir), "confidence", "n_chars")
     return found.select("images", *[F.round(x, 9 if "_at_" in x else 6).alias(x) for x in found.columns if x != "images"])
 
 

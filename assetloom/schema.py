@@ -36,6 +36,7 @@ CATEGORY_COLUMNS = ["category", "product_type", "type", "product_category"]
 SKU_COLUMNS = ["sku", "id", "code", "product_id", "base_id"]
 #: The lists that a JSON manifest may hold its items in.
 ENVELOPES = ["items", "images", "data", "rows", "bases"]
+#: Suffixes of images, and names of colours that stand for others.
 IMAGE_SUFFIXES = [".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tif", ".tiff"]
 COLOUR_ALIASES = {"lightblue": "light-blue", "lightyellow": "light-yellow", "lightgreen": "light-green", "blackwhite": "black-white", "black&white": "black-white"}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ def _normalised(name: str) -> str:
 
 
 def _pick(columns: dict[str, str], names: list[str]) -> Column:
-    """The first of ``names``, in their order, whose trimmed value isn't blank; columns: normalised -> actual."""
+    """The first of ``names``, in their order, whose trimmed value isn't blank; columns: normalised -> actual, the last of equal names."""
     found = [blank_to_null(F.col(f"`{columns[n]}`").cast("string")) for n in names if n in columns]
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
@@ -30,12 +32,17 @@ def _typed(rows: DataFrame, url: Column, kind: Column, sku: Column) -> DataFrame
     return rows.select("row", url.alias("source"), url.alias("url"), category(kind).alias("category"), sku.alias("sku"))
 
 
+def _names(header: str, sep: str) -> list[str]:
+    """The header's names as CSV has them."""
+    return next(csv.reader([header], delimiter=sep))
+
+
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(items, warnings). Items: row, source, url, category, sku; warnings: row, warning.
 
-    Only the first line reaches the driver. Rows are numbered as in the file, the header being 1.
-    Without a known URL column every line is read again, the first included: column 1 is the URL if
-    it starts with http(s), column 2 the category.
+    Only the first line reaches the driver. Rows are numbered as in the file, the header being 1. Of
+    columns whose names are the same the last one counts. Without a known URL column every line is
+    read again, the first included: column 1 is the URL if it starts with http(s), column 2 the category.
     """
     lines = spark.read.text(path)
     head = lines.where(F.trim("value") != "").limit(1).collect()
@@ -43,14 +50,15 @@ def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if not head:
         return empty_items, spark.createDataFrame([(None, "CSV is empty")], "row long, warning string")
     sep = delimiter_of(head[0].value)
-    table = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False)
-    columns = {_normalised(c): c for c in table.columns}
+    columns = {_normalised(name): f"c{i}" for i, name in enumerate(_names(head[0].value, sep))}
+    schema = ", ".join(f"c{i} string" for i in range(max(2, len(_names(head[0].value, sep)))))
+    # Names of our own, so that equal names in the file can't clash.
+    reader = spark.read.schema(schema).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).option("enforceSchema", True)
     if not columns.keys() & set(URL_COLUMNS):
-        bare = spark.read.csv(path, header=False, sep=sep, quote='"', escape='"', multiLine=True).withColumn("row", F.monotonically_increasing_id() + 1)
-        url = F.trim(F.regexp_replace("_c0", "^﻿", ""))
-        kind = F.col("_c1") if "_c1" in bare.columns else F.lit(None)
-        return _typed(bare.where(is_http(url)), url, kind, F.lit(None).cast("string")), spark.createDataFrame([(1, "no known URL column; column 1 is used")], "row long, warning string")
-    numbered = table.withColumn("row", F.monotonically_increasing_id() + 2)
+        bare = reader.csv(path, header=False).withColumn("row", F.monotonically_increasing_id() + 1)
+        url = F.trim(F.regexp_replace("c0", "^\ufeff", ""))
+        return _typed(bare.where(is_http(url)), url, F.col("c1"), F.lit(None).cast("string")), spark.createDataFrame([(1, "no known URL column; column 1 is used")], "row long, warning string")
+    numbered = reader.csv(path, header=True).withColumn("row", F.monotonically_increasing_id() + 2)
     url = _pick(columns, URL_COLUMNS)
     good = numbered.where(url.isNotNull())
     bad = numbered.where(url.isNull()).select("row", F.format_string("row %d: no image URL", "row").alias("warning"))
@@ -61,16 +69,21 @@ def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(items, warnings) of one JSON document: a list of addresses or objects, an object that holds such
     a list, or a single object. Items are numbered from 0."""
     text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"))
-    doc = text.select(F.try_parse_json("value").alias("v"))
+    doc = text.select("value", F.try_parse_json("value").alias("v"))
     lists = [F.try_variant_get("v", f"$.{k}", "array<variant>") for k in ENVELOPES]
     entries = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), *lists, F.when(F.schema_of_variant("v").startswith("OBJECT"), F.array("v")))
     bad_doc = doc.where(F.col("v").isNull() | entries.isNull()).select(F.lit(None).cast("long").alias("row"), F.lit("not a JSON list or object").alias("warning"))
-    each = doc.where("v is not null").select(F.posexplode(entries).alias("pos", "e")).withColumn("row", F.col("pos").cast("long"))
+    # The entries' own text keeps the order of their keys, which a variant doesn't.
+    raw_lists = [F.from_json(F.get_json_object("value", f"$.{k}"), "array<string>") for k in ENVELOPES]
+    raw = F.coalesce(F.from_json("value", "array<string>"), *raw_lists, F.array("value"))
+    each = doc.where(F.col("v").isNotNull() & entries.isNotNull()).select(F.posexplode(F.arrays_zip(entries.alias("e"), raw.alias("raw"))).alias("pos", "z")).select(F.col("pos").cast("long").alias("row"), "z.e", "z.raw")
     kind = F.schema_of_variant("e")
-    as_map = F.try_variant_get("e", "$", "map<string,variant>")
-    fields = F.when(kind.startswith("OBJECT"), F.transform_values(F.transform_keys(F.map_from_entries(F.array_distinct(F.transform(F.map_keys(as_map), lambda k: F.struct(key_of(k).alias("key"), as_map[k].cast("string").alias("value"))))), lambda k, _: k), lambda _, v: v))
+    # Keys that normalise alike come one after the other; the last value counts.
+    pairs = F.map_entries(F.from_json("raw", "map<string,string>"))
+    fields = F.when(kind.startswith("OBJECT"), F.transform(pairs, lambda x: F.struct(key_of(x["key"]).alias("key"), x["value"].alias("value"))))
+    last = lambda name: F.try_element_at(F.filter("fields", lambda x: x["key"] == name), F.lit(-1))["value"]
     each = each.withColumns({"text": F.when(kind == "STRING", F.trim(F.col("e").cast("string"))), "fields": fields})
-    pick = lambda names: F.coalesce(*[blank_to_null(F.try_element_at("fields", F.lit(n))) for n in names])
+    pick = lambda names: F.coalesce(*[blank_to_null(last(n)) for n in names])
     url = F.when(F.col("text").isNotNull(), F.when(is_http(F.col("text")), F.col("text"))).otherwise(pick(URL_COLUMNS))
     good = _typed(each.where(url.isNotNull()), url, pick(CATEGORY_COLUMNS), pick(SKU_COLUMNS))
     why = F.when(F.col("text").isNotNull(), "not an http(s) address").when(F.col("fields").isNotNull(), "no image URL").otherwise("not an object or text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +58,14 @@ def png_of(width: int, height: int, channels: int, pixels: bytes, level: int = 6
     return b"\x89PNG\r\n\x1a\n" + png_chunk(b"IHDR", head) + png_chunk(b"IDAT", zlib.compress(lines, level)) + png_chunk(b"IEND", b"")
 
 
+def _png_batches(batches):
+    for batch in batches:
+        pngs = [png_of(w, h, 1, bytes(v)) for w, h, v in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pngs, pa.binary())], ["image", "png"])
+
+
 def encode_png(images: DataFrame) -> DataFrame:
     """(image, png) from rows of pixels: image, y, x, v (0-255). A row of the result is one encoded image."""
-    @F.udf("binary")
-    def pack(width, height, values):
-        return png_of(width, height, 1, bytes(values))
-
     rows = images.groupBy("image").agg(F.max("x").alias("w"), F.max("y").alias("h"), F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
-    return rows.select("image", pack(F.col("w") + 1, F.col("h") + 1, F.transform("p", lambda s: s["v"].cast("int"))).alias("png"))
+    packed = rows.select("image", (F.col("w") + 1).alias("w"), (F.col("h") + 1).alias("h"), F.transform("p", lambda s: s["v"].cast("int")).alias("v"))
+    return packed.mapInArrow(_png_batches, f"image {images.schema['image'].dataType.simpleString()}, png binary")

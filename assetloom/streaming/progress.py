@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from assetloom.operators.reporting import summary_columns
 
@@ -23,8 +25,35 @@ def windowed_counts(events: DataFrame, at: str, late: str = "10 minutes", width:
     return timed.groupBy(F.window(at, width), "event_type").agg(F.count("*").alias("n"))
 
 
-def run_available(stream: DataFrame, mode: str, name: str, checkpoint: str) -> DataFrame:
-    """Processes what is there, then returns the sink's table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Processes what is there in update mode; returns the last state of each key.
+
+    Each batch's changed rows go to a file folder of their own, which a batch that is run again
+    overwrites; nothing passes the driver. The watermark, if there is one, evicts old state.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    schema = stream.schema.add("batch", "long")
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder + "/rows") if query.lastProgress else spark.createDataFrame([], schema)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch").alias("last"))
+    return last.select(*keys, "last.*")
+
+
+def newest(stream: DataFrame, key: str, sequence: str, limit: int) -> DataFrame:
+    """(key, newest): the ``limit`` greatest sequence numbers of each key so far, greatest first, in update mode.
+
+    The state of a key is that list and nothing else: what it pushes out is gone.
+    """
+    def keep(values, batches, state: GroupState):
+        held = list(state.get[0]) if state.exists else []
+        for batch in batches:
+            held = sorted({*held, *batch[sequence].tolist()}, reverse=True)[:limit]
+        state.update((held,))
+        yield pd.DataFrame({key: [values[0]], "newest": [held]})
+
+    schema = f"{key} {stream.schema[key].dataType.simpleString()}, newest array<long>"
+    return stream.select(key, F.col(sequence).cast("long").alias(sequence)).groupBy(key).applyInPandasWithState(keep, schema, "held array<long>", "update", "NoTimeout")
