@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.types import LongType, StructField, StructType
 
 from assetloom.operators.reporting import summary_columns
 
@@ -37,7 +38,7 @@ def run_available(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
     query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     spark = stream.sparkSession
-    schema = stream.schema.add("batch", "long")
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder + "/rows") if query.lastProgress else spark.createDataFrame([], schema)
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch").alias("last"))
     return last.select(*keys, "last.*")
