@@ -147,9 +147,10 @@ def placed(found: DataFrame) -> DataFrame:
     each = runs.select("pii_row", "run", F.posexplode("candidates").alias("i", "c")).select("pii_row", "run", "i", "c.*")
     end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("pii_row", "run").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     each = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
-    strict, by_start = F.col("form") == "strict", Window.partitionBy("pii_row").orderBy("start")
-    before = F.max(F.when(strict, F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(strict, F.col("start"))).over(by_start.rangeBetween(0, Window.unboundedFollowing))
+    # Both frames grow from their first row on: a frame that shrinks to its last row takes quadratic time.
+    strict, of_text = F.col("form") == "strict", Window.partitionBy("pii_row")
+    before = F.max(F.when(strict, F.col("end"))).over(of_text.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(strict, F.col("start"))).over(of_text.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))
     free = ~(F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False)))
     return each.select("pii_row", "kind", "place", "start", "end", "form", "votes", "traits", free.alias("free"))
 
