@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from assetloom.llm.common import crc_of_id
 
 #: The model is fitted on at most this many labelled rows, those with the least hash of their id.
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 3_000
 THRESHOLD = 0.3
 FOLDS, HELD_OUT_FOLD = 5, 0
 #: One row in so many of the sample is kept from the first fit, to turn margins into probabilities.
@@ -225,8 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = training_labels(labels)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
     found = texts.mapInArrow(_feature_batches, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, quality int, found binary")
-    rows = sorted(found.groupBy("doc_id").agg(F.min(F.struct("found", "quality")).alias("one")).select("doc_id", "one.*").collect())
-    return fit_model([np.frombuffer(r.found, dtype=np.int32) for r in rows], [r.quality for r in rows])
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("found", "quality")).alias("one")).select("doc_id", "one.*").toArrow().sort_by("doc_id")
+    return fit_model([np.frombuffer(x.as_buffer(), dtype=np.int32) for x in rows["found"]], rows["quality"].to_pylist())
 
 
 def _score_batches(batches, model):
