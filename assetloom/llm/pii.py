@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.llm.common import cut
@@ -155,30 +155,40 @@ def placed(found: DataFrame) -> DataFrame:
     return each.select("pii_row", "kind", "place", "start", "end", "form", "votes", "traits", free.alias("free"))
 
 
-def reliabilities(spans: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
-    """(vote patterns with their probability, parameters by kind), by expectation-maximisation.
+def expectation_maximisation(counts: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> list[float]:
+    """The probability that a span with each vote pattern is real; counts: (votes, number of spans).
 
-    The table has one row for each kind and vote pattern, 324 at most. It starts from the votes' sum;
-    each round sends one row of parameters for each kind to the driver.
+    Labelers vote independently of each other, given whether the span is real. The start is the
+    votes' sum; counts are smoothed by one.
     """
-    patterns = cut(spans.groupBy("kind", "votes").agg(F.count("*").alias("n")))
-    q = 1 / (1 + F.exp(-F.aggregate("votes", F.lit(0), lambda a, v: a + v).cast("double")))
-    fitted: dict[str, Row] = {}
+    def logistic(x):
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+    q = [logistic(sum(votes)) for votes, _ in counts]
     for _ in range(rounds):
-        soft = patterns.withColumn("q", q)
-        for_class = lambda z: F.col("n") * (F.col("q") if z else 1 - F.col("q"))
-        counts = [F.sum(F.when(F.col("votes")[j] == v, for_class(z)).otherwise(0.0)).alias(f"c{j}_{v + 1}_{z}") for j in range(len(VOTES)) for v in (-1, 0, 1) for z in (0, 1)]
-        fitted = {r.kind: r for r in soft.groupBy("kind").agg(F.sum(for_class(1)).alias("p1"), F.sum(for_class(0)).alias("p0"), *counts).collect()}
-        logit = F.lit(0.0)
-        for kind, r in fitted.items():
-            own = F.lit(math.log((r.p1 + 1) / (r.p0 + 1)))
-            for j in range(len(VOTES)):
-                for v in (-1, 0, 1):
-                    odds = math.log((r[f"c{j}_{v + 1}_1"] + 1) / (r.p1 + 3)) - math.log((r[f"c{j}_{v + 1}_0"] + 1) / (r.p0 + 3))
-                    own = own + F.when(F.col("votes")[j] == v, odds).otherwise(0.0)
-            logit = F.when(F.col("kind") == kind, own).otherwise(logit)
-        q = 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))
-    return patterns.withColumn("q", q), fitted
+        real, not_real = (1 + sum(n * p for (_, n), p in zip(counts, side, strict=True)) for side in (q, [1 - p for p in q]))
+        odds: dict[tuple[int, int], list[float]] = {}
+        for (votes, n), p in zip(counts, q, strict=True):
+            for key in enumerate(votes):
+                both = odds.setdefault(key, [1.0, 1.0])
+                both[0] += n * p
+                both[1] += n * (1 - p)
+        score = lambda key: math.log(odds[key][0] / (real + 2)) - math.log(odds[key][1] / (not_real + 2))  # noqa: E731, B023
+        q = [logistic(math.log(real / not_real) + sum(map(score, enumerate(votes)))) for votes, _ in counts]
+    return q
+
+
+def reliabilities(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(kind, votes, q): the probability of each vote pattern that occurs, by expectation-maximisation for each kind.
+
+    There are 81 patterns a kind at most; their counts are all that reaches the driver.
+    """
+    counts = spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()
+    out = []
+    for kind in KINDS:
+        own = sorted((tuple(r.votes), r.n) for r in counts if r.kind == kind)
+        out += [(kind, list(votes), q) for (votes, _), q in zip(own, expectation_maximisation(own, rounds), strict=True)]
+    return spans.sparkSession.createDataFrame(out, "kind string, votes array<int>, q double")
 
 
 def classifier(spans: DataFrame, patterns: DataFrame) -> dict[str, float]:
@@ -212,8 +222,7 @@ def find(docs: DataFrame) -> DataFrame:
     found = cut(candidates(docs))
     spans = cut(placed(found.where(F.exists("runs", lambda run: F.size(run) > 0))))
     judged = spans.where((F.col("form") == "strict") | F.col("free"))
-    patterns, _ = reliabilities(judged)
-    odds = classifier(judged, patterns)
+    odds = classifier(judged, reliabilities(judged))
     table = F.create_map(*[F.lit(x) for k, v in sorted(odds.items()) for x in (k, v)]) if odds else F.create_map().cast("map<string,double>")
     known = lambda key: F.coalesce(F.try_element_at(table, key), F.lit(0.0))
     logit = F.aggregate("traits", known(F.col("kind")), lambda a, t: a + known(F.concat("kind", F.lit("|"), t)))
