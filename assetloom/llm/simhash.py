@@ -125,13 +125,3 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     linked = members.select("fp", "root").join(dealt_out(least), "root").select("fp", "component_id")
     of_fp = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     return own.join(dealt_out(of_fp), "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: the one with the least doc_id.
-
-    Rows that repeat a doc_id keep one of them; a null doc_id is kept (it can't be told from others).
-    """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)

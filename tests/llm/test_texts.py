@@ -140,16 +140,6 @@ def test_pipeline_stage_leaves_no_near_copies(spark, documents, odd, monkeypatch
         assert not rest
 
 
-def test_keep_first_keeps_one_of_each_component(documents, odd):
-    for docs in (documents, odd):
-        kept = simhash.keep_first(docs)
-        assert kept.schema == docs.schema
-        want = {c for k, _, c in components([(k, fingerprint(t)) for k, t in rows_of(docs)]) if k is not None and k == c}
-        ids = [r.doc_id for r in kept.collect()]
-        assert sorted(i for i in ids if i is not None) == sorted(want)
-        assert ids.count(None) == sum(k is None for k, _ in rows_of(docs))
-
-
 # --- personal data
 
 def base_spans(text):
