@@ -1,7 +1,6 @@
 """Operators on small inputs with known results, and replays of published result rows."""
 
 import json
-import random
 import struct
 import zlib
 from collections import Counter
