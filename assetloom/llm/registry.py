@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm import brown, decontaminate, exactdedup, mixing, pii, quality, sharding, simhash, tokencount, topk, urlfilter
+from assetloom.llm import brown, decontaminate, exactdedup, merkle, mixing, pii, quality, sharding, simhash, tokencount, topk, urlfilter
 from assetloom.llm.common import crc_of_id, shared_dir, table
 
 QUERY_EVERY = 50
@@ -77,13 +77,17 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_pii, op3_url_filter, op4_virtual_slots, op5_simhash, op6_brown, op7_source_mix, op8_quality, op9_token_counts, op10_decontaminate, op12_exact_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_pii, op3_url_filter, op4_virtual_slots, op5_simhash, op6_brown, op7_source_mix, op8_quality, op9_token_counts, op10_decontaminate, op12_exact_dedup, op13_merkle, pipeline)}
 ORACLE_SQL: dict[str, str] = {
     "op1_top_k": f"""
 with v as (select vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * cast(x as double))) as v from embeddings
@@ -95,4 +99,5 @@ r as (select *, cast(row_number() over (partition by query_id order by score des
 select query_id, rank, vec_id, score from r where rank <= {topk.TOP}""",
     "op3_url_filter": urlfilter.sql(),
     "op12_exact_dedup": exactdedup.sql(),
+    "op13_merkle": merkle.sql(),
 }
