@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm import brown, decontaminate, exactdedup, merkle, mixing, pii, quality, sharding, simhash, tokencount, topk, urlfilter
+from assetloom.llm import brown, crosstoken, decontaminate, exactdedup, merkle, mixing, pii, quality, sharding, simhash, tokencount, topk, urlfilter
 from assetloom.llm.common import crc_of_id, shared_dir, table
 
 QUERY_EVERY = 50
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 TOKEN_LIMIT = 512
 
 
@@ -72,6 +73,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return crosstoken.align(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = exactdedup.mark(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -87,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_pii, op3_url_filter, op4_virtual_slots, op5_simhash, op6_brown, op7_source_mix, op8_quality, op9_token_counts, op10_decontaminate, op12_exact_dedup, op13_merkle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_pii, op3_url_filter, op4_virtual_slots, op5_simhash, op6_brown, op7_source_mix, op8_quality, op9_token_counts, op10_decontaminate, op11_cross_tokens, op12_exact_dedup, op13_merkle, pipeline)}
 ORACLE_SQL: dict[str, str] = {
     "op1_top_k": f"""
 with v as (select vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * cast(x as double))) as v from embeddings
