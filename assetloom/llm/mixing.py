@@ -164,3 +164,9 @@ def mix(docs: DataFrame, weights=(1, 2, 3), shards: int = SHARDS) -> DataFrame:
     reads = plan.select("doc_id", "mix_row", F.posexplode("copies").alias("mix_epoch", "mix_shard"))
     order = F.xxhash64(F.lit(SEED + 1), F.col("doc_id"), F.col("mix_epoch"))
     return reads.select("mix_row.*", "mix_shard", order.alias("mix_order"))
+
+
+def laid_out(mixed: DataFrame) -> DataFrame:
+    """``mix``'s rows in the order of its shards and of the local shuffle in each: a file holds a stretch of one
+    shard or of neighbouring ones, however large a shard is."""
+    return mixed.repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order")

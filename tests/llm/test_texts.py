@@ -448,6 +448,14 @@ def test_mix_repeats_rows(documents):
     same([(r.doc_id, r.mix_shard) for r in out.collect()], [(k, s) for k, c in plan.items() for s in c])
 
 
+def test_mixture_is_laid_out_by_shard_and_shuffle(spark, documents, empty, tmp_path):
+    mixing.laid_out(mixing.mix(documents)).write.parquet(str(tmp_path / "mixed"))
+    files = sorted((tmp_path / "mixed").glob("part-*.parquet"))
+    rows = [(r.mix_shard, r.mix_order) for f in files for r in spark.read.parquet(str(f)).collect()]
+    assert rows == sorted(rows) and len({s for s, _ in rows}) == mixing.SHARDS
+    assert mixing.laid_out(mixing.mix(empty)).count() == 0
+
+
 # --- quality
 
 def test_quality_on_held_out_rows(spark):
