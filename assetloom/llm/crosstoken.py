@@ -21,6 +21,7 @@ import hashlib
 import json
 from collections import Counter
 from functools import cache, partial
+from itertools import chain, pairwise
 from pathlib import Path
 
 import numpy as np
@@ -99,6 +100,8 @@ class Aligner:
         self.a_bytes, self.b_bytes = a_bytes, b_bytes
         self.a_length, self.b_length = (np.fromiter(map(len, t), np.int64, len(t)) for t in (a_bytes, b_bytes))
         pieces = map(self.b.id_to_piece, range(self.b.get_piece_size()))
+        self.first_b = 2 * len(a_bytes)
+        self.written = np.array([f"{i}{sign}" for n, signs in ((len(a_bytes), ",|"), (len(b_bytes), ",;")) for i in range(n) for sign in signs], object)
         self.by_unit = counts_by_word(json.loads(Path(a_path).read_text())) and not any(BLANK in p.lstrip(BLANK) for p in pieces)
         self.forget()
 
@@ -111,14 +114,13 @@ class Aligner:
     def align(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Of each text, which begins with a blank: whether its bytes come back; counts of tokens of A, of B, and
         of groups; the groups; the ends of its links in the last array, and all texts' links."""
-        a_ids = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        b_ids = self.b.encode([t[1:] for t in texts], num_threads=1)
         whole = [t.encode() for t in texts]
-        joined = lambda ids, known, t: len(t) == sum(map(len, got := [known[i] for i in ids])) and b"".join(got) == t
-        good = np.array([joined(a, self.a_bytes, t) and joined(b, self.b_bytes, t) for a, b, t in zip(a_ids, b_ids, whole, strict=True)], bool)
-        a_ids, b_ids = ([ids if g else [] for ids, g in zip(side, good, strict=True)] for side in (a_ids, b_ids))
-        sizes = np.array([[len(a), len(b)] for a, b in zip(a_ids, b_ids, strict=True)], np.int64).reshape(-1, 2)
-        a, b = (np.fromiter((i for ids in side for i in ids), np.int64, n) for side, n in zip((a_ids, b_ids), sizes.sum(0), strict=True))
+        sides = [[e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)]
+        flat, sizes = self._flat(sides)
+        good = self._gives_back(whole, sides, flat, sizes)
+        if not good.all():
+            flat, sizes = self._flat([[ids if g else [] for ids, g in zip(side, good, strict=True)] for side in sides])
+        a, b = flat
         a_end, b_end = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
         cuts = np.intersect1d(a_end, b_end)
         a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
@@ -131,14 +133,31 @@ class Aligner:
         # The texts' shares: a text's last token ends its last group.
         text_of = np.repeat(np.arange(len(texts)), sizes[:, 0])
         link_counts = np.bincount(np.repeat(text_of[a_last], each), minlength=len(texts))
-        begins = np.r_[True, a_group[1:] != a_group[:-1]] if len(a) else np.zeros(0, bool)
+        begins = np.diff(a_group, prepend=-1) > 0
         group_counts = np.bincount(text_of[begins], minlength=len(texts))
-        sides = [np.split(ids, np.flatnonzero(np.diff(of)) + 1) if len(ids) else [] for ids, of in ((a, a_group), (b, b_group))]
-        written = [",".join(map(str, x.tolist())) + "|" + ",".join(map(str, y.tolist())) for x, y in zip(*sides, strict=True)]
-        ends = np.r_[0, np.cumsum(group_counts)]
-        groups = [";".join(written[ends[i] : ends[i + 1]]) for i in range(len(texts))]
+        # As text: a group's A tokens, then its B tokens, each with the sign that follows it.
+        ends_group = [np.diff(of, append=len(cuts)) > 0 for of in (a_group, b_group)]
+        signed = np.concatenate([2 * a + ends_group[0], self.first_b + 2 * b + ends_group[1]])
+        parts = self.written[signed[np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")]].tolist()
+        ends = np.cumsum(np.r_[0, sizes.sum(1)]).tolist()
+        groups = ["".join(parts[i:j])[:-1] for i, j in pairwise(ends)]
         return good, np.c_[sizes, group_counts], groups, np.cumsum(link_counts), links
 
+    @staticmethod
+    def _flat(sides: list[list[list[int]]]) -> tuple[list[np.ndarray], np.ndarray]:
+        """All ids of each side, and how many each text has of either."""
+        sizes = np.array([list(map(len, side)) for side in sides], np.int64).T.reshape(-1, 2)
+        return [np.fromiter(chain.from_iterable(side), np.int64, n) for side, n in zip(sides, sizes.sum(0), strict=True)], sizes
+
+    def _gives_back(self, whole: list[bytes], sides, flat, sizes) -> np.ndarray:
+        """Which texts both tokenizers' bytes are equal to. All at once if all are, else one by one."""
+        good, lengths = np.ones(len(whole), bool), np.fromiter(map(len, whole), np.int64, len(whole))
+        for k, (known, length) in enumerate(((self.a_bytes, self.a_length), (self.b_bytes, self.b_length))):
+            ends = np.r_[0, np.cumsum(length[flat[k]])][np.cumsum(sizes[:, k])]
+            if (ends != np.cumsum(lengths)).any() or b"".join(map(known.__getitem__, chain.from_iterable(sides[k]))) != b"".join(whole):
+                good &= np.array([b"".join([known[i] for i in ids]) == t for ids, t in zip(sides[k], whole, strict=True)], bool)
+        return good
+
     def _learn(self, units: list[str]) -> None:
         good, counts, groups, ends, links = self.align(units)
         counts[~good] = -1
