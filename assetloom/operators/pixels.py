@@ -11,12 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.functions.columns import band_score, clip, falling, ratio
-from assetloom.operators.components import connected_components
-from assetloom.operators.evaluation import ordinal_ranks
+from assetloom.operators.regions import filled_runs, hole_runs, label, labelled_runs, pixels_of, run_areas
+from assetloom.operators.shapes import largest_rectangle, quad_fit, solidity
+from assetloom.operators.windows import AXES, extremes, means
 from assetloom.session import cut
 
-AXES = (("y", "x"), ("x", "y"))
-
 
 def from_vectors(rows: DataFrame, image: str, values: str, width: int) -> DataFrame:
     """(image, y, x, e) from arrays that hold a grid row by row."""
@@ -38,57 +37,51 @@ def from_images(images: DataFrame) -> DataFrame:
     return at.select("image", "y", "x", byte(3).alias("r"), byte(2).alias("g"), byte(1).alias("b"))
 
 
-def boxes(px: DataFrame, values: dict[str, Column], radius: int) -> DataFrame:
-    """Adds the box means of several values, in the two passes of one."""
-    px = px.withColumns(values)
-    for line, along in AXES:
-        frame = Window.partitionBy("image", line).orderBy(along).rowsBetween(-radius, radius)
-        px = px.withColumns({k: F.avg(k).over(frame) for k in values})
-    return px
+def box(px: DataFrame, value: str, radius: int, out: str) -> DataFrame:
+    """A square neighbourhood's mean; pixels outside the image don't count."""
+    return means(px, {out: F.col(value)}, radius)
 
 
-def box(px: DataFrame, value: str, radius: int, out: str, how=F.avg) -> DataFrame:
-    """A square neighbourhood's aggregate (mean, min, max) in two passes; pixels outside the image don't count.
+def erode(px: DataFrame, value: str, radius: int, out: str) -> DataFrame:
+    return extremes(px, {out: (value, F.min)}, radius)
 
-    For the mean, rows and columns have equal lengths, so the mean of means is the box mean.
-    """
-    for i, (line, along) in enumerate(AXES):
-        frame = Window.partitionBy("image", line).orderBy(along).rowsBetween(-radius, radius)
-        px = px.withColumn(out, how(value if i == 0 else out).over(frame))
-    return px
 
+def dilate(px: DataFrame, value: str, radius: int, out: str) -> DataFrame:
+    return extremes(px, {out: (value, F.max)}, radius)
 
-def erode(px: DataFrame, value: str, radius: int, out: str) -> DataFrame:
-    return box(px, value, radius, out, F.min)
 
+def closing(px: DataFrame, value: str, radius: int, out: str) -> DataFrame:
+    """Dilation, then erosion: fills what is narrower than the square."""
+    return erode(dilate(px, value, radius, out), out, radius, out)
 
-def dilate(px: DataFrame, value: str, radius: int, out: str) -> DataFrame:
-    return box(px, value, radius, out, F.max)
+
+def opening(px: DataFrame, value: str, radius: int, out: str) -> DataFrame:
+    """Erosion, then dilation: takes off what is narrower than the square."""
+    return dilate(erode(px, value, radius, out), out, radius, out)
 
 
 def trimap(px: DataFrame, alpha: str, radius: int) -> DataFrame:
     """Adds trimap: 255 deep inside, 0 deep outside, 128 between."""
     marked = px.withColumn("fg", (F.col(alpha) > 0.92).cast("int")).withColumn("bg", (F.col(alpha) < 0.08).cast("int"))
-    worn = erode(erode(marked, "fg", radius, "fg_in"), "bg", radius, "bg_in")
+    worn = extremes(marked, {"fg_in": ("fg", F.min), "bg_in": ("bg", F.min)}, radius)
     return worn.withColumn("trimap", F.when(F.col("fg_in") == 1, 255).when(F.col("bg_in") == 1, 0).otherwise(128)).drop("fg", "bg", "fg_in", "bg_in")
 
 
 def boundary_band(px: DataFrame, mask: str, width: int) -> DataFrame:
     """Adds band: whether the pixel lies near the mask's outline, in a square of odd side >= max(3, width)."""
     radius = (max(3, width) | 1) // 2
-    near = erode(dilate(px, mask, radius, "most"), mask, radius, "least")
+    near = extremes(px, {"most": (mask, F.max), "least": (mask, F.min)}, radius)
     return near.withColumn("band", F.col("most") > F.col("least")).drop("most", "least")
 
 
 def guided_filter(px: DataFrame, guide: str, value: str, radius: int, eps: float, out: str) -> DataFrame:
     """Edge-preserving smoothing of ``value`` along ``guide``: local linear fits, then their mean."""
     g, v = F.col(guide).cast("double"), F.col(value).cast("double")
-    df = px.withColumns({"gf_g": g, "gf_v": v, "gf_gg": g * g, "gf_gv": g * v})
-    for name in ("gf_g", "gf_v", "gf_gg", "gf_gv"):
-        df = box(df, name, radius, name + "_m")
+    df = px.withColumns({"gf_g": g, "gf_v": v})
+    df = means(df, {"gf_g_m": g, "gf_v_m": v, "gf_gg_m": g * g, "gf_gv_m": g * v}, radius)
     a = (F.col("gf_gv_m") - F.col("gf_g_m") * F.col("gf_v_m")) / (F.col("gf_gg_m") - F.col("gf_g_m") * F.col("gf_g_m") + eps)
     df = df.withColumn("gf_a", a).withColumn("gf_b", F.col("gf_v_m") - F.col("gf_a") * F.col("gf_g_m"))
-    df = box(box(df, "gf_a", radius, "gf_a_m"), "gf_b", radius, "gf_b_m")
+    df = means(df, {"gf_a_m": F.col("gf_a"), "gf_b_m": F.col("gf_b")}, radius)
     return df.withColumn(out, F.col("gf_a_m") * F.col("gf_g") + F.col("gf_b_m")).select(*px.columns, out)
 
 
@@ -118,7 +111,7 @@ def boundary_f1(px: DataFrame, a: str, b: str, tolerance: int) -> DataFrame:
     """f1 of two masks' outlines by image: matched if the other outline passes within a square of ``tolerance``."""
     ea = outline(px, a).withColumnRenamed("edge", "ea")
     both = outline(ea, b).withColumnRenamed("edge", "eb")
-    near = dilate(dilate(both, "ea", tolerance, "na"), "eb", tolerance, "nb")
+    near = extremes(both, {"na": ("ea", F.max), "nb": ("eb", F.max)}, tolerance)
     sums = near.groupBy("image").agg(F.sum("ea").alias("a"), F.sum("eb").alias("b"), F.sum(F.col("ea") * F.col("nb")).alias("pa"), F.sum(F.col("eb") * F.col("na")).alias("pb"))
     p, r = ratio(F.col("pa"), F.col("a")), ratio(F.col("pb"), F.col("b"))
     f1 = F.when((F.col("a") == 0) & (F.col("b") == 0), 1.0).when((F.col("a") == 0) | (F.col("b") == 0), 0.0).otherwise(ratio(2 * p * r, p + r))
@@ -150,33 +143,6 @@ def shape_bands(shapes: DataFrame, fill: tuple[float, float], aspect: tuple[floa
     return shapes.withColumn("shape", F.least(band_score(F.col("fill"), lit(fill[0]), lit(fill[1]), 0.30), band_score(F.col("aspect"), lit(aspect[0]), lit(aspect[1]), 1.20)))
 
 
-def row_runs(px: DataFrame, mask: str, value: int = 1) -> DataFrame:
-    """(image, y, x0, x1): the maximal runs along rows of pixels that have ``value``."""
-    own = px.where(F.col(mask) == value).select("image", "y", "x")
-    run = F.col("x") - F.row_number().over(Window.partitionBy("image", "y").orderBy("x"))
-    return own.withColumn("run", run).groupBy("image", "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("run")
-
-
-def label(px: DataFrame, mask: str, value: int = 1, diagonal: bool = True) -> DataFrame:
-    """(image, y, x, component) of the pixels that have ``value``; a component is named by a number, the
-    least that of its first pixel.
-
-    Diagonal neighbours join foreground; leave them out for the background. What is linked are runs
-    along rows, not pixels. A run's number is its image's, then its place, so numbers never clash (for
-    sides below 32,768 and up to 2^33 images).
-    """
-    images = ordinal_ranks(px.select("image").distinct(), ["image"], "image_number")
-    runs = row_runs(px, mask, value).join(images, "image")
-    place = lambda c: F.col(c).cast("long")
-    runs = cut(runs.select("image", "y", "x0", "x1", (F.shiftleft(F.col("image_number").cast("long"), 30) + place("y") * (1 << 15) + place("x0")).alias("node")))
-    reach = 1 if diagonal else 0
-    below = runs.select("image", (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("node").alias("v"))
-    links = runs.join(below, ["image", "y"]).where((F.col("x0") <= F.col("b1") + reach) & (F.col("b0") <= F.col("x1") + reach))
-    roots = connected_components(links.select(F.col("node").alias("u"), "v"))
-    found = runs.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
-    return found.select("image", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "component")
-
-
 def component_areas(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("image", "component").agg(F.count("*").alias("area"), F.min("y").alias("y0"), F.min("x").alias("x0"), F.max("y").alias("y1"), F.max("x").alias("x1"))
 
@@ -205,26 +171,6 @@ def fill_small_holes(px: DataFrame, mask: str, ratio_limit: float) -> DataFrame:
     return px.join(inside, ["image", "y", "x"], "left").withColumn("filled", F.when(F.col("hole") == 1, 1).otherwise(F.col(mask))).drop("hole")
 
 
-def largest_rectangle(px: DataFrame, mask: str) -> DataFrame:
-    """(image, area) of the largest upright rectangle inside the mask.
-
-    Every run of pixels down a column ends a stack of heights; a rectangle of height k is a run of
-    columns at least k high. A rectangle that can't grow is as high as one of its columns, so a
-    stretch of a row is tried only for the heights that occur in it: for a solid shape these are few.
-    """
-    down = Window.partitionBy("image", "x").orderBy("y")
-    breaks = F.sum((F.col(mask) == 0).cast("int")).over(down)
-    high = px.withColumn("block", breaks).withColumn("height", F.sum(mask).over(Window.partitionBy("image", "x", "block").orderBy("y"))).where("height > 0")
-    stretch = F.col("x") - F.row_number().over(Window.partitionBy("image", "y").orderBy("x"))
-    heights = F.collect_set("height").over(Window.partitionBy("image", "y", "stretch"))
-    tried = high.withColumn("stretch", stretch).withColumn("heights", heights)
-    tall = tried.select("image", "y", "x", F.explode(F.filter("heights", lambda k: k <= F.col("height"))).alias("k"))
-    along = Window.partitionBy("image", "y", "k").orderBy("x")
-    runs = tall.withColumn("run", F.col("x") - F.row_number().over(along))
-    widths = runs.groupBy("image", "y", "k", "run").agg(F.count("*").alias("w"))
-    return widths.groupBy("image").agg(F.max(F.col("w") * F.col("k")).alias("area"))
-
-
 def contour_length(on: DataFrame) -> DataFrame:
     """(image, contour): the length of the outline of the pixels in ``on`` (image, y, x), steps from pixel
     to pixel, diagonal ones sqrt(2). The frame counts as outside; parts one pixel thin count once."""
@@ -246,19 +192,26 @@ def contour_length(on: DataFrame) -> DataFrame:
 
 
 def topology(px: DataFrame, mask: str, share: float = 0.05) -> DataFrame:
-    """One row an image: pieces of at least ``share`` of the largest, their size_ratio, holes, and of the largest
-    piece (the first of equal ones) main_area, fill, aspect and contour. Images without mask pixels have no pieces."""
-    labelled = cut(label(px, mask))
-    areas = cut(component_areas(labelled))
+    """One row an image: pieces of at least ``share`` of the largest, their size_ratio and worst_solidity, holes, and
+    of the largest piece (the first of equal ones) main_area, fill, aspect, contour, solidity and quad_fit. Images
+    without mask pixels have no pieces."""
+    runs = cut(labelled_runs(px, mask))
+    sizes = px.groupBy("image").agg(F.max("y").alias("h"), F.max("x").alias("w"))
+    inner = cut(hole_runs(labelled_runs(px, mask, value=0, diagonal=False), sizes))
+    filled = cut(filled_runs(runs, inner))
+    areas = cut(run_areas(runs))
     main = areas.groupBy("image").agg(F.min_by(F.struct("component", "area", "x0", "x1", "y0", "y1"), F.struct(-F.col("area"), "component")).alias("m")).select("image", "m.*")
     pieces = areas.join(main.select("image", F.col("area").alias("top")), "image").where(F.col("area") >= share * F.col("top"))
-    counts = pieces.groupBy("image").agg(F.count("*").alias("pieces"), F.try_divide(F.min("area"), F.max("area")).alias("size_ratio"))
+    solid = cut(solidity(filled.join(pieces.select("image", "component"), ["image", "component"], "left_semi")))
+    counts = pieces.join(solid, ["image", "component"]).groupBy("image").agg(F.count("*").alias("pieces"), F.try_divide(F.min("area"), F.max("area")).alias("size_ratio"), F.min("solidity").alias("worst_solidity"))
     w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
-    shapes = main.select("image", F.col("area").alias("main_area"), ratio(F.col("area"), w * h).alias("fill"), ratio(w, h).alias("aspect"))
-    contours = contour_length(labelled.join(main.select("image", "component"), ["image", "component"], "left_semi").select("image", "y", "x"))
-    found = holes(px, mask).groupBy("image").agg(F.count("*").alias("holes"))
+    shapes = main.join(solid, ["image", "component"], "left").select("image", F.col("area").alias("main_area"), ratio(F.col("area"), w * h).alias("fill"), ratio(w, h).alias("aspect"), "solidity")
+    of_main = lambda rows: rows.join(main.select("image", "component"), ["image", "component"], "left_semi")
+    contours = contour_length(pixels_of(of_main(runs)).select("image", "y", "x"))
+    fits = quad_fit(of_main(runs)).drop("quad")
+    found = inner.groupBy("image").agg(F.count_distinct("component").alias("holes"))
     out = px.select("image").distinct()
-    for part in (counts, shapes, contours, found):
+    for part in (counts, shapes, contours, fits, found):
         out = out.join(part, "image", "left")
     return out.na.fill(0, ["pieces", "holes", "main_area"])
 
@@ -278,8 +231,8 @@ def boundary_contrast(px: DataFrame, mask: str, radius: int, least: int = 64) ->
     """
     scaled = lab(px).withColumns({"L": F.col("L") * 2.55, "m": F.col(mask).cast("double")})
     inside, outside = F.col("m"), 1 - F.col("m")
-    means = {f"{side}_{c}": F.col(c) * w for side, w in (("in", inside), ("out", outside)) for c in ("L", "a", "b_")}
-    df = boxes(scaled, means | {"in_w": inside, "out_w": outside, "mean_l": F.col("L"), "mean_l2": F.col("L") * F.col("L")}, radius)
+    sides = {f"{side}_{c}": F.col(c) * w for side, w in (("in", inside), ("out", outside)) for c in ("L", "a", "b_")}
+    df = means(scaled, sides | {"in_w": inside, "out_w": outside, "mean_l": F.col("L"), "mean_l2": F.col("L") * F.col("L")}, radius)
     size = Window.partitionBy("image")
     df = boundary_band(df.withColumns({"h": F.max("y").over(size), "w": F.max("x").over(size)}), mask, 3)
     of = lambda side, c: F.col(f"{side}_{c}") / F.greatest(F.col(f"{side}_w"), F.lit(1e-3))
@@ -313,7 +266,7 @@ def weighted_low_pass(px: DataFrame, value: str, alpha: str, radius: int, out: s
     """Smooths ``value`` over the pixels that ``alpha`` says belong to the object: three box passes stand for a Gaussian."""
     df = px.withColumns({"wl_n": F.col(value) * F.col(alpha), "wl_d": F.col(alpha).cast("double")})
     for _ in range(3):
-        df = boxes(df, {"wl_n": F.col("wl_n"), "wl_d": F.col("wl_d")}, radius)
+        df = means(df, {"wl_n": F.col("wl_n"), "wl_d": F.col("wl_d")}, radius)
     return df.withColumn(out, F.col("wl_n") / F.greatest(F.col("wl_d"), F.lit(1e-4))).drop("wl_n", "wl_d")
 
 

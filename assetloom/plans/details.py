@@ -239,18 +239,22 @@ def _old_and_new(d):
     return old, new
 
 
+LISTS = 8
 MANIFEST_SQL = "select cast(doc_id as varchar) sku, 'https://new/' || doc_id || '.jpg' url, 'apparel' category from documents where doc_id % 5 <> 0"
 
 
 @query(MANIFEST_SQL)
 def csv_manifest(spark, sf_dir):
-    """A written list whose header has one name twice: the last column counts, rows without an address there are warnings."""
+    """Written lists whose header has one name twice: the last column counts, rows without an address there are warnings.
+
+    Each list is a file of its own, so they are written and read side by side.
+    """
     d = F.col("doc_id")
     old, new = _old_and_new(d)
     folder = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
-    lines = table(spark, sf_dir, "documents").select(d.alias("k"), F.concat_ws(",", d.cast("string"), old, new, F.lit("T-Shirt")).alias("value"))
-    head = spark.createDataFrame([(-1, "SKU,URL,url,Product Type")], "k long, value string")
-    lines.union(head).repartition(1).sortWithinPartitions("k").select("value").write.text(folder)
+    lines = table(spark, sf_dir, "documents").select((d % LISTS).alias("list"), d.alias("k"), F.concat_ws(",", d.cast("string"), old, new, F.lit("T-Shirt")).alias("value"))
+    heads = spark.range(LISTS).select("id", F.lit(-1).cast("long"), F.lit("SKU,URL,url,Product Type"))
+    lines.union(heads).repartition("list").sortWithinPartitions("list", "k").drop("k").write.partitionBy("list").text(folder)
     return manifests.read_csv(spark, folder)[0].select("sku", "url", "category")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
-from assetloom.operators import pixels, routing, verdicts
+from assetloom.operators import pixels, routing, shapes, verdicts
 from assetloom.plans.registry import query
 from assetloom.schema import CATEGORIES, Settings
 from assetloom.session import cut, shared_dir, table
@@ -79,7 +80,7 @@ r as (select i.image, (y1 - y0 + 1) * (x1 - x0 + 1) area, d.s - coalesce(u.s, 0)
 select image, max(area) area from r where filled = area group by image""".replace(""", b as (select y, x, min(y2) lo, max(y2) hi from (select 0 y, 0 x, 0 y2) group by 1, 2),
 i as""", ", i as"))
 def largest_rectangle(spark, sf_dir):
-    return pixels.largest_rectangle(_px(spark, sf_dir), "m")
+    return pixels.largest_rectangle(_px(spark, sf_dir), "m").select("image", "area")
 
 
 LABELS = ", own as (select image, y, x from px where m = {value}), l as (select image, y, x, y * 8 + x c from own union select o.image, o.y, o.x, l.c from l join own o on o.image = l.image and abs(o.y - l.y) <= 1 and abs(o.x - l.x) <= 1 {more}), best as (select image, y, x, min(c) c from l group by 1, 2, 3)"
@@ -113,16 +114,72 @@ def shrunk(spark, sf_dir):
     return pixels.shrink(_px(spark, sf_dir), most=3, least=2).select("image", "y", "x", "e")
 
 
+_TURN = "abs((p.y - a.y) * (b.x - a.x) - (p.x - a.x) * (b.y - a.y)) / sqrt((b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x))"
+
+
+def _each(points: str, value: str) -> str:
+    """A list of ``value`` for each corner p of a list, with its neighbours a and b, and i from 1."""
+    n = f"len({points})"
+    for k, at in (("a", f"(i + {n} - 2) % {n} + 1"), ("b", f"i % {n} + 1"), ("p", "i")):
+        value = re.sub(rf"\b{k}\.", f"{points}[{at}].", value)
+    return f"list_transform(range(1, {n} + 1), lambda i: {value})"
+
+
+def _along(f: str) -> str:
+    return f"list_transform(pts, lambda h: {f})"
+
+
+#: From labels (best, best0) to hulls: fl has components with their holes, ex their rows' ends, hull the corners of the main one's.
+HULLS = """,
+ar as (select image, c, count(*) area, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from best group by 1, 2),
+mn as (select * from (select *, row_number() over (partition by image order by area desc, c) p from ar) where p = 1),
+hc as (select image, c from best0 group by 1, 2 having min(y) > 0 and min(x) > 0 and max(y) < 7 and max(x) < 7),
+fl as (select image, c, y, x from best union all select h.image, o.c, h.y, h.x from best0 h join hc on hc.image = h.image and hc.c = h.c join best o on o.image = h.image and o.y = h.c // 8 and o.x = h.c % 8 - 1),
+sq as (select image, c, sum(case n when 4 then 1.0::double when 3 then 0.5 else 0 end) outlined from (select image, c, y + dy qy, x + dx qx, count(*) n from fl, (values (0, 0), (0, 1), (1, 0), (1, 1)) d(dy, dx) group by 1, 2, 3, 4) group by 1, 2),
+ex as (select image, c, y, min(x)::double l, max(x)::double r from fl group by 1, 2, 3),
+wd as (select o.image, o.c, o.y, min(a.l + (b.l - a.l) * (o.y - a.y) / greatest(b.y - a.y, 1)) l, max(a.r + (b.r - a.r) * (o.y - a.y) / greatest(b.y - a.y, 1)) r
+  from ex o join ex a on a.image = o.image and a.c = o.c and a.y <= o.y join ex b on b.image = o.image and b.c = o.c and b.y >= o.y group by 1, 2, 3),
+hu as (select image, c, sum((w + coalesce(n, w)) / 2 * (n is not null)::int) around from (select image, c, r - l w, lead(r - l) over (partition by image, c order by y) n from wd) group by 1, 2),
+so as (select image, c, case when around > 0 then coalesce(outlined, 0) / around else 0 end solidity from hu left join sq using (image, c)),
+inner_ as (select o.image, o.y, bool_or(a.y is not null and b.y is not null and a.l + (b.l - a.l) * (o.y - a.y) / (b.y - a.y) <= o.l) l, bool_or(a.y is not null and b.y is not null and a.r + (b.r - a.r) * (o.y - a.y) / (b.y - a.y) >= o.r) r
+  from ex o join mn on mn.image = o.image and mn.c = o.c left join ex a on a.image = o.image and a.c = o.c and a.y < o.y left join ex b on b.image = o.image and b.c = o.c and b.y > o.y group by 1, 2),
+hv as (select ex.image, ex.y::double y, l x, ex.y k from ex join mn using (image, c) join (select image, y from inner_ where not l) v using (image, y) union all select ex.image, ex.y::double, r, 1000 - ex.y from ex join mn using (image, c) join (select image, y from inner_ where not r) v using (image, y)),
+hull as (select image, list({'y': y, 'x': x} order by k) pts from (select image, y, x, min(k) k from hv group by 1, 2, 3) group by 1)"""
+QUADS = f""",
+dr as (select image, pts, 0.0::double cost from hull union all select image, list_filter(pts, lambda h, j: j <> list_position(flat, list_min(flat))), greatest(cost, list_min(flat)) from (select *, {_each('pts', _TURN)} flat from dr where len(pts) > 4)),
+fo as (select dr.image, dr.pts, cost, list_min({_each('dr.pts', _TURN)}) next_, list_sum({_each('hull.pts', 'sqrt((b.y - p.y) * (b.y - p.y) + (b.x - p.x) * (b.x - p.x))')}) around from dr join hull using (image) where len(dr.pts) = 4),
+qf as (select image, pts from fo where {' or '.join(f'(cost <= {t}::double * around and next_ > {t}::double * around)' for t in shapes.TOLERANCES)}),
+di as (select image, pts, i, (b.y - a.y) / n uy, (b.x - a.x) / n ux from (select *, sqrt((b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x)) n from (select image, pts, i, pts[i] a, pts[i % len(pts) + 1] b from (select image, pts, unnest(range(1, len(pts) + 1)) i from hull where len(pts) > 2)))),
+rc as (select image, i, uy, ux, list_min(u) u0, list_max(u) u1, list_min(v) v0, list_max(v) v1 from (select *, {_along('h.y * uy + h.x * ux')} u, {_along('h.x * uy - h.y * ux')} v from di)),
+qr as (select image, [{', '.join(f"{{'y': {u} * uy - {v} * ux, 'x': {u} * ux + {v} * uy}}" for u, v in (('u0', 'v0'), ('u1', 'v0'), ('u1', 'v1'), ('u0', 'v1')))}] pts from (select *, row_number() over (partition by image order by (u1 - u0) * (v1 - v0), i) p from rc) where p = 1),
+qd as (select image, coalesce(qf.pts, qr.pts) pts, case when qf.pts is null then {shapes.RECTANGLE_WORTH}::double else 1 end worth from hull left join qf using (image) left join qr using (image) where coalesce(qf.pts, qr.pts) is not null),
+qy as (select image, worth, pts, unnest(range(cast(ceil(list_min(list_transform(pts, lambda h: h.y)) - 1e-9) as bigint), cast(floor(list_max(list_transform(pts, lambda h: h.y)) + 1e-9) as bigint) + 1)) y from qd),
+qe as (select image, y, pts[i] a, pts[i % 4 + 1] b from qy, (values (1), (2), (3), (4)) e(i)),
+qx as (select image, y, unnest(case when abs(b.y - a.y) < 1e-9 then [a.x, b.x] else [a.x + (b.x - a.x) * (least(greatest(y::double, least(a.y, b.y)), greatest(a.y, b.y)) - a.y) / (b.y - a.y)] end) x from qe where least(a.y, b.y) <= y + 1e-9 and greatest(a.y, b.y) >= y - 1e-9),
+qs as (select image, y, ceil(min(x) - 1e-9) s0, floor(max(x) + 1e-9) s1 from qx group by 1, 2),
+qi as (select image, sum(s1 - s0 + 1) n from qs where s0 <= s1 group by 1),
+qb as (select m.image, count(*) n from (select b.* from best b join mn on mn.image = b.image and mn.c = b.c) m join qs on qs.image = m.image and qs.y = m.y and m.x between s0 and s1 group by 1),
+qq as (select mn.image, coalesce(worth, 0) * coalesce(qb.n, 0) / (mn.area + coalesce(qi.n, 0) - coalesce(qb.n, 0))::double quad_fit from mn left join qd on qd.image = mn.image left join qi on qi.image = mn.image left join qb on qb.image = mn.image),
+ws as (select so.image, min(solidity) worst, max(case when so.c = mn.c then solidity end) solidity from so join ar on ar.image = so.image and ar.c = so.c join mn on mn.image = so.image where ar.area >= 0.05::double * mn.area group by 1)"""
+BOTH_LABELS = LABELS.format(value=1, more="") + LABELS.format(value=0, more="and abs(o.y - l.y) + abs(o.x - l.x) = 1").replace(" own", " own0").replace(" l as", " l0 as").replace("from l join", "from l0 l join").replace("best as", "best0 as").replace("from l group", "from l0 group")
+
+
+@query(PX + BOTH_LABELS + HULLS + QUADS + " select image, round(solidity, 6) solidity, round(worst, 6) worst_solidity, round(quad_fit, 6) quad_fit from ws join qq using (image)")
+def silhouettes(spark, sf_dir):
+    """How solid and how four-cornered the largest piece of each grid is."""
+    found = pixels.topology(_px(spark, sf_dir), "m").where("pieces > 0")
+    return found.select("image", *[F.round(c, 6).alias(c) for c in ("solidity", "worst_solidity", "quad_fit")])
+
+
 BAND_SCORE = "greatest(0, least(1, case when {x} < {lo} then 1 - ({lo} - {x}) / {soft}::double when {x} > {hi} then 1 - ({x} - {hi}) / {soft}::double else 1 end))"
 GRID_VERDICTS = (
     PX
-    + LABELS.format(value=1, more="")
-    + LABELS.format(value=0, more="and abs(o.y - l.y) + abs(o.x - l.x) = 1").replace(" own", " own0").replace(" l as", " l0 as").replace("from l join", "from l0 l join").replace("best as", "best0 as").replace("from l group", "from l0 group")
+    + BOTH_LABELS
+    + HULLS
+    + QUADS
     + f""",
-ar as (select image, c, count(*) area, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from best group by 1, 2),
-mn as (select * from (select *, row_number() over (partition by image order by area desc, c) p from ar) where p = 1),
 pc as (select ar.image, count(*) pieces, min(ar.area) / max(ar.area)::double size_ratio from ar join mn on mn.image = ar.image where ar.area >= 0.05::double * mn.area group by 1),
-ho as (select image, count(*) holes from (select image, c from best0 group by 1, 2 having min(y) > 0 and min(x) > 0 and max(y) < 7 and max(x) < 7) group by 1),
+ho as (select image, count(*) holes from hc group by 1),
 main as (select b.image, b.y, b.x from best b join mn on mn.image = b.image and mn.c = b.c),
 ed as (select * from main o where (select count(*) from main n where n.image = o.image and abs(n.y - o.y) + abs(n.x - o.x) = 1) < 4),
 dg as (select a.image, count(*) d from ed a join ed b on b.image = a.image and b.y = a.y + 1 and abs(b.x - a.x) = 1 where not exists (select 1 from ed k where k.image = a.image and ((k.y = a.y + 1 and k.x = a.x) or (k.y = a.y and k.x = b.x))) group by 1),
@@ -131,13 +188,13 @@ nb as (select p.image, p.y, p.x, p.m, p.e, max(n.m) hi, min(n.m) lo from px p jo
 ew as (select image, avg(m) coverage, sum(case when hi > lo then 1 else 0 end)::double perimeter, count(*) filter (e + 0.5::double > 0.05::double and e + 0.5::double < 0.95::double) uncertain,
   sum(m * ((y = 0)::int + (y = 7)::int + (x = 0)::int + (x = 7)::int)) / 32.0::double contact from nb group by 1),
 t(k, lo, hi, holes_ok, f0, f1, a0, a1) as (values (0, 0.10::double, 0.92::double, true, 0.34::double, 0.94::double, 0.45::double, 2.10::double), (1, 0.05, 0.75, true, 0.62, 1.0, 0.28, 1.9), (2, 0.08, 0.95, false, 0.78, 1.0, 0.25, 4.0), (3, 0.04, 0.9, true, 0.52, 1.0, 0.2, 4.5), (4, 0.03, 0.96, true, 0.25, 1.0, 0.15, 5.0)),
-f as (select ew.*, coalesce(pieces, 0) pieces, coalesce(size_ratio, 1) size_ratio, coalesce(ho.holes, 0) holes, coalesce(mn.area, 0) main_area, mn.area / ((x1 - x0 + 1) * (y1 - y0 + 1))::double fill, (x1 - x0 + 1) / (y1 - y0 + 1)::double aspect, contour, t.*
-  from ew left join pc on pc.image = ew.image left join ho on ho.image = ew.image left join mn on mn.image = ew.image left join ct on ct.image = ew.image join t on t.k = ew.image % 5),
-g as (select *, case when pieces = 0 then 1 when pieces between 2 and 4 and size_ratio >= 0.25 then 0 else least(1, greatest(0, (pieces - 1) / 4.0::double)) end cp, case when f.holes > 12 then least(1, (f.holes - 12) / 30.0::double) when f.holes > 0 and not holes_ok then 0.35::double else 0 end hp,
+f as (select ew.*, coalesce(pieces, 0) pieces, coalesce(size_ratio, 1) size_ratio, coalesce(ho.holes, 0) holes, coalesce(mn.area, 0) main_area, mn.area / ((x1 - x0 + 1) * (y1 - y0 + 1))::double fill, (x1 - x0 + 1) / (y1 - y0 + 1)::double aspect, contour, coalesce(ws.solidity, 1) solidity, coalesce(ws.worst, 1) worst, qq.quad_fit, t.*
+  from ew left join ws on ws.image = ew.image left join qq on qq.image = ew.image left join pc on pc.image = ew.image left join ho on ho.image = ew.image left join mn on mn.image = ew.image left join ct on ct.image = ew.image join t on t.k = ew.image % 5),
+g as (select *, case when pieces = 0 then 1 when pieces between 2 and 4 and size_ratio >= 0.25 and worst >= 0.5::double then 0 else least(1, greatest(0, (pieces - 1) / 4.0::double)) end cp, case when f.holes > 12 then least(1, (f.holes - 12) / 30.0::double) when f.holes > 0 and not holes_ok then 0.35::double else 0 end hp,
   case when perimeter < 32 then 0 else greatest(0, least(1, 1 - (uncertain / perimeter - 2) / 12.0::double)) end sharp, case when main_area < 32 then 0 else greatest(0, least(1, (contour / sqrt(main_area) - 4.2::double) / 8.0::double)) end cx, greatest(0, least(1, 1 - (contact - 0.02::double) / 0.28::double)) border,
   case when coverage between lo and hi then 1 when coverage < lo then least(1, coverage / lo) else greatest(0, least(1, (1 - coverage) / (1 - hi))) end cov,
-  case when main_area < 8 then 0 else least({BAND_SCORE.format(x="fill", lo="f0", hi="f1", soft="0.30")}, {BAND_SCORE.format(x="aspect", lo="a0", hi="a1", soft="1.20")}) end shape from f),
-k as (select *, (0.12::double * sharp + 0.10::double * case when pieces = 0 then 0 else greatest(0, 1 - 0.5::double * cp - 0.3::double * hp) end + 0.07::double * cov + 0.05::double * border + 0.02::double * shape) / 0.36::double * (1 - 0.1::double * cx) conf from g)
+  case when main_area < 8 then 0 else least(case when solidity >= 0.93::double then 1 else {BAND_SCORE.format(x="fill", lo="f0", hi="f1", soft="0.30")} end, case when k = 2 then least(1, greatest(0, 1 - (0.95::double - quad_fit) / 0.25::double)) else 1 end, {BAND_SCORE.format(x="aspect", lo="a0", hi="a1", soft="1.20")}) end shape from f),
+k as (select *, (0.12::double * sharp + 0.10::double * case when pieces = 0 then 0 else greatest(0, 1 - 0.5::double * cp - 0.3::double * hp - 0.4::double * greatest(0, least(1, (0.62::double - solidity) / 0.4::double))) end + 0.07::double * cov + 0.05::double * border + 0.02::double * shape) / 0.36::double * (1 - 0.1::double * cx) conf from g)
 select image, pieces, holes, round(contour, 6) contour, round(case when coverage < 0.004::double or coverage > 0.985::double then 0 else conf end, 4) confidence,
   case when coverage < 0.004::double or coverage > 0.985::double then 'FAILED' when conf >= 0.82::double and not (cp > 0.2::double or shape < 0.6::double or contact > 0.06::double) then 'READY' when conf >= 0.55::double then 'REVIEW' else 'FAILED' end verdict from k"""
 )

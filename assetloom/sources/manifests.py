@@ -37,10 +37,18 @@ def _names(header: str, sep: str) -> list[str]:
     return next(csv.reader([header], delimiter=sep))
 
 
+def _numbered(rows: DataFrame, first: int) -> DataFrame:
+    """Adds row, the number inside the row's file."""
+    placed = rows.withColumns({"csv_file": F.input_file_name(), "csv_place": F.monotonically_increasing_id()})
+    begins = placed.groupBy("csv_file").agg(F.min("csv_place").alias("csv_begin"))
+    return placed.join(begins, "csv_file").withColumn("row", F.col("csv_place") - F.col("csv_begin") + first)
+
+
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(items, warnings). Items: row, source, url, category, sku; warnings: row, warning.
 
-    Only the first line reaches the driver. Rows are numbered as in the file, the header being 1. Of
+    Only the first line reaches the driver. ``path`` may be a folder of lists with the same header. Rows are numbered in
+    their own file, the header being 1; a file is one task, since a quoted field may hold line ends. Of
     columns whose names are the same the last one counts. Without a known URL column every line is
     read again, the first included: column 1 is the URL if it starts with http(s), column 2 the category.
     """
@@ -55,10 +63,10 @@ def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     # Names of our own, so that equal names in the file can't clash.
     reader = spark.read.schema(schema).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).option("enforceSchema", True)
     if not columns.keys() & set(URL_COLUMNS):
-        bare = reader.csv(path, header=False).withColumn("row", F.monotonically_increasing_id() + 1)
+        bare = _numbered(reader.csv(path, header=False), 1)
         url = F.trim(F.regexp_replace("c0", "^\ufeff", ""))
         return _typed(bare.where(is_http(url)), url, F.col("c1"), F.lit(None).cast("string")), spark.createDataFrame([(1, "no known URL column; column 1 is used")], "row long, warning string")
-    numbered = reader.csv(path, header=True).withColumn("row", F.monotonically_increasing_id() + 2)
+    numbered = _numbered(reader.csv(path, header=True), 2)
     url = _pick(columns, URL_COLUMNS)
     good = numbered.where(url.isNotNull())
     bad = numbered.where(url.isNull()).select("row", F.format_string("row %d: no image URL", "row").alias("warning"))

@@ -540,3 +540,21 @@ def test_report_cards(spark):
     assert all([n for n, _ in chips][:1] == ["confidence"] and chips[-1][0] == "latency" for _, chips in rows.values() if chips)
     meta = reporting.with_run_metadata(df, "m", 4).first()
     assert (meta.run_model, meta.run_workers, meta.run_ready_threshold) == ("m", 4, 0.82)
+
+
+def test_repeated_and_unknown_decisions(spark):
+    """One row an id, the last known decision; what is refused says why."""
+    manifest = spark.createDataFrame([("a", "READY"), ("b", "REVIEW"), ("c", "READY")], "id string, verdict string")
+    decisions = spark.createDataFrame([("a", "accept", "ok", 1), ("a", "reject", None, 2), ("a", "later", "?", 3), ("b", "nonsense", "", 1), ("b", None, "", 2), ("z", "fix", "", 1), (None, "fix", "", 1)], "id string, status string, note string, at int")
+    updated, refused = curation.apply_decisions(manifest, decisions, "at")
+    assert sorted((r.id, r.review_status, r.reviewer_note, r.label_final) for r in updated.collect()) == [("a", "reject", None, ""), ("b", "", "", ""), ("c", "", "", "")]
+    assert sorted((str(r.id), str(r.status), r.reason) for r in refused.collect()) == [("None", "fix", "unknown id"), ("a", "later", "unknown status"), ("b", "None", "unknown status"), ("b", "nonsense", "unknown status"), ("z", "fix", "unknown id")]
+    assert curation.apply_decisions(manifest, decisions.limit(0), "at")[0].count() == 3
+
+
+def test_rows_of_several_lists_are_numbered_in_their_file(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 4)):
+        (tmp_path / f"{name}.csv").write_text("url,category\n" + "".join(f"http://{name}/{i},mug\n" for i in range(n)) + ",mug\n")
+    items, warnings = manifests.read_csv(spark, str(tmp_path))
+    assert sorted((r.row, r.url) for r in items.collect()) == sorted([(i + 2, f"http://a/{i}") for i in range(3)] + [(i + 2, f"http://b/{i}") for i in range(4)])
+    assert sorted(r.warning for r in warnings.collect()) == ["row 5: no image URL", "row 6: no image URL"]
