@@ -123,8 +123,8 @@ def _manifest(spark, sf_dir):
 
 
 DECISIONS = """with o as (select cast(case when doc_id % 10 = 0 then -doc_id - 1 else doc_id end as varchar) id, doc_id, quality from labels),
-t as (select id, case when quality = 1 then 'accept' else 'reject' end status, 'n' note, 2 at from o union all select id, 'fix', 'first', 1 from o where doc_id % 3 > 0 union all select id, 'maybe', '?', 3 from o where doc_id % 4 = 1),
-d as (select id, status, note from (select *, row_number() over (partition by id order by at desc) p from t where status in ('accept', 'fix', 'reject')) where p = 1)
+t as (select id, case when quality = 1 then 'accept' else 'reject' end status, 'n' note, 2 seq from o union all select id, 'fix', 'first', 1 from o where doc_id % 3 > 0 union all select id, 'maybe', '?', 3 from o where doc_id % 4 = 1),
+d as (select id, status, note from (select *, row_number() over (partition by id order by seq desc) p from t where status in ('accept', 'fix', 'reject')) where p = 1)
 """
 
 
