@@ -17,6 +17,10 @@ from assetloom.operators.windows import AXES, extremes, means
 from assetloom.session import cut
 
 
+#: The grey that transparent pixels are laid on.
+BACKDROP = 128
+
+
 def from_vectors(rows: DataFrame, image: str, values: str, width: int) -> DataFrame:
     """(image, y, x, e) from arrays that hold a grid row by row."""
     at = rows.select(F.col(image).alias("image"), F.posexplode(values).alias("p", "v"))
@@ -24,17 +28,28 @@ def from_vectors(rows: DataFrame, image: str, values: str, width: int) -> DataFr
 
 
 def from_images(images: DataFrame) -> DataFrame:
-    """(image, y, x, r, g, b) from rows of Spark's image source with three channels; unreadable images give no rows.
+    """(image, y, x, r, g, b) from rows of Spark's image source; unreadable images, and those with channels of another
+    number than 1, 3 or 4, give no rows.
 
-    An image is cut into its lines first, and each line into its pixels, so no row lists all pixels.
+    Grey is repeated, alpha is laid on BACKDROP, and images with an ``orientation`` (1 to 8) beside them are
+    turned upright. An image is cut into its lines first, and each line into its pixels, so no row lists all pixels.
     """
-    good = images.select("image.*").where("height > 0 and nChannels = 3")
-    lines = good.select(F.col("origin").alias("image"), "width", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+    turned = F.col("orientation") if "orientation" in images.columns else F.lit(1)
+    good = images.select("image.*", F.coalesce(turned, F.lit(1)).alias("turned")).where("height > 0 and nChannels in (1, 3, 4)")
+    size = ["width", "height", "nChannels", "turned"]
+    lines = good.select(F.col("origin").alias("image"), *size, "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
     # One character a byte, so that a character's code is the byte's value.
-    lines = lines.select("image", "y", "width", F.decode(F.substring("data", F.col("y") * 3 * F.col("width") + 1, 3 * F.col("width")), "ISO-8859-1").alias("line"))
-    at = lines.select("image", "y", "line", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
-    byte = lambda k: F.ascii(F.substring("line", 3 * F.col("x") + k, F.lit(1)))
-    return at.select("image", "y", "x", byte(3).alias("r"), byte(2).alias("g"), byte(1).alias("b"))
+    length = F.col("nChannels") * F.col("width")
+    lines = lines.select("image", *size, "y", F.decode(F.substring("data", F.col("y") * length + 1, length), "ISO-8859-1").alias("line"))
+    at = lines.select("image", *size, "y", "line", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    byte = lambda k: F.ascii(F.substring("line", F.col("nChannels") * F.col("x") + k, F.lit(1)))
+    laid = lambda k: F.round((byte(k) * byte(4) + BACKDROP * (255 - byte(4))) / 255).cast("int")
+    colour = lambda k: F.when(F.col("nChannels") == 1, byte(1)).when(F.col("nChannels") == 3, byte(k)).otherwise(laid(k))
+    y, x, down, right = F.col("y"), F.col("x"), F.col("height") - 1 - F.col("y"), F.col("width") - 1 - F.col("x")
+    # Where each orientation has the stored pixel; 5 to 8 swap the sides.
+    places = {1: (y, x), 2: (y, right), 3: (down, right), 4: (down, x), 5: (x, y), 6: (x, down), 7: (right, down), 8: (right, y)}
+    place = lambda axis: F.coalesce(*[F.when(F.col("turned") == k, p[axis]) for k, p in places.items()])
+    return at.select("image", place(0).alias("y"), place(1).alias("x"), colour(3).alias("r"), colour(2).alias("g"), colour(1).alias("b"))
 
 
 def box(px: DataFrame, value: str, radius: int, out: str) -> DataFrame:
@@ -122,13 +137,15 @@ def coverage(px: DataFrame, mask: str) -> DataFrame:
     return px.groupBy("image").agg(F.avg(F.col(mask).cast("double")).alias("coverage"))
 
 
+def last_places(px: DataFrame) -> DataFrame:
+    """(image, h, w): the last row and column of each image."""
+    return px.groupBy("image").agg(F.max("y").alias("h"), F.max("x").alias("w"))
+
+
 def border_contact(px: DataFrame, mask: str) -> DataFrame:
     """Mean of the mask over the frame's four lines; corners count in both of theirs."""
-    size = Window.partitionBy("image")
-    h, w = F.max("y").over(size), F.max("x").over(size)
     lines = sum(((c == v).cast("int") for c, v in ((F.col("y"), F.lit(0)), (F.col("y"), F.col("h")), (F.col("x"), F.lit(0)), (F.col("x"), F.col("w")))), F.lit(0))
-    sized = px.withColumns({"h": h, "w": w}).withColumn("lines", lines)
-    return sized.groupBy("image").agg((F.sum(F.col(mask) * F.col("lines")) / F.sum("lines")).alias("contact")).withColumn("border", falling(F.col("contact"), 0.02, 0.28))
+    return px.join(last_places(px), "image").withColumn("lines", lines).groupBy("image").agg((F.sum(F.col(mask) * F.col("lines")) / F.sum("lines")).alias("contact")).withColumn("border", falling(F.col("contact"), 0.02, 0.28))
 
 
 def extents(px: DataFrame, mask: str) -> DataFrame:
@@ -196,8 +213,7 @@ def topology(px: DataFrame, mask: str, share: float = 0.05) -> DataFrame:
     of the largest piece (the first of equal ones) main_area, fill, aspect, contour, solidity and quad_fit. Images
     without mask pixels have no pieces."""
     runs = cut(labelled_runs(px, mask))
-    sizes = px.groupBy("image").agg(F.max("y").alias("h"), F.max("x").alias("w"))
-    inner = cut(hole_runs(labelled_runs(px, mask, value=0, diagonal=False), sizes))
+    inner = cut(hole_runs(labelled_runs(px, mask, value=0, diagonal=False), last_places(px)))
     filled = cut(filled_runs(runs, inner))
     areas = cut(run_areas(runs))
     main = areas.groupBy("image").agg(F.min_by(F.struct("component", "area", "x0", "x1", "y0", "y1"), F.struct(-F.col("area"), "component")).alias("m")).select("image", "m.*")
@@ -233,8 +249,7 @@ def boundary_contrast(px: DataFrame, mask: str, radius: int, least: int = 64) ->
     inside, outside = F.col("m"), 1 - F.col("m")
     sides = {f"{side}_{c}": F.col(c) * w for side, w in (("in", inside), ("out", outside)) for c in ("L", "a", "b_")}
     df = means(scaled, sides | {"in_w": inside, "out_w": outside, "mean_l": F.col("L"), "mean_l2": F.col("L") * F.col("L")}, radius)
-    size = Window.partitionBy("image")
-    df = boundary_band(df.withColumns({"h": F.max("y").over(size), "w": F.max("x").over(size)}), mask, 3)
+    df = boundary_band(df, mask, 3).join(last_places(px), "image")
     of = lambda side, c: F.col(f"{side}_{c}") / F.greatest(F.col(f"{side}_w"), F.lit(1e-3))
     step = F.sqrt(sum((F.pow(of("in", c) - of("out", c), 2) for c in ("L", "a", "b_")), F.lit(0.0)))
     noise = F.sqrt(F.greatest(F.col("mean_l2") - F.col("mean_l") * F.col("mean_l"), F.lit(0.0))) + 1.5
@@ -256,9 +271,10 @@ def suppress_shadow(px: DataFrame, alpha: str, least: int = 200, least_shadow: i
     df = dilate(df, "sh_body", 8, "sh_near").join(backdrop, "image")
     dim = (a > 0.08) & (a < 0.75) & (F.col("sh_s") < 0.18) & (F.col("sh_v") < F.col("bg") - 0.02) & (F.col("sh_v") > F.col("bg") - 0.42)
     df = df.withColumn("sh_dim", F.coalesce(dim, F.lit(False))).withColumn("sh_target", F.col("sh_dim") & (F.col("sh_near") == 0))
-    image = Window.partitionBy("image")
-    gate = (F.least("soft", "solid", "empty") >= least) & (F.count_if("sh_dim").over(image) >= least_shadow) & (F.count_if("sh_target").over(image) >= least_shadow)
-    df = df.withColumn("shadow_suppressed", gate)
+    df = cut(df)
+    counted = df.groupBy("image").agg(F.count_if("sh_dim").alias("sh_dims"), F.count_if("sh_target").alias("sh_targets"))
+    gate = (F.least("soft", "solid", "empty") >= least) & (F.least("sh_dims", "sh_targets") >= least_shadow)
+    df = df.join(counted, "image").withColumn("shadow_suppressed", gate)
     return df.withColumn(alpha, F.when(F.col("shadow_suppressed") & F.col("sh_target"), 0.0).otherwise(a)).select(*px.columns, "shadow_suppressed")
 
 
@@ -272,8 +288,7 @@ def weighted_low_pass(px: DataFrame, value: str, alpha: str, radius: int, out: s
 
 def shrink(px: DataFrame, most: int = 480, least: int = 8) -> DataFrame:
     """The pixels of an image whose long edge is ``most`` at the most, by nearest sampling; short edges keep ``least``."""
-    size = Window.partitionBy("image")
-    df = px.withColumns({"sk_y": F.max("y").over(size) + 1, "sk_x": F.max("x").over(size) + 1})
+    df = px.join(last_places(px).select("image", (F.col("h") + 1).alias("sk_y"), (F.col("w") + 1).alias("sk_x")), "image")
     long, kept = F.greatest("sk_y", "sk_x"), []
     for c in ("y", "x"):
         n = F.col(f"sk_{c}")
@@ -334,8 +349,7 @@ def background_consistency(px: DataFrame, mask: str, ring: int, edge: int) -> Da
 
     The border's model is median and scaled median deviation of L, a and b; darker pixels pass as shadow.
     """
-    size = px.groupBy("image").agg(F.max("y").alias("h"), F.max("x").alias("w"))
-    near = dilate(lab(px), mask, ring, "near").join(size, "image")
+    near = dilate(lab(px), mask, ring, "near").join(last_places(px), "image")
     frame = near.where((F.col(mask) == 0) & ((F.col("y") < edge) | (F.col("x") < edge) | (F.col("y") > F.col("h") - edge) | (F.col("x") > F.col("w") - edge)))
     mid = frame.groupBy("image").agg(F.count("*").alias("n"), *[F.median(c).alias(f"mid_{c}") for c in ("L", "a", "b_")])
     spread = frame.join(mid, "image").groupBy("image").agg(*[F.greatest(1.4826 * F.median(F.abs(F.col(c) - F.col(f"mid_{c}"))), F.lit(1.0)).alias(f"mad_{c}") for c in ("L", "a", "b_")])

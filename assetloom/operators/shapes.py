@@ -7,14 +7,13 @@ two numbers a row, bounded by the image's height.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetloom.functions.columns import ratio
+from assetloom.functions.columns import let, ratio
 from assetloom.operators.windows import line_window
 from assetloom.session import cut
 
@@ -94,11 +93,6 @@ def outline_areas(runs: DataFrame) -> DataFrame:
     return met.groupBy("image", "component").agg(F.sum(squares).alias("outlined"))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, with the value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _turn(a: Column, b: Column, c: Column) -> Column:
     return (b["y"] - a["y"]) * (c["x"] - a["x"]) - (b["x"] - a["x"]) * (c["y"] - a["y"])
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assetloom.functions.columns import category
 from assetloom.operators import pixels, routing
 from assetloom.schema import FAILED, Settings
+from assetloom.session import cut
 
 #: Fewest mask pixels that have a silhouette.
 LEAST_PIXELS = 64
@@ -57,8 +58,10 @@ def assess_images(decoded: DataFrame, masks: DataFrame, hints: DataFrame, settin
     name = F.col("image.origin")
     listed = decoded.select(name.alias("image"), "error")
     fine = decoded.where("error is null")
-    px = pixels.from_images(fine.select("image")).join(masks, ["image", "y", "x"])
-    px = pixels.suppress_shadow(px, "alpha").withColumn("m", (F.col("alpha") > 0.5).cast("int"))
+    turned = [F.col("orientation")] if "orientation" in decoded.columns else []
+    px = pixels.from_images(fine.select("image", *turned)).join(masks, ["image", "y", "x"])
+    # Every measure starts from here, so images are decoded and joined once.
+    px = cut(pixels.suppress_shadow(px, "alpha").withColumn("m", (F.col("alpha") > 0.5).cast("int")))
     grey = px.withColumn("grey", 0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b"))
     out = measure(px, "m", "alpha")
     shadow = px.groupBy("image").agg(F.max("shadow_suppressed").alias("shadow_suppressed"))

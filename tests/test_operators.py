@@ -558,3 +558,60 @@ def test_rows_of_several_lists_are_numbered_in_their_file(spark, tmp_path):
     items, warnings = manifests.read_csv(spark, str(tmp_path))
     assert sorted((r.row, r.url) for r in items.collect()) == sorted([(i + 2, f"http://a/{i}") for i in range(3)] + [(i + 2, f"http://b/{i}") for i in range(4)])
     assert sorted(r.warning for r in warnings.collect()) == ["row 5: no image URL", "row 6: no image URL"]
+
+
+def png(path, colour, channels, rows, extra=b""):
+    """A PNG of the given colour type; rows: bytes of each line."""
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", len(rows[0]) // channels, len(rows), 8, colour, 0, 0, 0)
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + extra + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r for r in rows))) + chunk(b"IEND", b""))
+
+
+def exif(value, order="<"):
+    """A TIFF structure with one other entry and the orientation."""
+    import struct
+
+    entries = struct.pack(order + "HHIHH", 0x0100, 3, 1, 7, 0) + struct.pack(order + "HHIHH", 0x0112, 3, 1, value, 0)
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8) + struct.pack(order + "H", 2) + entries + b"\0\0\0\0"
+
+
+def test_grey_and_transparent_images(spark, tmp_path):
+    png(tmp_path / "grey.png", 0, 1, [bytes(range(y, y + 40)) for y in range(33)])
+    png(tmp_path / "clear.png", 6, 4, [bytes(v for x in range(40) for v in (x, 2 * x, y, (0, 255, 100)[x % 3])) for y in range(33)])
+    rows = images.decode(spark, str(tmp_path))
+    assert [r.error for r in rows.collect()] == [None, None]
+    px = {(r.image.rsplit("/", 1)[1], r.y, r.x): (r.r, r.g, r.b) for r in pixels.from_images(rows).collect()}
+    assert len(px) == 2 * 33 * 40
+    for y in range(33):
+        for x in range(40):
+            assert px["grey.png", y, x] == (y + x,) * 3
+            a = (0, 255, 100)[x % 3]
+            assert px["clear.png", y, x] == tuple(int((v * a + 128 * (255 - a)) / 255 + 0.5) for v in (x, 2 * x, y))
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_images_are_turned_upright(spark, tmp_path, order):
+    import struct
+    import zlib
+
+    stored = np.arange(33 * 40).reshape(33, 40) % 251
+    upright = {1: stored, 2: stored[:, ::-1], 3: stored[::-1, ::-1], 4: stored[::-1], 5: stored.T, 6: np.rot90(stored, -1), 7: stored[::-1, ::-1].T, 8: np.rot90(stored)}
+    for k in [*upright, 9]:
+        data = exif(k, order)
+        chunk = struct.pack(">I", len(data)) + b"eXIf" + data + struct.pack(">I", zlib.crc32(b"eXIf" + data))
+        png(tmp_path / f"{k}.png", 2, 3, [bytes(np.repeat(r, 3).tolist()) for r in stored], chunk)
+    rows = pixels.from_images(images.decode(spark, str(tmp_path))).collect()
+    for k in [*upright, 9]:
+        want = upright.get(k, stored)
+        own = {(r.y, r.x): r.g for r in rows if r.image.endswith(f"/{k}.png")}
+        assert own == {(y, x): int(v) for (y, x), v in np.ndenumerate(want)}
+
+
+def test_orientation_of_headers(spark):
+    jpeg = b"\xff\xd8\xff\xe1\x00\x40Exif\0\0"
+    cases = [(jpeg + exif(6), 6), (jpeg + exif(8, ">"), 8), (exif(3), 3), (jpeg + exif(0), 1), (jpeg + b"II", 1), (b"", 1), (None, 1), (b"\xff" * 70000, 1), (b"II*\0\xff\xff\xff\xff", 1), (jpeg[:9], 1)]
+    df = spark.createDataFrame([(i, bytearray(c) if c is not None else None) for i, (c, _) in enumerate(cases)], "i int, content binary")
+    assert {r.i: r.o for r in df.select("i", images.orientation(F.col("content")).alias("o")).collect()} == {i: want for i, (_, want) in enumerate(cases)}
