@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.functions.columns import band_score, clip, falling, ratio
+from assetloom.operators.edges import convolve, gaussian, slopes
 from assetloom.operators.regions import filled_runs, hole_runs, label, labelled_runs, pixels_of, run_areas
 from assetloom.operators.shapes import largest_rectangle, quad_fit, solidity
 from assetloom.operators.windows import AXES, extremes, means
@@ -312,22 +313,13 @@ def longest_column_run(px: DataFrame, mask: str, share: float = 0.92, gap: int =
 
 def gradient(px: DataFrame, value: str) -> DataFrame:
     """Adds magnitude: the Sobel gradient, the frame's pixels repeated outwards."""
-    def pass_(df, source, out, across, weights):
-        line, along = ("y", "x") if across else ("x", "y")
-        w = Window.partitionBy("image", line).orderBy(along)
-        own = F.col(source)
-        a, c = F.coalesce(F.lag(own).over(w), own), F.coalesce(F.lead(own).over(w), own)
-        return df.withColumn(out, weights[0] * a + weights[1] * own + weights[2] * c)
-
-    smooth, slope = (1.0, 2.0, 1.0), (-1.0, 0.0, 1.0)
-    df = pass_(pass_(px, value, "gx", True, slope), "gx", "gx", False, smooth)
-    df = pass_(pass_(df, value, "gy", False, slope), "gy", "gy", True, smooth)
-    return df.withColumn("magnitude", F.hypot("gx", "gy")).drop("gx", "gy")
+    return slopes(px, value).withColumn("magnitude", F.hypot("gx", "gy")).drop("gx", "gy")
 
 
 def edge_alignment(px: DataFrame, grey: str, mask: str, tolerance: int) -> DataFrame:
-    """Share of the outline with a strong gradient near it; outlines under 32 pixels score 0."""
-    graded = dilate(gradient(outline(px, mask), grey), "magnitude", tolerance, "strongest")
+    """Share of the outline with a strong gradient near it, after smoothing; outlines under 32 pixels score 0."""
+    smooth = convolve(outline(px, mask), grey, gaussian(1.0), "smooth")
+    graded = dilate(gradient(smooth, "smooth"), "magnitude", tolerance, "strongest")
     stats = graded.groupBy("image").agg(F.median("magnitude").alias("mid"), F.percentile("magnitude", 0.99).alias("top"))
     level = F.greatest(2.5 * F.col("mid"), 0.06 * F.col("top"), F.lit(1.5))
     on = graded.where("edge = 1").join(stats, "image").groupBy("image").agg(F.count("*").alias("n"), F.avg((F.col("strongest") >= level).cast("double")).alias("hit"))

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from assetloom.operators import pixels, routing, shapes, verdicts
+from assetloom.operators import edges, pixels, routing, shapes, verdicts
 from assetloom.plans.registry import query
 from assetloom.schema import CATEGORIES, Settings
 from assetloom.session import cut, shared_dir, table
@@ -210,6 +210,48 @@ def grid_verdicts(spark, sf_dir):
     return found.select("image", "pieces", "holes", F.round("contour", 6).alias("contour"), "confidence", "verdict")
 
 
+_KERNEL = edges.gaussian(1.0)
+_MIRRORED = "case when {p} < 0 then -({p}) when {p} > 7 then 14 - ({p}) else {p} end"
+
+
+@query(PX + f""", k(o, w) as (values {", ".join(f"({i - len(_KERNEL) // 2}, {w!r}::double)" for i, w in enumerate(_KERNEL))}),
+a as (select p.image, p.y, p.x, sum(w * n.e) e from px p, k, px n where n.image = p.image and n.y = p.y and n.x = {_MIRRORED.format(p="p.x + o")} group by 1, 2, 3)
+select p.image, p.y, p.x, round(sum(w * n.e), 9) smooth from a p, k, a n where n.image = p.image and n.x = p.x and n.y = {_MIRRORED.format(p="p.y + o")} group by 1, 2, 3""")
+def smoothed(spark, sf_dir):
+    return edges.convolve(_px(spark, sf_dir), "e", _KERNEL, "smooth").select("image", "y", "x", F.round("smooth", 9).alias("smooth"))
+
+
+@query(PX + "select p.image, p.y, p.x, cast(min((n.y - p.y) * (n.y - p.y) + (n.x - p.x) * (n.x - p.x)) as bigint) squared from px p left join (select * from px where m = 1) n on n.image = p.image group by 1, 2, 3")
+def mask_distances(spark, sf_dir):
+    found = edges.squared_distances(_px(spark, sf_dir), "m")
+    return found.select("image", "y", F.col("x").cast("long").alias("x"), "squared")
+
+
+def _edges_sql(name: str, source: str) -> str:
+    """Edge pixels of the table ``source`` (image, y, x, m) as the table ``name``, by neighbours and a search."""
+    return f""",
+{name}_g as (select p.image, p.y, p.x, 255.0::double * sum(n.m * dx * (2 - abs(dy))) gx, 255.0::double * sum(n.m * dy * (2 - abs(dx))) gy from {source} p, (values (-1), (0), (1)) a(dy), (values (-1), (0), (1)) b(dx), {source} n
+  where n.image = p.image and n.y = least(7, greatest(0, p.y + dy)) and n.x = least(7, greatest(0, p.x + dx)) group by 1, 2, 3),
+{name}_m as (select *, abs(gx) + abs(gy) m, case when abs(gy) <= {edges._LEVEL}::double * abs(gx) then 1 when abs(gy) >= {edges._UPRIGHT}::double * abs(gx) then 2 when gx * gy >= 0 then 3 else 4 end k from {name}_g),
+{name}_t as (select p.image, p.y, p.x, p.m, p.k, coalesce(a.m, 0) am, coalesce(b.m, 0) bm from {name}_m p
+  left join {name}_m a on a.image = p.image and a.y = p.y - (p.k > 1)::int and a.x = p.x + case p.k when 1 then -1 when 3 then -1 when 4 then 1 else 0 end
+  left join {name}_m b on b.image = p.image and b.y = p.y + (p.k > 1)::int and b.x = p.x + case p.k when 1 then 1 when 3 then 1 when 4 then -1 else 0 end),
+{name}_n as (select image, y, x, m from {name}_t where m > {edges.LOW} and m > am and (m > bm or (m = bm and k <= 2))),
+{name} as (select image, y, x from {name}_n where m > {edges.HIGH} union select o.image, o.y, o.x from {name} l join {name}_n o on o.image = l.image and abs(o.y - l.y) <= 1 and abs(o.x - l.x) <= 1)"""
+
+
+@query(PX + ", sb as (select image - 1 image, y, x, m from px), sa as (select px.* from px semi join sb using (image))" + _edges_sql("ea", "sa") + _edges_sql("eb", "sb") + """,
+ha as (select image, count(*) n, count(*) filter (exists (select 1 from eb where eb.image = ea.image and (eb.y - ea.y) * (eb.y - ea.y) + (eb.x - ea.x) * (eb.x - ea.x) <= 2)) h from ea group by 1),
+hb as (select image, count(*) n, count(*) filter (exists (select 1 from ea where ea.image = eb.image and (eb.y - ea.y) * (eb.y - ea.y) + (eb.x - ea.x) * (eb.x - ea.x) <= 2)) h from eb group by 1),
+r as (select i.image, coalesce(ha.n, 0) a, coalesce(hb.n, 0) b, coalesce(ha.h, 0) / greatest(ha.n, 1)::double p, coalesce(hb.h, 0) / greatest(hb.n, 1)::double r from (select distinct image from sa) i left join ha on ha.image = i.image left join hb on hb.image = i.image)
+select image, round(case when a = 0 and b = 0 then 1 when a = 0 or b = 0 or p + r = 0 then 0 else 2 * p * r / (p + r) end, 9) edge_f1 from r""")
+def edge_f1(spark, sf_dir):
+    """Each grid's mask against the next one's, by their edges within a circle of radius 1.5."""
+    px = _px(spark, sf_dir).select("image", "y", "x", "m")
+    both = px.join(px.select((F.col("image") - 1).alias("image"), "y", "x", F.col("m").alias("other")), ["image", "y", "x"])
+    return edges.edge_f1(both, "m", "other", 1.5).select("image", F.round("edge_f1", 9).alias("edge_f1"))
+
+
 def _events_stream(spark, sf_dir):
     batch = table(spark, sf_dir, "events")
     return spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet*").parquet(sf_dir)
