@@ -51,21 +51,39 @@ def ordinal_ranks(rows: DataFrame, by: list[Column | str], name: str) -> DataFra
     return ranked.withColumn(name, F.col("rank_inside") + F.col("rank_earlier")).drop("rank_part", "rank_inside", "rank_earlier", *keys)
 
 
+def running_counts(rows: DataFrame, by: list[str], count: str, name: str) -> DataFrame:
+    """Adds the sum of ``count`` over all rows up to this one by ``by``, whose values don't repeat, without sorting all
+    rows in one task: ranges are summed up inside and moved on by the totals of earlier ones, a row a range."""
+    ranged = cut(rows.repartitionByRange(*by).withColumn("run_part", F.spark_partition_id()))
+    inside = F.sum(count).over(Window.partitionBy("run_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    before = F.sum("run_n").over(Window.orderBy("run_part").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = ranged.groupBy("run_part").agg(F.sum(count).alias("run_n")).select("run_part", F.coalesce(before, F.lit(0)).alias("run_earlier"))
+    summed = ranged.withColumn("run_inside", inside).join(F.broadcast(earlier), "run_part")
+    return summed.withColumn(name, F.col("run_inside") + F.col("run_earlier")).drop("run_part", "run_inside", "run_earlier")
+
+
 def percentiles(rows: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
     """(by, a column for each of ``shares``): exact percentiles with linear interpolation, nulls left out.
 
-    All rows are ranked once; a group's percentile needs the values at two ranks, which a join picks
-    by rank. A group that holds a third of all rows is no hot key.
+    Rows are counted by group and value first, so a value that many rows share is one row, and a group
+    that holds a third of all rows is as many rows as it has values. A percentile lies at two places of the order of
+    all rows, in the pairs whose running counts take in those places.
     """
-    ranked = cut(ordinal_ranks(rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("pct_value")), [*by, "pct_value"], "pct_rank"))
-    groups = ranked.groupBy(*by).agg(F.min("pct_rank").alias("pct_first"), F.count("*").alias("pct_n"))
+    groups = {f"pct_by_{i}": F.col(k) for i, k in enumerate(by)} or {"pct_by_0": F.lit(0)}
+    pairs = rows.where(F.col(value).isNotNull()).groupBy(*[g.alias(k) for k, g in groups.items()], F.col(value).cast("double").alias("pct_value")).agg(F.count("*").alias("pct_count"))
+    counted = cut(running_counts(pairs, [*groups, "pct_value"], "pct_count", "pct_through"))
+    sizes = counted.groupBy(*groups).agg(F.min(F.col("pct_through") - F.col("pct_count")).alias("pct_first"), F.sum("pct_count").alias("pct_n"))
     wanted = F.array(*[F.struct(F.lit(k).alias("name"), ((F.col("pct_n") - 1) * F.lit(float(share))).alias("at")) for k, share in shares.items()])
-    each = groups.select(*by, "pct_first", F.explode(wanted).alias("w")).select(*by, F.col("w.name").alias("pct_name"), "pct_first", F.col("w.at").alias("pct_at"))
+    each = sizes.select(*groups, "pct_first", F.explode(wanted).alias("w")).select(*groups, F.col("w.name").alias("pct_name"), "pct_first", F.col("w.at").alias("pct_at"))
     ends = F.array(*[F.struct(f(F.col("pct_at")).cast("long").alias("place"), weight.alias("weight")) for f, weight in ((F.floor, 1 - (F.col("pct_at") - F.floor("pct_at"))), (F.ceil, F.col("pct_at") - F.floor("pct_at")))])
-    picked = each.select(*by, "pct_name", "pct_first", F.explode(ends).alias("e")).select(*by, "pct_name", (F.col("pct_first") + F.col("e.place")).alias("pct_rank"), F.col("e.weight").alias("pct_weight"))
-    met = picked.join(ranked.select("pct_rank", "pct_value"), "pct_rank")
+    picked = each.select(*[F.col(k).alias(f"at_{k}") for k in groups], "pct_name", "pct_first", F.explode(ends).alias("e"))
+    picked = picked.withColumns({"pct_place": F.col("pct_first") + F.col("e.place") + 1, "pct_weight": F.col("e.weight")}).drop("e", "pct_first")
+    near = (F.col("pct_place") > F.col("pct_through") - F.col("pct_count")) & (F.col("pct_place") <= F.col("pct_through"))
+    for k in groups:
+        near = near & F.col(f"at_{k}").eqNullSafe(F.col(k))
     of = lambda k: F.sum(F.when(F.col("pct_name") == k, F.col("pct_weight") * F.col("pct_value"))).alias(k)
-    return met.groupBy(*by).agg(*map(of, shares))
+    found = picked.join(counted, near).groupBy(*groups).agg(*map(of, shares))
+    return found.select(*[F.col(g).alias(k) for g, k in zip(groups, by, strict=False)], *shares)
 
 
 def rank_correlation(rows: DataFrame, a: str, b: str, key: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from assetloom.functions.columns import band_score, clip, falling, ratio
 from assetloom.operators.edges import convolve, gaussian, slopes
+from assetloom.operators.evaluation import percentiles
 from assetloom.operators.regions import filled_runs, hole_runs, label, labelled_runs, pixels_of, run_areas
 from assetloom.operators.shapes import largest_rectangle, quad_fit, solidity
 from assetloom.operators.windows import AXES, extremes, means
@@ -320,7 +321,8 @@ def edge_alignment(px: DataFrame, grey: str, mask: str, tolerance: int) -> DataF
     """Share of the outline with a strong gradient near it, after smoothing; outlines under 32 pixels score 0."""
     smooth = convolve(outline(px, mask), grey, gaussian(1.0), "smooth")
     graded = dilate(gradient(smooth, "smooth"), "magnitude", tolerance, "strongest")
-    stats = graded.groupBy("image").agg(F.median("magnitude").alias("mid"), F.percentile("magnitude", 0.99).alias("top"))
+    graded = cut(graded)
+    stats = percentiles(graded, "magnitude", ["image"], {"mid": 0.5, "top": 0.99})
     level = F.greatest(2.5 * F.col("mid"), 0.06 * F.col("top"), F.lit(1.5))
     on = graded.where("edge = 1").join(stats, "image").groupBy("image").agg(F.count("*").alias("n"), F.avg((F.col("strongest") >= level).cast("double")).alias("hit"))
     return px.select("image").distinct().join(on, "image", "left").select("image", F.when(F.col("n") >= 32, F.col("hit")).otherwise(0.0).alias("edge_alignment"))

@@ -55,18 +55,12 @@ def mask_assessment(spark, sf_dir):
 @query(ROUTED + """select t.t threshold, count(*) filter (confidence >= t.t) ready, count(*) filter (confidence < t.t and confidence >= 0.55::double) review from routed, (values (0.7::double), (0.82), (0.9)) t(t) group by 1""")
 def threshold_sweep(spark, sf_dir):
     """One row of results for each setting of an ablation."""
-    each = routed(spark, sf_dir).withColumn("threshold", F.explode(F.array(F.lit(0.7), F.lit(0.82), F.lit(0.9))))
-    ready = F.col("confidence") >= F.col("threshold")
-    return each.groupBy("threshold").agg(F.count_if(ready).alias("ready"), F.count_if(~ready & (F.col("confidence") >= 0.55)).alias("review"))
+    return curation.threshold_sweep(routed(spark, sf_dir), [0.7, 0.82, 0.9], 0.55)
 
 
 @query(ROUTED + "select lang, count(*) images, count(distinct source) bases, array_to_string(list_sort(list(distinct source)), ' ') sources, count(*) filter (verdict = 'READY') ready, round(count(*) filter (verdict = 'READY') / count(*)::double, 4) auto_accept_rate from routed group by lang")
 def build_summary(spark, sf_dir):
-    ready = F.count_if(F.col("verdict") == "READY")
-    return routed(spark, sf_dir).groupBy("lang").agg(
-        F.count("*").alias("images"), F.count_distinct("source").alias("bases"), F.array_join(F.array_sort(F.collect_set("source")), " ").alias("sources"),
-        ready.alias("ready"), F.round(c.ratio(ready, F.count("*")), 4).alias("auto_accept_rate"),
-    )
+    return curation.build_summary(routed(spark, sf_dir), ["lang"], "source")
 
 
 @query("select cast(doc_id as varchar) || s.s file, cast(doc_id as varchar) id from documents, (values ('_mask.png', true), ('_overlay.png', true), ('_cutout.png', false)) s(s, base) where base or cast(doc_id as varchar) like '%7%'")
@@ -111,14 +105,15 @@ def report_formats(spark, sf_dir):
 def option_overrides(spark, sf_dir):
     """A request's option wins over the setting, an item's category over the request's, both must allow a layer."""
     option = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_linenumber") % 3 == 1)
-    item = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(option, F.lit(True)).alias("shadow"), F.coalesce(item, F.lit("auto")).alias("category"), ((F.col("l_linestatus") == "O") & F.col("l_returnflag").isin("A", "R")).alias("displacement"))
+    item = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).otherwise("auto")
+    layer = curation.layer_wanted(F.col("l_linestatus") == "O", F.col("l_returnflag").isin("A", "R"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", curation.effective(option, F.lit(True)).alias("shadow"), curation.effective_category(item, F.lit(None).cast("string")).alias("category"), layer.alias("displacement"))
 
 
 @query("select d.doc_id, case when l.doc_id is null then 'no ground truth' when n_chars < 20 then 'error' when quality is null then 'unreadable' when n_chars % 7 = 0 then 'resolution mismatch' end skip_reason from documents d left join labels l using (doc_id)")
 def eval_skips(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").withColumn("found", F.lit(True)), "doc_id", "left")
-    why = F.when(F.col("found").isNull(), "no ground truth").when(F.col("n_chars") < 20, "error").when(F.col("quality").isNull(), "unreadable").when(F.col("n_chars") % 7 == 0, "resolution mismatch")
+    why = curation.skip_reason(F.col("found"), F.col("n_chars") < 20, F.col("quality").isNotNull(), F.col("n_chars") % 7 != 0)
     return rows.select("doc_id", why.alias("skip_reason"))
 
 

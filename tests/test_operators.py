@@ -615,3 +615,16 @@ def test_orientation_of_headers(spark):
     cases = [(jpeg + exif(6), 6), (jpeg + exif(8, ">"), 8), (exif(3), 3), (jpeg + exif(0), 1), (jpeg + b"II", 1), (b"", 1), (None, 1), (b"\xff" * 70000, 1), (b"II*\0\xff\xff\xff\xff", 1), (jpeg[:9], 1)]
     df = spark.createDataFrame([(i, bytearray(c) if c is not None else None) for i, (c, _) in enumerate(cases)], "i int, content binary")
     assert {r.i: r.o for r in df.select("i", images.orientation(F.col("content")).alias("o")).collect()} == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_percentiles_of_a_value_that_half_of_all_rows_share(spark):
+    """The ranges hold pairs of group and value, so no task takes the rows of one value."""
+    rows = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("id").cast("double")).alias("v"), F.lit("g").alias("g"))
+    pairs = rows.groupBy("g", "v").agg(F.count("*").alias("n"))
+    summed = evaluation.running_counts(pairs, ["g", "v"], "n", "through").withColumn("task", F.spark_partition_id())
+    assert summed.agg(F.max("through")).first()[0] == 200_000
+    ranged = pairs.repartitionByRange(8, "g", "v").groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.median("count")).first()
+    assert ranged[0] < 3 * ranged[1]
+    got = evaluation.percentiles(rows, "v", [], {"p25": 0.25, "p75": 0.75}).first()
+    want = np.percentile([0.0 if i % 2 == 0 else float(i) for i in range(200_000)], [25, 75])
+    assert (got.p25, got.p75) == pytest.approx(tuple(want))
