@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from assetloom.operators import edges, pixels, routing, shapes, verdicts
+from assetloom.operators import edges, pixels, printarea, routing, shapes, verdicts
 from assetloom.plans.registry import query
 from assetloom.schema import CATEGORIES, Settings
 from assetloom.session import cut, shared_dir, table
@@ -171,6 +171,31 @@ def silhouettes(spark, sf_dir):
     return found.select("image", *[F.round(c, 6).alias(c) for c in ("solidity", "worst_solidity", "quad_fit")])
 
 
+@query(PX + BOTH_LABELS + HULLS + QUADS + """,
+co as (select image, y, x, m, least(255, greatest(0, floor(128 + 200 * e))) r, least(255, greatest(0, floor(128 + 100 * e))) g, 128 b from px),
+sk as (select *, greatest(r, g, b) v, least(r, g, b) lo, 0.299::double * r + 0.587::double * g + 0.114::double * b yy from co),
+sn as (select *, case when v = 0 then 0 else (v - lo) / v end s, ((r - yy) * 0.713::double + 128 > 133 and (r - yy) * 0.713::double + 128 < 180 and (b - yy) * 0.564::double + 128 > 77 and (b - yy) * 0.564::double + 128 < 130) or (v < 62 and case when v = 0 then 0 else 255 * (v - lo) / v end < 110) skin from sk),
+me as (select image, avg(s) filter (m = 1) sat, avg((v / 255 > 0.94::double)::int) filter (m = 1) spec from sn group by 1 having max(m) = 1),
+nr as (select image, avg(skin::int) skin from sn p where exists (select 1 from px n where n.image = p.image and n.m = 1 and abs(n.y - p.y) <= 1 and abs(n.x - p.x) <= 1) group by 1),
+ho as (select image, count(*) holes from hc group by 1),
+f as (select mn.image, coalesce(holes, 0) holes, mn.area / ((x1 - x0 + 1) * (y1 - y0 + 1))::double fill, (x1 - x0 + 1) / (y1 - y0 + 1)::double aspect, quad_fit q, sat, spec, skin from mn join me using (image) join nr using (image) join qq using (image) left join ho using (image)),
+sc as (select image, 1.4::double * least(1, skin / 0.10::double) + 0.9::double * greatest(0, (0.80::double - q) / 0.5::double) + case when holes >= 1 then 0.25::double else 0 end apparel,
+  case holes when 1 then 1.3::double when 2 then 0.4 else 0 end + case when aspect between 0.6::double and 1.6::double then 0.5::double else 0 end + 0.9::double * greatest(0, (0.25::double - sat) / 0.25::double) + 0.8::double * least(1, spec / 0.06::double) + case when q > 0.55::double and q < 0.9::double then 0.4::double else 0 end drinkware,
+  1.6::double * greatest(0, (q - 0.86::double) / 0.14::double) + greatest(0, (fill - 0.88::double) / 0.12::double) - case when holes > 0 then 0.8::double else 0 end wall_art,
+  0.55::double + case when aspect between 0.35::double and 0.75::double and q > 0.8::double then 0.7::double else 0 end + case when aspect > 1.7::double and q > 0.9::double then 0.5::double else 0 end accessory from f),
+ls as (select image, unnest(['apparel', 'drinkware', 'wall_art', 'accessory']) k, unnest([0, 1, 2, 3]) i, unnest([round(greatest(0, apparel), 4), round(greatest(0, drinkware), 4), round(greatest(0, wall_art), 4), round(greatest(0, accessory), 4)]) v from sc)
+select s.image, round(round(apparel, 4), 3) apparel, round(round(drinkware, 4), 3) drinkware, round(round(greatest(0, wall_art), 4), 3) wall_art, round(round(accessory, 4), 3) accessory, (select k from ls where ls.image = s.image order by v desc, i limit 1) category from sc s""")
+def category_scores(spark, sf_dir):
+    """Each grid as a coloured picture: what its silhouette, holes, colours and skin say about its category."""
+    colour = lambda by: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(128 + by * F.col("e")).cast("double")))
+    px = cut(_px(spark, sf_dir).withColumns({"r": colour(200), "g": colour(100), "b": F.lit(128.0)}))
+    measured = pixels.topology(px, "m").join(printarea.category_measures(px, "m", 1), "image")
+    scores = printarea.category_scores()
+    best, _ = routing.category_choice(F.create_map(*[x for k in scores for x in (F.lit(k), F.col(k))]), list(scores))
+    scored = measured.withColumns(scores)
+    return scored.select("image", *[F.round(k, 3).alias(k) for k in scores], best.alias("category"))
+
+
 BAND_SCORE = "greatest(0, least(1, case when {x} < {lo} then 1 - ({lo} - {x}) / {soft}::double when {x} > {hi} then 1 - ({x} - {hi}) / {soft}::double else 1 end))"
 GRID_VERDICTS = (
     PX

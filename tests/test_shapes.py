@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assetloom.operators import edges, pixels, regions, shapes, windows
+from assetloom.operators import edges, pixels, printarea, regions, shapes, windows
 
 
 def grid(spark, *arrays, names=("m",)):
@@ -194,3 +194,67 @@ def test_runs_of_regions(spark):
     runs = regions.labelled_runs(grid(spark, drawn("letter c")), "m")
     assert regions.run_areas(runs).first().area == drawn("letter c").sum() and runs.count() == 32
     assert math.isclose(shapes.outline_areas(runs).first().outlined, inside_outline(drawn("letter c")))
+
+
+def coloured(spark, m, colour):
+    """A mask and a colour for each pixel, white outside."""
+    rows = [(0, y, x, int(v), *(colour(y, x) if v else (255, 255, 255))) for (y, x), v in np.ndenumerate(m)]
+    return spark.createDataFrame(rows, "image int, y int, x int, m int, r int, g int, b int")
+
+
+def worn(m, r):
+    return np.array([[m[max(0, y - r) : y + r + 1, max(0, x - r) : x + r + 1].min() for x in range(m.shape[1])] for y in range(m.shape[0])])
+
+
+def test_a_mug_is_printed_beside_its_handle(spark):
+    m = np.zeros((60, 80), int)
+    m[8:52, 10:50] = 1
+    m[18:42, 50:64] = 1
+    m[23:37, 52:60] = 0
+    r = printarea.cylinder_areas(coloured(spark, m, lambda y, x: (90, 90, 200)), "m").first()
+    # The body of 40 x 44 pixels loses two on each side, then the wall's edges.
+    (x, y), (x1, _), (_, y1), _ = r.quad
+    assert (x, y) == (pytest.approx(12 + 0.14 * 36), pytest.approx(10 + 0.14 * 40)) and (x1 - x, y1 - y) == (pytest.approx(0.72 * 36), pytest.approx(0.70 * 40))
+    # The first two columns of the handle are as full as the body's.
+    assert r.confidence == pytest.approx(0.5 * (0.72 * 36 * 0.70 * 40) / worn(np.where(np.arange(80) < 52, m, 0), 2).sum() + 0.45) and x1 < 50
+    assert printarea.cylinder_areas(coloured(spark, m * 0, lambda y, x: (0, 0, 0)), "m").count() == 0
+
+
+def shirt():
+    m = np.zeros((70, 90), int)
+    m[5:65, 25:65] = 1
+    m[5:25, 5:85] = 1
+    return m
+
+
+def test_a_shirt_is_printed_on_its_chest(spark):
+    m = shirt()
+    r = printarea.torso_areas(coloured(spark, m, lambda y, x: (60, 120, 220)), "m").first()
+    (x, y), (x1, _), (_, y1), _ = r.quad
+    assert worn(m, 2)[int(y) : math.ceil(y1), int(x) : math.ceil(x1)].all() and 25 < x < x1 < 65 and 5 + 0.16 * 60 <= y < y1 <= 5 + 0.78 * 60
+    arm = lambda y, x: (200, 140, 110) if y > 35 and x > 52 else (60, 120, 220)
+    spared = printarea.torso_areas(coloured(spark, m, arm), "m").first()
+    (x, y), (x1, _), (_, y1), _ = spared.quad
+    assert not (x1 > 48 and y1 > 31) and 0.4 <= spared.confidence <= r.confidence <= 1
+    # A dark shirt looks like hair all over; that says nothing, so it keeps its chest.
+    dark = printarea.torso_areas(coloured(spark, m, lambda y, x: (20, 20, 22)), "m").first()
+    assert dark.quad == r.quad
+
+
+def test_categories_from_silhouettes(spark):
+    from assetloom.operators import routing
+
+    def choice(m, colour):
+        px = coloured(spark, m, colour)
+        scores = printarea.category_scores()
+        measured = pixels.topology(px, "m").join(printarea.category_measures(px, "m"), "image").withColumns(scores)
+        best, _ = routing.category_choice(F.create_map(*[x for k in scores for x in (F.lit(k), F.col(k))]), list(scores))
+        return measured.select(best.alias("best")).first().best
+
+    canvas, mug = np.zeros((60, 80), int), np.zeros((60, 80), int)
+    canvas[5:55, 6:74] = 1
+    mug[8:52, 10:50], mug[18:42, 50:64] = 1, 1
+    mug[23:37, 52:60] = 0
+    assert choice(canvas, lambda y, x: (200, 40, 30)) == "wall_art"
+    assert choice(mug, lambda y, x: (235, 235, 235)) == "drinkware"
+    assert choice(shirt(), lambda y, x: (200, 140, 110) if y < 9 else (30, 90, 200)) == "apparel"
