@@ -41,6 +41,8 @@ ROUNDS = 8
 LEAST_GAIN = 2.0
 #: Distinct other words in a block of documents, which is what is looked up together.
 BLOCK_WORDS = 250_000
+#: Tokens in a block, a class byte each, which one Python group takes apart.
+BLOCK_TOKENS = 4_000_000
 #: Distinct keys, and tokens, that a task gathers before it hands them on.
 _PENDING, _TOKENS = 200_000, 2_000_000
 _ROWS_AT_ONCE = 256
@@ -358,12 +360,18 @@ class Model:
         return (of + _OTHER * other).astype(np.uint8), other, int((n > 0).sum()), float(base), float(self.emission(n, of[~other]).sum())
 
 
-def fit(train: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the texts in ``train`` (column text, UTF-8) but for class bigrams, and the table (word, n, class) of all words that are not core."""
+def fit(train: DataFrame, core_share: int | None = None) -> tuple[Model, DataFrame]:
+    """The model of the texts in ``train`` (column text, UTF-8) but for class bigrams, and the table (word, n, class) of all words that are not core.
+
+    Core words make up one in ``core_share`` of all tokens or more (CORE_SHARE unless given); 0 makes every word
+    core, for vocabularies that the driver can hold.
+    """
+    core_share = CORE_SHARE if core_share is None else core_share
     spark = train.sparkSession
     counts = stored(word_counts(train), "brown-words")
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    core = sorted(counts.where(F.col("n") * CORE_SHARE >= (sums.n or 0)).collect(), key=lambda r: (-r.n, r.word))
+    exchanged = F.col("n") * core_share >= (sums.n or 0) if core_share else F.lit(True)
+    core = sorted(counts.where(exchanged).collect(), key=lambda r: (-r.n, r.word))
     units = Units([r.word.encode() for r in core])
     size = n_units(len(core))
     sent = spark.sparkContext.broadcast(units)
@@ -389,11 +397,11 @@ _PREPARED = "block long, words array<string>, doc_id long, n_tokens long, n_know
 _PREPARED_ARROW = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.string())), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("classes", pa.binary()), ("others", pa.list_(pa.int32()))])
 
 
-def _prepare_batches(batches, sent):
+def _prepare_batches(batches, sent, block_tokens):
     """Documents with the places of their other words in the block's list of words; the list is a row of its own."""
     from pyspark import TaskContext
 
-    model, block, places = sent.value, TaskContext.get().partitionId() << 32, Places()
+    model, block, places, held = sent.value, TaskContext.get().partitionId() << 32, Places(), 0
 
     def word_list():
         listed = [w.decode(errors="replace") for w in places]
@@ -406,9 +414,10 @@ def _prepare_batches(batches, sent):
             classes, other, n_known, base, score = model.core_part(words)
             at = np.fromiter(map(places.__getitem__, compress(words, other[:-1].tolist())), dtype=np.int32)
             rows.append((block, None, doc_id, len(words) + 1, n_known, base, score, classes.tobytes(), at))
-            if len(places) >= BLOCK_WORDS:
+            held += len(words) + 1
+            if len(places) >= BLOCK_WORDS or held >= block_tokens:
                 yield word_list()
-                block, places = block + 1, Places()
+                block, places, held = block + 1, Places(), 0
         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, _PREPARED_ARROW, strict=True)], schema=_PREPARED_ARROW)
     yield word_list()
 
@@ -476,7 +485,7 @@ def _score_batches(batches, step):
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(total)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, core_share: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of ``docs``.
 
     The model learns from the documents whose crc32(doc_id as text) mod 5 is not 1. Null texts count
@@ -484,6 +493,9 @@ def score(docs: DataFrame) -> DataFrame:
     repeated rows count and are scored as often as they occur; other columns are ignored. Without
     training rows all probabilities come from the smoothing alone.
 
+    Exchange clustering moves the words that make up one in ``core_share`` of the training tokens (see ``fit``), 0 all
+    of them; every other training word is put in the class to which its neighbours move it.
+
     A task reads its documents' core words by itself and lists the other words of each block of
     documents. The lists meet the table of all other words in a join and return to their blocks, so no
     task ever holds the whole vocabulary and no text is shuffled: a document goes on as one byte a
@@ -492,9 +504,9 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text").cast("string")).alias("text"))
     held_out = crc_of_id(F.col("doc_id")) % FOLDS == HELD_OUT_FOLD
-    model, others = fit(rows.where(~held_out))
+    model, others = fit(rows.where(~held_out), core_share)
     sent = spark.sparkContext.broadcast(model)
-    prepared = stored(rows.mapInArrow(partial(_prepare_batches, sent=sent), _PREPARED), "brown-blocks")
+    prepared = stored(rows.mapInArrow(partial(_prepare_batches, sent=sent, block_tokens=BLOCK_TOKENS), _PREPARED), "brown-blocks")
     asked = prepared.where("words is not null").select("block", F.posexplode("words").alias("place", "word"))
     known = asked.join(others, "word").select(F.col("block").alias("of_block"), "place", "n", "class")
     blocks = prepared.where("words is null").drop("words")

@@ -26,6 +26,8 @@ BLOCK_ROWS, CELL_ROWS, CELL_QUERIES = 256, 32_768, 65_536
 _FEWEST_ROWS = 1024
 #: So many cells' bounds (1 KB each for 64 components) are broadcast at once; more take more passes over the queries.
 SENT_CELLS = 65_536
+#: Bounds of queries and cells that a Python worker computes at once.
+BOUNDS_AT_ONCE = 4_000_000
 #: So many pairs of cells and parts of the queries are broadcast; more are joined by shuffling.
 SENT_PAIRS = 500_000
 TOP = 5
@@ -159,9 +161,8 @@ def _search_own(rows: pa.Table, queries: pa.Table, top: int) -> pa.Table:
 def _ship_batches(batches, boxes, parts, vectors):
     """Each query once for each cell whose bound reaches its floor; without ``vectors`` only which cells and parts meet."""
     cells, high, low = boxes.value
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    step = max(1, BOUNDS_AT_ONCE // len(cells))
+    for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
         asked = pa.Table.from_batches([batch])
         width = max(int(pc.max(pc.list_value_length(asked["q_v"])).as_py()), high.shape[1])
         wider = lambda x: np.pad(x, ((0, 0), (0, width - x.shape[1])))  # noqa: E731, B023
@@ -190,11 +191,10 @@ def _boxes(near: DataFrame):
     known = near.where("high is not null").select("cell", "high", "low")
     last = known.agg(F.max("cell")).first()[0]
     for start in range(0, -1 if last is None else last + 1, SENT_CELLS):
-        rows = known.where(F.col("cell").between(start, start + SENT_CELLS - 1)).collect()
-        if rows:
-            width = max(len(r.high) for r in rows)
-            side = lambda name: np.array([r[name] + [0] * (width - len(r[name])) for r in rows], dtype=float)  # noqa: E731, B023
-            yield np.array([r.cell for r in rows]), side("high"), side("low")
+        rows = known.where(F.col("cell").between(start, start + SENT_CELLS - 1)).toArrow()
+        if len(rows):
+            width = int(pc.max(pc.list_value_length(rows["high"])).as_py())
+            yield rows["cell"].to_numpy(), *(_matrix(rows[side], width).astype(float) for side in ("high", "low"))
 
 
 def top_k(rows: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:

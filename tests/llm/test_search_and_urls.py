@@ -106,7 +106,7 @@ def test_sql_agrees(spark, small):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("embeddings", "pages"):
+    for name in ("documents", "embeddings", "pages"):
         con.execute(f"create view {name} as select * from '{small}/{name}.parquet'")
     for query, sql in registry.ORACLE_SQL.items():
         df = registry.QUERIES[query](spark, small)

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
@@ -264,18 +265,32 @@ def test_brown_probabilities_sum_to_one(documents):
     assert np.allclose(np.exp(brown.smoothed(np.random.default_rng(0).integers(0, 99, (64, 64)))).sum(axis=1), 1)
 
 
-def test_brown_scores_are_the_formulas(spark, monkeypatch):
+def test_brown_blocks_are_bounded_by_tokens(spark, documents, monkeypatch):
+    """One partition of few distinct words is several blocks, and scores stay as they are."""
+    docs = documents.select("doc_id", "text").limit(60).coalesce(1)
+    want = sorted((r.doc_id, round(r.score, 6), r.n_known) for r in brown.score(docs).collect())
+    monkeypatch.setattr(brown, "BLOCK_TOKENS", 500)
+    model, _ = brown.fit(docs.select(F.col("text").cast("binary").alias("text")))
+    prepared = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(partial(brown._prepare_batches, sent=spark.sparkContext.broadcast(model), block_tokens=500), brown._PREPARED)
+    tokens = [r.n for r in prepared.where("words is null").groupBy("block").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("longest")).collect()]
+    assert len(tokens) > 5
+    assert sorted((r.doc_id, round(r.score, 6), r.n_known) for r in brown.score(docs).collect()) == want
+
+
+@pytest.mark.parametrize("core_share", [20, 0])
+def test_brown_scores_are_the_formulas(spark, monkeypatch, core_share):
     """Every step by hand on a small corpus, from the classes that the model gives."""
     rng = np.random.default_rng(9)
     words = [f"w{i}" for i in range(60)]
     docs = spark.createDataFrame([(i, " ".join(words[int(x)] for x in np.minimum(rng.pareto(1.0, 30) * 3, 59))) for i in range(80)] + [(500, "never seen w1"), (501, None), (501, "")], "doc_id long, text string")
-    monkeypatch.setattr(brown, "CORE_SHARE", 20)
+    monkeypatch.setattr(brown, "CORE_SHARE", core_share)
     got = {(r.doc_id, r.n_tokens): r for r in brown.score(docs).collect()}
     fold = lambda k: zlib.crc32(str(k).encode()) % 5 == 1
     rows = [(k, (t or "").split()) for k, t in rows_of(docs)]
     train = [t for k, t in rows if not fold(k)]
     model, others = brown.fit(spark.createDataFrame([(" ".join(t).encode(),) for t in train], "text binary"))
-    assert 0 < model.units.core <= 20
+    # Without a share every training word is exchanged.
+    assert 0 < model.units.core <= 20 if core_share else model.units.core == len({w for t in train for w in t}) and others.isEmpty()
     tail = {r.word: (r.n, r["class"]) for r in others.collect()}
     count = Counter(w for t in train for w in t)
 
