@@ -124,4 +124,4 @@ def category_scores() -> dict[str, Column]:
         "wall_art": 1.6 * over((c("quad_fit") - 0.86) / 0.14) + over((c("fill") - 0.88) / 0.12) - 0.8 * flag(c("holes") > 0),
         "accessory": 0.55 + 0.7 * flag(c("aspect").between(0.35, 0.75) & (c("quad_fit") > 0.8)) + 0.5 * flag((c("aspect") > 1.7) & (c("quad_fit") > 0.9)),
     }
-    return {k: F.round(over(v), 4) for k, v in scores.items()}
+    return {k: F.round(over(v), 9) for k, v in scores.items()}

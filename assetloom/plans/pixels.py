@@ -183,8 +183,8 @@ sc as (select image, 1.4::double * least(1, skin / 0.10::double) + 0.9::double *
   case holes when 1 then 1.3::double when 2 then 0.4 else 0 end + case when aspect between 0.6::double and 1.6::double then 0.5::double else 0 end + 0.9::double * greatest(0, (0.25::double - sat) / 0.25::double) + 0.8::double * least(1, spec / 0.06::double) + case when q > 0.55::double and q < 0.9::double then 0.4::double else 0 end drinkware,
   1.6::double * greatest(0, (q - 0.86::double) / 0.14::double) + greatest(0, (fill - 0.88::double) / 0.12::double) - case when holes > 0 then 0.8::double else 0 end wall_art,
   0.55::double + case when aspect between 0.35::double and 0.75::double and q > 0.8::double then 0.7::double else 0 end + case when aspect > 1.7::double and q > 0.9::double then 0.5::double else 0 end accessory from f),
-ls as (select image, unnest(['apparel', 'drinkware', 'wall_art', 'accessory']) k, unnest([0, 1, 2, 3]) i, unnest([round(greatest(0, apparel), 4), round(greatest(0, drinkware), 4), round(greatest(0, wall_art), 4), round(greatest(0, accessory), 4)]) v from sc)
-select s.image, round(round(apparel, 4), 3) apparel, round(round(drinkware, 4), 3) drinkware, round(round(greatest(0, wall_art), 4), 3) wall_art, round(round(accessory, 4), 3) accessory, (select k from ls where ls.image = s.image order by v desc, i limit 1) category from sc s""")
+ls as (select image, unnest(['apparel', 'drinkware', 'wall_art', 'accessory']) k, unnest([0, 1, 2, 3]) i, unnest([round(greatest(0, apparel), 9), round(greatest(0, drinkware), 9), round(greatest(0, wall_art), 9), round(greatest(0, accessory), 9)]) v from sc)
+select s.image, round(round(apparel, 9), 6) apparel, round(round(drinkware, 9), 6) drinkware, round(round(greatest(0, wall_art), 9), 6) wall_art, round(round(accessory, 9), 6) accessory, (select k from ls where ls.image = s.image order by v desc, i limit 1) category from sc s""")
 def category_scores(spark, sf_dir):
     """Each grid as a coloured picture: what its silhouette, holes, colours and skin say about its category."""
     colour = lambda by: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(128 + by * F.col("e")).cast("double")))
@@ -193,7 +193,7 @@ def category_scores(spark, sf_dir):
     scores = printarea.category_scores()
     best, _ = routing.category_choice(F.create_map(*[x for k in scores for x in (F.lit(k), F.col(k))]), list(scores))
     scored = measured.withColumns(scores)
-    return scored.select("image", *[F.round(k, 3).alias(k) for k in scores], best.alias("category"))
+    return scored.select("image", *[F.round(k, 6).alias(k) for k in scores], best.alias("category"))
 
 
 BAND_SCORE = "greatest(0, least(1, case when {x} < {lo} then 1 - ({lo} - {x}) / {soft}::double when {x} > {hi} then 1 - ({x} - {hi}) / {soft}::double else 1 end))"
