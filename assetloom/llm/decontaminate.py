@@ -242,7 +242,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """(doc_id, item_id, score, seeds, last_word) for each document row and item of which it holds a copy.
 
     score is the alignment's share of an exact copy's. Null or empty texts and an empty benchmark
-    give no rows; repeated documents give repeated rows; other columns are ignored.
+    give no rows; repeated documents give repeated rows; other columns are ignored. Items of fewer than
+    LEAST_WORDS words aren't looked for: they would be found in any text that holds those words.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, seeds long, last_word long"
@@ -254,7 +255,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no copy of a benchmark item."""
+    """The rows of ``docs``, with all their columns whatever their names, that hold no copy of a benchmark item.
+
+    Null and empty texts stay, equal rows go or stay together, an empty benchmark keeps all rows and an
+    empty table none. Items of fewer than LEAST_WORDS words aren't looked for.
+    """
     for index in indexes(docs, benchmark, threshold):
         docs = docs.mapInArrow(partial(_clean_batches, index=index, place=docs.columns.index("text"), threshold=threshold), docs.schema)
     return docs
