@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from assetloom.llm import registry, topk, urlfilter
 
 
@@ -86,7 +88,44 @@ def judged(url, rules):
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
     label = re.split("[.-]", re.sub(":.*", "", host))
-    return host, path, None, "block" if set(label) & set(urlfilter.BLOCKED_WORDS) else "allow"
+    low = "".join(c.lower() if c.isascii() else c for c in path)
+    steps = low.split("/")
+    folder = any(s in urlfilter.BLOCKED_FOLDERS and "/".join(steps[i + 1 :]) for i, s in enumerate(steps) if 0 < i < len(steps) - 1)
+    last = low.removesuffix("/").split("/")[-1] if low else ""
+    page = any(last == p + e for p in urlfilter.BLOCKED_PAGES for e in ("", *("." + e for e in urlfilter.PAGE_ENDINGS)))
+    stem, _, ending = steps[-1].rpartition(".")
+    file = ending in urlfilter.COUNTING_ENDINGS and bool(set(re.split("[^a-z0-9]", stem)) & set(urlfilter.COUNTING))
+    return host, path, None, "block" if set(label) & set(urlfilter.BLOCKED_WORDS) or folder or page or file else "allow"
+
+
+PATHS = [
+    "/ads/x.html", "/ads/", "/ads//", "/ADS/x", "/x/y/pagead/z", "/loads/x", "/ads-x/y", "/x/ads", "/login", "/Login.PHP", "/login/", "/login//", "/login/x", "/user/sign-in.aspx", "/x-login", "/login.phpx", "/cart.do?x", "/cart\n",
+    "/pixel.gif", "/a/b/my-pixel.1x1.PNG", "/pixels.gif", "/pixel-.gif", "/pixel/x.gif", "/x.pixel", "/-pixel.js#a", "/é/pixelé.svg", "/collect.html", "/" + "a/-" * 20000 + "tracker.gif", "/" + "pixel" * 4000,
+]
+
+
+def test_rules_of_paths(spark):
+    rows = [(i, "http://www.x.net" + p) for i, p in enumerate(PATHS)] + [(100 + i, "http://a.org" + p) for i, p in enumerate(PATHS)]
+    got = {r[0]: tuple(r)[1:] for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {i: judged(u, None) for i, u in rows}
+    assert 10 < sum(r[3] == "block" for r in got.values()) < 20 and len(urlfilter.default_rules()) > 300
+
+
+def test_only_rules_of_a_token_run(spark, monkeypatch):
+    urls = spark.createDataFrame([(f"www.x.net{p}",) for p in PATHS], "key string")
+    table = urlfilter.rule_table(spark, urlfilter.default_rules())
+    met = urlfilter.fetched(urls, urlfilter.rule_index(table, urls)).select("key", "token").collect()
+    assert all(r.token in r.key.lower() for r in met)
+    # Some in a hundred of all pairs.
+    assert len(met) < 0.03 * len(PATHS) * table.count()
+    pages = urls.select(F.monotonically_increasing_id().alias("page_id"), F.concat(F.lit("http://"), "key").alias("url"))
+    want = sorted(urlfilter.judge(pages).collect())
+    monkeypatch.setattr(urlfilter, "SENT_RULES", 0)
+    assert sorted(urlfilter.judge(pages, table).collect()) == want
+    # A caller's own table, an empty one among them.
+    own = spark.createDataFrame([("mine", "block", "pixel", ["pixel"], 5, False, 1)], urlfilter.RULES + ", more int")
+    assert {r.verdict for r in urlfilter.judge(pages, own).collect()} == {"allow", "block"}
+    assert {r.verdict for r in urlfilter.judge(pages, table.limit(0)).collect()} == {"allow"}
 
 
 def test_url_rules(spark, small):
@@ -98,7 +137,7 @@ def test_url_rules(spark, small):
 
 def test_rules_lie_under_their_rarest_token(spark):
     urls = spark.createDataFrame([(f"a{i}.org/es/",) for i in range(5)] + [("example.org/en/",)], "key string")
-    index = {r.rule_name: r.token for r in urlfilter.rule_index(spark, urlfilter.default_rules() + [urlfilter.Rule("any", "allow", "^q", (), 1, False)], urls).collect()}
+    index = {r.rule_name: r.token for r in urlfilter.rule_index(urlfilter.rule_table(spark, urlfilter.default_rules() + [urlfilter.Rule("any", "allow", "^q", (), 1, False)]), urls).collect()}
     assert index["example.org/es/"] == "example" and index["org/"] == "org" and index["any"] is None and index["example.org/en/1"] in ("en", "example")
 
 
