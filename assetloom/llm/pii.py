@@ -27,10 +27,10 @@ STRICT = {
 }
 #: A cheap test that every text with a match passes.
 MAY_HOLD = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){12}", "phone": r"\+[0-9]"}
-#: Looser forms, all found in one pass: spelled-out addresses, IPv6, national phone numbers.
+#: Looser forms, all found in one pass: spelled-out addresses, IPv6 (whole, or with one gap), national phone numbers.
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{1,63})++",
-    "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
+    "email": r"[A-Za-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?:(?: ?[\[(]dot[\])] ?|\.)[A-Za-z0-9-]{1,63})++| at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63})++)",
+    "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])",
 }
 _ANY_LOOSE = "|".join(LOOSE.values())
@@ -42,6 +42,8 @@ TOP_DOMAINS = [
     "ua", "uk", "us", "uy", "ve", "vn", "za",
 ]
 CALLING_CODES = "1|7|2(?:[07]|[1-689][0-9])|3(?:[0-4]|6|9|[578][0-9])|4(?:[013-9]|2[0-9])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|[7-9][0-9])|8(?:[1246]|[0578][0-9])|9(?:[0-58]|[679][0-9])"
+#: Global, local and link addresses of IPv6.
+V6_BLOCKS = r"(?i)^(?:[23][0-9a-f]{3}|f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]):"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
 CONTEXT = {
     "email": r"\b(?:e-?mail|mail|contact|write|reach|correo|courriel|kontakt)\b",
@@ -73,15 +75,21 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def _gazetteer(kind: str, x: Column) -> Column:
+    """+1 for what the lists know, -1 for what can't be; unlisted domains and IPv6 blocks get no vote."""
+    never = F.lit(False)
     if kind == "email":
         known = F.lower(F.regexp_extract(x, r"([A-Za-z0-9-]+)$", 1)).isin(TOP_DOMAINS)
     elif kind == "ip":
-        known = ~F.coalesce(F.regexp_extract(x, "^0*([0-9]{1,3})", 1).try_cast("int"), F.lit(1)).isin([0, *range(224, 1000)])
+        v6 = x.contains(":")
+        taken = F.coalesce(F.regexp_extract(x, "^0*([0-9]{1,3})", 1).try_cast("int"), F.lit(1)).isin([0, *range(224, 1000)])
+        known, never = F.when(v6, x.rlike(V6_BLOCKS)).otherwise(~taken), ~v6 & taken
     elif kind == "card":
         known = _digits(x).rlike(ISSUERS)
+        never = ~known
     else:
         known = x.rlike(rf"^\+(?:{CALLING_CODES})") | x.rlike(r"^\(?[2-9]")
-    return _vote(known, ~known)
+        never = ~known
+    return _vote(known, never)
 
 
 def _side(c: Column) -> Column:
@@ -130,7 +138,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def loose(x, before, after, gap):
         as_kind = lambda kind: _candidate(kind, x, before, after, gap, F.lit("loose"))
-        return F.when(x.rlike(r"[\[(]at[\])]"), as_kind("email")).when(x.contains(":"), as_kind("ip")).otherwise(as_kind("phone"))
+        return F.when(x.rlike(r"[\[(]at[\])]| at "), as_kind("email")).when(x.contains(":"), as_kind("ip")).otherwise(as_kind("phone"))
 
     strict = [around(kind, lambda x, before, after, gap, kind=kind: _candidate(kind, x, before, after, gap, F.when(_valid(kind, x), "strict").otherwise("failed"))) for kind in KINDS]
     return df.select("pii_row", "doc_id", F.array(*strict, around("loose", loose)).alias("runs"))
@@ -214,8 +222,9 @@ def find(docs: DataFrame) -> DataFrame:
 
     Places count code points from 0, ends excluded; null texts count as empty and have no spans.
     Repeated and null ids keep their rows; other columns are ignored; no rows give no rows. A span of
-    the classifier never overlaps a strict one, and one that fails its form's check (part above 255,
-    check digit, number of digits) is evidence for the training but never a result. Each text is
+    the classifier never overlaps a strict one. One that fails its form's check (part above 255,
+    check digit, number of digits), or that context or neighbours speak against (an order number, a part
+    of a word), is evidence for the training but never a result. Each text is
     searched once: its candidates go to the shared folder and serve the votes, the training and the
     result. After that only candidates are shuffled, by the row that they come from.
     """
@@ -226,7 +235,8 @@ def find(docs: DataFrame) -> DataFrame:
     table = F.create_map(*[F.lit(x) for k, v in sorted(odds.items()) for x in (k, v)]) if odds else F.create_map().cast("map<string,double>")
     known = lambda key: F.coalesce(F.try_element_at(table, key), F.lit(0.0))
     logit = F.aggregate("traits", known(F.col("kind")), lambda a, t: a + known(F.concat("kind", F.lit("|"), t)))
-    extra = (F.col("form") == "loose") & F.col("free") & (logit > 0)
+    doubted = (F.col("votes")[VOTES.index("context")] < 0) | (F.col("votes")[VOTES.index("neighbours")] < 0)
+    extra = (F.col("form") == "loose") & F.col("free") & ~doubted & (logit > 0)
     span = F.struct("start", "place", "end", "kind")
     strict = F.col("form") == "strict"
     kept = spans.where(strict | extra).groupBy("pii_row").agg(F.array_sort(F.collect_list(F.when(strict, span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"))

@@ -1,6 +1,7 @@
 """Operators on texts against brute-force versions, with the awkward rows of every contract."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -211,6 +212,30 @@ def test_expectation_maximisation_finds_the_reliable_labelers():
     assert (found == real).mean() > max(0.93, (by_sum == real).mean())
 
 
+def test_pii_recall_of_loose_forms(spark, documents):
+    """Spelled-out addresses, IPv6 and national numbers in whole texts, beside order numbers and parts of words."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(5))
+    hexa = lambda: f"{rng.randrange(1, 65536):x}"
+    three, four = (lambda: str(rng.randrange(200, 999))), (lambda: f"{rng.randrange(10000):04}")
+    forms = [
+        ("email", lambda: f"{word()}.{word()} [at] {word()}.{rng.choice(['com', 'museum', 'co.uk', 'berlin'])}"), ("email", lambda: f"{word()}(at){word()} [dot] {rng.choice(['net', 'photography'])}"), ("email", lambda: f"{word()} at {word()} dot org"),
+        ("ip", lambda: ":".join(hexa() for _ in range(8))), ("ip", lambda: f"2600:db8:{hexa()}::{hexa()}"), ("ip", lambda: f"fe80::{hexa()}:{hexa()}"),
+        ("phone", lambda: f"({three()}) 555-{four()}"), ("phone", lambda: f"{three()}-555-{four()}"), ("phone", lambda: f"{three()}.555.{four()}"),
+    ]
+    not_any = [lambda: f"order {three()}-{three()}-{four()}", lambda: f"x{word()}{three()}-555-{four()}y", lambda: f"meet [at] {word()}", lambda: f"{word()} at {word()}", lambda: "10:20:30"]
+    docs, planted = [], set()
+    for i, r in enumerate(documents.where("text is not null").orderBy("doc_id").limit(150).collect()):
+        kind, make = rng.choice(forms)
+        value, lead = make(), rng.choice(["", "", {"email": "contact ", "ip": "host ", "phone": "call "}[kind]])
+        text = f"{rng.choice(not_any)()}. {lead}"
+        planted.add((i, len(text), len(text) + len(value), kind))
+        docs.append((i, f"{text}{value}. {r.text}"))
+    found = pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    extra = {(r.doc_id, s.start, s.end, s.kind) for r in found for s in r.spans if s not in r.base}
+    assert len(extra & planted) >= 0.9 * len(planted) and len(extra - planted) <= 0.05 * len(planted)
+
+
 def test_pii_runs_no_python(spark, documents):
     for df in (pii.candidates(documents), pii.placed(pii.candidates(documents))):
         plan = df._jdf.queryExecution().executedPlan().toString()
