@@ -452,6 +452,27 @@ def test_streamed_history_forgets(spark, tmp_path):
     assert got == {"a": [5, 3], "b": [9, 4]}
 
 
+def test_ties_of_a_score_go_up(spark, tmp_path):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    import duckdb
+
+    from assetloom import catalog
+
+    texts = ["a" * k + "." * (32 - k) for k in range(13, 33)]
+    spark.createDataFrame([(i, t, "en", "s", 32) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    exact = {i: float((Decimal("0.08") + min(Decimal("0.75") * k / 32 - Decimal("0.3"), Decimal("0.3"))).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for i, k in enumerate(range(13, 33))}
+    assert {r.doc_id: r.confidence for r in catalog.QUERIES["verdict_routing"](spark, str(tmp_path)).collect()} == exact
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert {i: score for i, _, score in con.execute(catalog.ORACLE_SQL["verdict_routing"]).fetchall()} == exact
+    for name in ("report_order", "cards_order"):
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"select {', '.join(got.columns)} from ({catalog.ORACLE_SQL[name]})").fetchall())
+
+
 def test_percentiles_of_hot_and_small_groups(spark):
     rows = [("hot", float(i % 7)) for i in range(300)] + [("one", 2.5), (None, 1.0), (None, 2.0), ("null", None)]
     got = {r.g: (r.p0, r.p50, r.p95, r.p100) for r in evaluation.percentiles(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], {"p0": 0, "p50": 0.5, "p95": 0.95, "p100": 1}).collect()}
