@@ -215,12 +215,12 @@ ew as (select image, avg(m) coverage, sum(case when hi > lo then 1 else 0 end)::
 t(k, lo, hi, holes_ok, f0, f1, a0, a1) as (values (0, 0.10::double, 0.92::double, true, 0.34::double, 0.94::double, 0.45::double, 2.10::double), (1, 0.05, 0.75, true, 0.62, 1.0, 0.28, 1.9), (2, 0.08, 0.95, false, 0.78, 1.0, 0.25, 4.0), (3, 0.04, 0.9, true, 0.52, 1.0, 0.2, 4.5), (4, 0.03, 0.96, true, 0.25, 1.0, 0.15, 5.0)),
 f as (select ew.*, coalesce(pieces, 0) pieces, coalesce(size_ratio, 1) size_ratio, coalesce(ho.holes, 0) holes, coalesce(mn.area, 0) main_area, mn.area / ((x1 - x0 + 1) * (y1 - y0 + 1))::double fill, (x1 - x0 + 1) / (y1 - y0 + 1)::double aspect, contour, coalesce(ws.solidity, 1) solidity, coalesce(ws.worst, 1) worst, qq.quad_fit, t.*
   from ew left join ws on ws.image = ew.image left join qq on qq.image = ew.image left join pc on pc.image = ew.image left join ho on ho.image = ew.image left join mn on mn.image = ew.image left join ct on ct.image = ew.image join t on t.k = ew.image % 5),
-g as (select *, case when pieces = 0 then 1 when pieces between 2 and 4 and size_ratio >= 0.25 and worst >= 0.5::double then 0 else least(1, greatest(0, (pieces - 1) / 4.0::double)) end cp, case when f.holes > 12 then least(1, (f.holes - 12) / 30.0::double) when f.holes > 0 and not holes_ok then 0.35::double else 0 end hp,
+g as (select *, case when pieces = 0 then 1 when pieces between 2 and 4 and size_ratio >= 0.25 and round(worst, 9) >= 0.5::double then 0 else least(1, greatest(0, (pieces - 1) / 4.0::double)) end cp, case when f.holes > 12 then least(1, (f.holes - 12) / 30.0::double) when f.holes > 0 and not holes_ok then 0.35::double else 0 end hp,
   case when perimeter < 32 then 0 else greatest(0, least(1, 1 - (uncertain / perimeter - 2) / 12.0::double)) end sharp, case when main_area < 32 then 0 else greatest(0, least(1, (contour / sqrt(main_area) - 4.2::double) / 8.0::double)) end cx, greatest(0, least(1, 1 - (contact - 0.02::double) / 0.28::double)) border,
   case when coverage between lo and hi then 1 when coverage < lo then least(1, coverage / lo) else greatest(0, least(1, (1 - coverage) / (1 - hi))) end cov,
-  case when main_area < 8 then 0 else least(case when solidity >= 0.93::double then 1 else {BAND_SCORE.format(x="fill", lo="f0", hi="f1", soft="0.30")} end, case when k = 2 then least(1, greatest(0, 1 - (0.95::double - quad_fit) / 0.25::double)) else 1 end, {BAND_SCORE.format(x="aspect", lo="a0", hi="a1", soft="1.20")}) end shape from f),
-k as (select *, (0.12::double * sharp + 0.10::double * case when pieces = 0 then 0 else greatest(0, 1 - 0.5::double * cp - 0.3::double * hp - 0.4::double * greatest(0, least(1, (0.62::double - solidity) / 0.4::double))) end + 0.07::double * cov + 0.05::double * border + 0.02::double * shape) / 0.36::double * (1 - 0.1::double * cx) conf from g)
-select image, pieces, holes, round(contour, 6) contour, round(case when coverage < 0.004::double or coverage > 0.985::double then 0 else conf end, 4) confidence,
+  case when main_area < 8 then 0 else least(case when round(solidity, 9) >= 0.93::double then 1 else {BAND_SCORE.format(x="fill", lo="f0", hi="f1", soft="0.30")} end, case when k = 2 then least(1, greatest(0, 1 - (0.95::double - quad_fit) / 0.25::double)) else 1 end, {BAND_SCORE.format(x="aspect", lo="a0", hi="a1", soft="1.20")}) end shape from f),
+k as (select *, round((0.12::double * sharp + 0.10::double * case when pieces = 0 then 0 else greatest(0, 1 - 0.5::double * cp - 0.3::double * hp - 0.4::double * greatest(0, least(1, (0.62::double - solidity) / 0.4::double))) end + 0.07::double * cov + 0.05::double * border + 0.02::double * shape) / 0.36::double * (1 - 0.1::double * cx), 9) conf from g)
+select image, pieces, holes, round(contour, 6) contour, cast(round(cast(case when coverage < 0.004::double or coverage > 0.985::double then 0 else conf end as decimal(18, 9)), 4) as double) confidence,
   case when coverage < 0.004::double or coverage > 0.985::double then 'FAILED' when conf >= 0.82::double and not (cp > 0.2::double or shape < 0.6::double or contact > 0.06::double) then 'READY' when conf >= 0.55::double then 'REVIEW' else 'FAILED' end verdict from k"""
 )
 

@@ -473,6 +473,20 @@ def test_ties_of_a_score_go_up(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"select {', '.join(got.columns)} from ({catalog.ORACLE_SQL[name]})").fetchall())
 
 
+def test_grid_verdicts_at_a_solidity_of_a_half(spark, tmp_path):
+    import duckdb
+
+    from assetloom import catalog
+
+    masks = [(i, [0.3 if x == "1" else -0.3 for x in f"{m:064b}"]) for i, m in ((11710, 0x18131BD49AD20C0A), (22971, 0x503E350BECCD56DA))]
+    spark.createDataFrame(masks, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalog.QUERIES["grid_verdicts"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"select {', '.join(got.columns)} from ({catalog.ORACLE_SQL['grid_verdicts']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 2
+
+
 def test_percentiles_of_hot_and_small_groups(spark):
     rows = [("hot", float(i % 7)) for i in range(300)] + [("one", 2.5), (None, 1.0), (None, 2.0), ("null", None)]
     got = {r.g: (r.p0, r.p50, r.p95, r.p100) for r in evaluation.percentiles(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], {"p0": 0, "p50": 0.5, "p95": 0.95, "p100": 1}).collect()}
