@@ -44,17 +44,33 @@ def run_available(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
     return last.select(*keys, "last.*")
 
 
-def newest(stream: DataFrame, key: str, sequence: str, limit: int) -> DataFrame:
+def newest(stream: DataFrame, key: str, sequence: str, limit: int, buckets: int = 4096) -> DataFrame:
     """(key, newest): the ``limit`` greatest sequence numbers of each key so far, greatest first, in update mode.
 
-    The state of a key is that list and nothing else: what it pushes out is gone.
+    What a key's list pushes out is gone. The lists of one of ``buckets`` parts of the keys are one state, read and
+    written at once: a call for each key would cost more than its work. Null numbers are left out.
     """
-    def keep(values, batches, state: GroupState):
-        held = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            held = sorted({*held, *batch[sequence].tolist()}, reverse=True)[:limit]
-        state.update((held,))
-        yield pd.DataFrame({key: [values[0]], "newest": [held]})
+    kind = stream.schema[key].dataType.simpleString()
+
+    def greatest(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates().sort_values(["key", "number"], ascending=[True, False])
+        return rows[rows.groupby("key", dropna=False).cumcount() < limit]
 
-    schema = f"{key} {stream.schema[key].dataType.simpleString()}, newest array<long>"
-    return stream.select(key, F.col(sequence).cast("long").alias(sequence)).groupBy(key).applyInPandasWithState(keep, schema, "held array<long>", "update", "NoTimeout")
+    def keep(_, batches, state: GroupState):
+        held, seen = pd.DataFrame({"key": pd.Series(dtype=object), "number": pd.Series(dtype="int64")}), []
+        if state.exists:
+            keys, lists = state.get
+            held = pd.DataFrame({"key": pd.Series(keys, dtype=object), "number": lists}).explode("number").astype({"number": "int64"})
+        for batch in batches:
+            seen.append(batch["key"].drop_duplicates())
+            held = greatest(pd.concat([held, batch[["key", "number"]]]))
+        lists = held.groupby("key", dropna=False, sort=False)["number"].agg(list).reset_index()
+        lists["key"] = lists["key"].astype(object).where(lists["key"].notna(), None)
+        state.update((lists["key"].tolist(), lists["number"].tolist()))
+        changed = pd.concat(seen)
+        yield lists[lists["key"].isin(changed)].rename(columns={"number": "newest"})
+
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(sequence).cast("long").alias("number")).where("number is not null")
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).groupBy("part")
+    lists = parts.applyInPandasWithState(keep, "key string, newest array<long>", "keys array<string>, lists array<array<bigint>>", "update", "NoTimeout")
+    return lists.select(F.col("key").cast(kind).alias(key), "newest")

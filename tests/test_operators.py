@@ -487,6 +487,18 @@ def test_grid_verdicts_at_a_solidity_of_a_half(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 2
 
 
+def test_newest_of_many_and_odd_keys(spark, tmp_path):
+    big = 2**53 + 1
+    flow = lambda: progress.newest(spark.readStream.schema("k long, i long").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")), "k", "i", 2, buckets=1)
+    for run, rows in enumerate([[(k, i) for k in (*range(50), big, None) for i in (k or 0, 5, 5)], [(None, 9), (big, 7), (3, None)]]):
+        spark.createDataFrame(rows, "k long, i long").coalesce(1).write.parquet(str(tmp_path / f"in/{run}"))
+        query = progress.run_available(flow(), ["k"], str(tmp_path / "out"))
+    got = {r.k: r.newest for r in query.collect()}
+    assert got == {k: sorted({k, 5}, reverse=True) for k in range(50)} | {big: [big, 7], None: [9, 5]}
+    # A batch gives the keys that it changed, and no others.
+    assert spark.read.parquet(str(tmp_path / "out/rows/1")).count() == 2
+
+
 def test_percentiles_of_hot_and_small_groups(spark):
     rows = [("hot", float(i % 7)) for i in range(300)] + [("one", 2.5), (None, 1.0), (None, 2.0), ("null", None)]
     got = {r.g: (r.p0, r.p50, r.p95, r.p100) for r in evaluation.percentiles(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], {"p0": 0, "p50": 0.5, "p95": 0.95, "p100": 1}).collect()}
