@@ -499,6 +499,18 @@ def test_newest_of_many_and_odd_keys(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/rows/1")).count() == 2
 
 
+def test_summary_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        made.add(1)
+        return x
+
+    rows = spark.range(40).repartition(4).select((F.udf(counted, "double")(F.col("id").cast("double")) / 40).alias("iou"), "id")
+    found = evaluation.accuracy_summary(rows, "iou", "id").first()
+    assert (found.images, found.median_iou, found.p95_latency) == (40, pytest.approx(19.5 / 40), pytest.approx(37.05)) and made.value == 40
+
+
 def test_percentiles_of_hot_and_small_groups(spark):
     rows = [("hot", float(i % 7)) for i in range(300)] + [("one", 2.5), (None, 1.0), (None, 2.0), ("null", None)]
     got = {r.g: (r.p0, r.p50, r.p95, r.p100) for r in evaluation.percentiles(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], {"p0": 0, "p50": 0.5, "p95": 0.95, "p100": 1}).collect()}
