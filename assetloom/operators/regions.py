@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetloom.operators.components import connected_components
+from assetloom.operators.components import connected_components, contracted
 from assetloom.operators.evaluation import ordinal_ranks
 from assetloom.session import cut
 
+#: Rows of an image whose links go to one task.
+BAND = 256
+
 
 def row_runs(px: DataFrame, mask: str, value: int = 1) -> DataFrame:
     """(image, y, x0, x1): the maximal runs along rows of pixels that have ``value``."""
@@ -32,7 +35,9 @@ def labelled_runs(px: DataFrame, mask: str, value: int = 1, diagonal: bool = Tru
     reach = 1 if diagonal else 0
     below = runs.select("image", (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("node").alias("v"))
     links = runs.join(below, ["image", "y"]).where((F.col("x0") <= F.col("b1") + reach) & (F.col("b0") <= F.col("x1") + reach))
-    roots = connected_components(links.select(F.col("node").alias("u"), "v"))
+    # The links of an image, a band of rows at a time, lie together and in order.
+    together = links.select(F.col("node").alias("u"), "v", "image", F.floor(F.col("y") / BAND).alias("band")).repartition("image", "band").sortWithinPartitions("u")
+    roots = connected_components(contracted(together.select("u", "v")))
     return runs.join(roots, "node", "left").select("image", F.coalesce("root", "node").alias("component"), "y", "x0", "x1")
 
 

@@ -511,6 +511,22 @@ def test_summary_makes_its_rows_once(spark):
     assert (found.images, found.median_iou, found.p95_latency) == (40, pytest.approx(19.5 / 40), pytest.approx(37.05)) and made.value == 40
 
 
+def test_links_that_lie_together_need_no_rounds(spark, monkeypatch):
+    from assetloom.operators import components, regions
+
+    rounds, plain = [], components._small_star
+    monkeypatch.setattr(components, "_small_star", lambda edges: rounds.append(1) or plain(edges))
+    snake = [(i, y, x, int(y % 2 == 0 or x == (7 if y % 4 == 1 else 0))) for i in range(5) for y in range(9) for x in range(8)]
+    px = spark.createDataFrame(snake, "image long, y long, x long, m int")
+    assert {tuple(r) for r in regions.run_areas(regions.labelled_runs(px, "m")).select("image", "area").collect()} == {(i, 44) for i in range(5)} and not rounds
+    monkeypatch.setattr(regions, "BAND", 1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        assert regions.run_areas(regions.labelled_runs(px, "m")).count() == 5 and rounds
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_percentiles_of_hot_and_small_groups(spark):
     rows = [("hot", float(i % 7)) for i in range(300)] + [("one", 2.5), (None, 1.0), (None, 2.0), ("null", None)]
     got = {r.g: (r.p0, r.p50, r.p95, r.p100) for r in evaluation.percentiles(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], {"p0": 0, "p50": 0.5, "p95": 0.95, "p100": 1}).collect()}
