@@ -8,9 +8,10 @@ grow with the width of the smoothing, which may differ from image to image.
 from __future__ import annotations
 
 import itertools
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assetloom.functions.columns import clip, luminance
@@ -24,6 +25,8 @@ CUT_OFF = 0.68
 #: What is least taken for a weight in a mean, as a share of the pixels' number.
 LEAST_WEIGHT = 1e-4
 NEUTRAL = 128
+#: Pixels of small images that one task takes, and the most that an image may have for being one task's.
+PIXELS_AT_ONCE, LARGE = 1 << 15, 1 << 20
 
 
 def grid_means(px: DataFrame, values: dict[str, Column], weight: Column, space: Column, level: Column | None = None) -> DataFrame:
@@ -49,12 +52,17 @@ def grid_means(px: DataFrame, values: dict[str, Column], weight: Column, space:
     def summed(df, cells):
         return df.select("image", F.explode(F.array(*cells)).alias("c"), *sums).select("image", "c.*", *sums)
 
-    given = summed(placed, [F.struct(*moved(c, 1), share(c).alias("gm_w")) for c in corners])
-    cells = given.groupBy("image", *at).agg(*[F.sum(F.col("gm_w") * F.col(k)).alias(k) for k in sums])
-    around = [F.struct(*moved(c, 1)) for c in itertools.product((-1, 0, 1), repeat=len(at))]
-    cells = summed(cells, around).groupBy("image", *at).agg(*[F.sum(k).alias(k) for k in sums])
-    # What lies between cells reads all its corners from one row.
-    beside = summed(cells, [F.struct(*moved(c, -1), F.lit(i).alias("gm_k")) for i, c in enumerate(corners)])
+    # A cell's pixels are summed before their shares are dealt to its corners.
+    own_cells = placed.groupBy("image", *at).agg(*[F.sum(share(c) * F.col(k)).alias(f"{k}_{i}") for i, c in enumerate(corners) for k in sums])
+    dealt = [F.struct(*moved(c, 1), *[F.col(f"{k}_{i}").alias(k) for k in sums]) for i, c in enumerate(corners)]
+    cells = own_cells.select("image", F.explode(F.array(*dealt)).alias("c")).select("image", "c.*").groupBy("image", *at).agg(*[F.sum(k).alias(k) for k in sums])
+    # One axis after the other: three rows a cell each time.
+    for axis in at:
+        steps = [[step if k == axis else 0 for k in at] for step in (-1, 0, 1)]
+        cells = summed(cells, [F.struct(*moved(c, 1)) for c in steps]).groupBy("image", *at).agg(*[F.sum(k).alias(k) for k in sums])
+    # What lies in a cell reads all its corners from one row.
+    asked = own_cells.select("image", F.explode(F.array(*[F.struct(*[F.col(k).alias(f"own_{k}") for k in at], *moved(c, 1), F.lit(i).alias("gm_k")) for i, c in enumerate(corners)])).alias("c")).select("image", "c.*")
+    beside = asked.join(cells, ["image", *at]).select("image", *[F.col(f"own_{k}").alias(k) for k in at], "gm_k", *sums)
     blocks = beside.groupBy("image", *at).agg(*[F.sum(F.when(F.col("gm_k") == i, F.col(k))).alias(f"{k}_{i}") for i in range(len(corners)) for k in sums])
     read = {k: sum((share(c) * F.col(f"{k}_{i}") for i, c in enumerate(corners)), F.lit(0.0)) for k in sums}
     below = F.greatest(read["gm_d"], LEAST_WEIGHT * read["gm_n"])
@@ -62,6 +70,30 @@ def grid_means(px: DataFrame, values: dict[str, Column], weight: Column, space:
     return met.select(*[c for c in own if c not in values], *[(read[f"gm_s{i}"] / below).alias(k) for i, k in enumerate(values)])
 
 
+def _together(px: DataFrame) -> DataFrame:
+    """The pixels of an image in one task, many images in each, so that sums, blurs and reads need no exchange of their
+    own; more tasks for more pixels. If an image has more than ``LARGE`` pixels, nothing is moved."""
+    n, largest = px.groupBy("image").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    if not n or largest > LARGE:
+        return px
+    return px.repartition(max(int(px.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // PIXELS_AT_ONCE + 1), "image")
+
+
+@contextmanager
+def _joined_in_place(spark: SparkSession):
+    """Plans that are made and run inside join rows where they lie, if both sides lie by some of the keys.
+
+    Spark would else move all pixels for each join, to lie by all of its keys.
+    """
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, False)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def bilateral(px: DataFrame, value: str, space: Column, spread: float, out: str) -> DataFrame:
     """Smooths ``value`` over near pixels of like value: sigmas ``space`` in places and ``spread`` in value."""
     return grid_means(px, {out: F.col(value)}, F.lit(1.0), space, F.col(value) / spread)
@@ -69,6 +101,7 @@ def bilateral(px: DataFrame, value: str, space: Column, spread: float, out: str)
 
 def _lit_pixels(px: DataFrame, alpha: str) -> DataFrame:
     """Adds ly_light (0 to 1), ly_a and ly_long, the longer side."""
+    px = _together(px)
     sides = last_places(px).select("image", (F.greatest("h", "w") + 1).cast("double").alias("ly_long"))
     lit = lab(px).withColumns({"ly_light": luminance(F.col("L")), "ly_a": clip(F.col(alpha).cast("double"))}).drop("L", "a", "b_")
     return lit.join(sides, "image")
@@ -87,10 +120,13 @@ def light_layers(px: DataFrame, alpha: str, strength: float = 1.0, least: float
     """
     lit = _lit_pixels(px, alpha)
     tone = grid_means(lit, {"ly_tone": F.col("ly_light")}, F.col("ly_a"), F.greatest(F.lit(6.0), 0.08 * F.col("ly_long")))
-    shading = tone.withColumn("ly_left", F.col("ly_light") / F.greatest(F.col("ly_tone"), F.lit(0.02)))
+    # Two stages: each sum, sort and join of a stage holds memory of its own.
+    with _joined_in_place(px.sparkSession):
+        shading = _together(cut(tone.withColumn("ly_left", F.col("ly_light") / F.greatest(F.col("ly_tone"), F.lit(0.02)))))
     space = F.greatest(F.lit(3.0), 0.004 * F.col("ly_long")) * CUT_OFF
     smooth = bilateral(shading, "ly_left", space, 0.08, "ly_left")
-    raw = cut(smooth.withColumns({"shadow": clip((1 - F.col("ly_left")) * strength), "highlight": clip((F.col("ly_left") - 1) * strength)}))
+    with _joined_in_place(px.sparkSession):
+        raw = cut(smooth.withColumns({"shadow": clip((1 - F.col("ly_left")) * strength), "highlight": clip((F.col("ly_left") - 1) * strength)}))
     out = raw.join(_enough(raw, least), "image")
     body = raw.where("ly_a > 0.5")
     for c in ("shadow", "highlight"):

@@ -89,6 +89,26 @@ def test_folds_are_in_their_layers(spark):
     assert report.shadow_mean == round(shadow[a == 1].mean(), 4)
 
 
+def test_smoothing_moves_no_pixels_of_small_images(spark, monkeypatch):
+    a, grey = picture()
+    px = table_of(spark, {"alpha": a, "r": grey, "g": grey, "b": grey})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans = []
+    plain = layers.cut
+    monkeypatch.setattr(layers, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    try:
+        near = layers.light_layers(px, "alpha")
+        moves = [line for plan in plans for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert moves and all("REPARTITION_BY_NUM" in line for line in moves)
+        monkeypatch.setattr(layers, "LARGE", 1)  # an image too large for one task is smoothed all the same
+        far = layers.light_layers(px, "alpha")
+        for c in ("shadow", "highlight"):
+            assert np.abs(back(near, c, a.shape) - back(far, c, a.shape)).max() < 1e-9
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
 def test_displacement_is_neutral_outside(spark):
     a, grey = picture()
     found = back(layers.displacement(table_of(spark, {"alpha": a, "r": grey, "g": grey, "b": grey}), "alpha"), "displacement", a.shape)
