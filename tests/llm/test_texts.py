@@ -142,6 +142,30 @@ def test_pipeline_stage_leaves_no_near_copies(spark, documents, odd, monkeypatch
         assert not rest
 
 
+def test_grid_of_the_pipeline_stage_meets_every_pair_within_its_radius():
+    """Sets of 1 to 300 sequences and partners at 0.8 or just above it, whatever counts as common, also where segments or blocks are few."""
+    rng, met = np.random.default_rng(4), 0
+    for k in range(3000):
+        n = int(rng.integers(1, 12 if k % 2 else 300))
+        a = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        if k % 5 == 0:  # all in one block
+            a = np.unique(a << 20)
+        gone = int(rng.integers(0, n // 5 + 1))
+        new = int(rng.integers(0, max(int((n - gone) / 0.8 + 1e-6) - n, 0) + 1))
+        added = rng.integers(-(2**63), 2**63 - 1, new)
+        b = np.unique(np.concatenate([rng.permutation(a)[gone:], added << 20 if k % 5 == 0 else added]))
+        if np.array_equal(a, b) or nearcopies.similarity(a, b) < 0.8 - 1e-12:
+            continue
+        rank = lambda x: np.where(x % 3 == 0, x % 1000, 0) if k % 4 else np.zeros(len(x), np.int64)  # noqa: B023, E731
+        (pa_, _), (pb, _) = (nearcopies.grid_points(x, rank(nearcopies.segments(x))) for x in (a, b))
+        assert np.intersect1d(pa_, pb).size, (a, b)
+        assert max(len(pa_), len(pb)) <= 2 * (0.25 * max(len(a), len(b)) + 1)
+        met += 1
+    assert met > 1000
+    unlike = [nearcopies.grid_points(np.unique(rng.integers(-(2**63), 2**63 - 1, 200)), np.zeros(200, np.int64))[0] for _ in range(50)]
+    assert len(np.unique(np.concatenate(unlike))) == sum(map(len, unlike))
+
+
 # --- personal data
 
 def base_spans(text):
