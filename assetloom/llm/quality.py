@@ -134,7 +134,9 @@ class Model:
 
 
 def _log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    good, bad = (np.bincount(np.concatenate([x for x, k in zip(rows, y, strict=True) if k == side] or [np.zeros(0, np.int32)]), minlength=SIZE) + 1.0 for side in (1, -1))
+    good, bad = np.ones(SIZE), np.ones(SIZE)
+    for x, k in zip(rows, y, strict=True):
+        np.add.at(good if k == 1 else bad, x, 1)
     return np.log(good / good.sum()) - np.log(bad / bad.sum())
 
 
@@ -171,7 +173,11 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _linear(rows: list[np.ndarray], y: np.ndarray) -> Model:
     ratio = _log_count_ratios(rows, y)
-    w = _dual_coordinate_descent(rows, [_scaled(x, ratio).astype(np.float32) for x in rows], y, SIZE)
+    # One array for all values: thousands of small ones would leave the driver's memory in pieces.
+    values = np.split(np.empty(sum(map(len, rows)), np.float32), np.cumsum([len(x) for x in rows])[:-1])
+    for x, own in zip(rows, values, strict=True):
+        own[:] = _scaled(x, ratio)
+    w = _dual_coordinate_descent(rows, values, y, SIZE)
     return Model(w[:SIZE], ratio, float(w[SIZE]), 1.0, 0.0)
 
 
@@ -226,7 +232,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
     found = texts.mapInArrow(_feature_batches, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, quality int, found binary")
     rows = found.groupBy("doc_id").agg(F.min(F.struct("found", "quality")).alias("one")).select("doc_id", "one.*").toArrow().sort_by("doc_id")
-    return fit_model([np.frombuffer(x.as_buffer(), dtype=np.int32) for x in rows["found"]], rows["quality"].to_pylist())
+    model = fit_model([np.frombuffer(x.as_buffer(), dtype=np.int32) for x in rows["found"]], rows["quality"].to_pylist())
+    del rows
+    pa.default_memory_pool().release_unused()  # else the sample stays the driver's
+    return model
 
 
 def _score_batches(batches, model):

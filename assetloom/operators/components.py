@@ -74,14 +74,17 @@ def contracted(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (two long columns u, v); root is the least node reachable.
 
-    Self links and repeated links are ignored; no links give no rows. Each round is cut by a
-    checkpoint; only a count reaches the driver. The number of rounds grows
+    Self links and repeated links are ignored; no links give no rows. The links of each task are contracted first, then
+    each ``LINKS_AT_ONCE`` of what is left; so few links are done in one task and need no round, and their many small
+    exchanges stay away from the driver. Each round is cut by a checkpoint; only a count reaches the driver. The number of rounds grows
     with the logarithm of a component's size. A node with many links is a hot key of the joins, whose
     other sides are dealt out first, so that Spark can split it.
     """
-    clean = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    now = cut(clean.distinct())
-    while not _stars(now):
+    clean = edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
+    now = cut(contracted(clean))
+    parts = now.count() // LINKS_AT_ONCE + 1
+    now = cut(contracted(now.coalesce(parts)))
+    while parts > 1 and not _stars(now):
         now = cut(_small_star(_large_star(now).distinct()).distinct())
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

@@ -117,6 +117,21 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)}
 
 
+@pytest.mark.parametrize("at_once", [1 << 17, 16])
+def test_few_links_need_no_round_and_more_give_the_same(spark, monkeypatch, at_once):
+    from assetloom.operators import components as module
+
+    rounds, star = [], module._large_star
+    monkeypatch.setattr(module, "LINKS_AT_ONCE", at_once)
+    monkeypatch.setattr(module, "_large_star", lambda edges: rounds.append(1) or star(edges))
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(100)]
+    got = {r.node: r.root for r in module.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
+    want = dict(zip(*map(np.ndarray.tolist, module.star_links(*map(np.array, zip(*[e for e in edges if e[0] != e[1]], strict=True)))), strict=True))
+    assert got == {x: want.get(x, x) for e in edges if e[0] != e[1] for x in e}
+    assert bool(rounds) == (at_once == 16)
+
+
 @pytest.mark.parametrize("crowded", [64, 2])
 def test_pipeline_stage_leaves_no_near_copies(spark, documents, odd, monkeypatch, crowded):
     import corpus_pipeline
