@@ -16,10 +16,11 @@ after, and closes with, an end token, which is a class of its own.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 from functools import partial
-from itertools import compress
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -238,12 +239,26 @@ def cluster(bigrams: DataFrame, size: int, classes: int = CLASSES, rounds: int =
 
 
 class Places(dict):
-    """Numbers words in the order in which they are first asked for."""
+    """Numbers words, so that each token is looked up once: core words by unit, then the others in the order in which they are first asked for."""
+
+    def __init__(self, units: Units):
+        super().__init__((w, i) for w, i in units.items() if i <= units.core)
+        self.core, self.units = units.core, array("q", range(units.core + 1))
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = place = len(self)
+        self[word] = place = len(self.units)
+        self.units.append(1 + self.core + ending(word))
         return place
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def unit(self, numbers: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.units, dtype=np.int64)[numbers]
+
+    def others(self) -> list[str]:
+        return [w.decode(errors="replace") for w in islice(self, self.core, None)]
+
 
 def _binaries(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """Binary values of the given lengths out of consecutive bytes."""
@@ -254,29 +269,29 @@ def _binaries(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
 def _profile_batches(batches, state):
     """(word, sides): for each word that is not core, two bytes an occurrence, the classes before and after."""
     units, of_unit = state.value
-    places, found, sides, waiting = Places(), [], [], 0
+    places, found, sides, waiting = Places(units), [], [], 0
 
     def flush():
+        nonlocal places
         at = np.concatenate(found or [np.zeros(0, np.int64)])
         around = np.concatenate(sides or [np.zeros((0, 2), np.uint8)])
         order = np.argsort(at, kind="stable")
-        words = pa.array([w.decode(errors="replace") for w in places], pa.string())
-        out = pa.RecordBatch.from_arrays([words, _binaries(around[order].reshape(-1), 2 * np.bincount(at, minlength=len(places)))], ["word", "sides"])
-        for x in (places, found, sides):
+        words = pa.array(places.others(), pa.string())
+        out = pa.RecordBatch.from_arrays([words, _binaries(around[order].reshape(-1), 2 * np.bincount(at, minlength=len(words)))], ["word", "sides"])
+        places = Places(units)
+        for x in (found, sides):
             x.clear()
         return out
 
     for batch in _slices(batches):
         for raw in _texts(batch, 0):
-            words = words_of(raw)
-            unit = _units_of(units, words)
-            other = unit > units.core
-            classes = np.concatenate([[END], of_unit[unit], [END]]).astype(np.uint8)
-            at = np.flatnonzero(other)
-            found.append(np.fromiter(map(places.__getitem__, compress(words, other.tolist())), dtype=np.int64, count=len(at)))
+            number = places.numbers(words_of(raw))
+            classes = np.concatenate([[END], of_unit[places.unit(number)], [END]]).astype(np.uint8)
+            at = np.flatnonzero(number > units.core)
+            found.append(number[at] - (units.core + 1))
             sides.append(np.stack([classes[at], classes[at + 2]], axis=1))
             waiting += len(at)
-            if len(places) > _PENDING or waiting > _TOKENS:
+            if len(places) - units.core > _PENDING or waiting > _TOKENS:
                 yield flush()
                 waiting = 0
     yield flush()
@@ -348,12 +363,12 @@ class Model:
         out = np.log10((n + 0.5) / (self.tokens_in + 0.5 * (self.types_in + 1))[of])
         return np.where(of == END, 0.0, out)
 
-    def core_part(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int, float, float]:
-        """(class bytes, whether each token is another word, n_known, base_score, emission) without the other words' counts.
+    def core_part(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, float, float]:
+        """(class bytes, whether each token is another word, n_known, base_score, emission) of a text's units without the other words' counts.
 
         An other word with training count n adds log10(n + 0.5) to the base score, and 1 to n_known if n > 0.
         """
-        unit = np.concatenate([_units_of(self.units, words), [END]])
+        unit = np.concatenate([unit, [END]])
         of, other = self.of_unit[unit], unit > self.units.core
         n = self.core_n[unit[~other]]
         base = np.log10(n + 0.5).sum() - len(unit) * np.log10(self.tokens + 0.5 * (self.types + 1))
@@ -401,23 +416,23 @@ def _prepare_batches(batches, sent, block_tokens):
     """Documents with the places of their other words in the block's list of words; the list is a row of its own."""
     from pyspark import TaskContext
 
-    model, block, places, held = sent.value, TaskContext.get().partitionId() << 32, Places(), 0
+    model, block, held = sent.value, TaskContext.get().partitionId() << 32, 0
+    places = Places(model.units)
 
     def word_list():
-        listed = [w.decode(errors="replace") for w in places]
-        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([listed], pa.list_(pa.string())), *(pa.nulls(1, f.type) for f in list(_PREPARED_ARROW)[2:])], schema=_PREPARED_ARROW)
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([places.others()], pa.list_(pa.string())), *(pa.nulls(1, f.type) for f in list(_PREPARED_ARROW)[2:])], schema=_PREPARED_ARROW)
 
     for batch in _slices(batches):
         rows = []
         for doc_id, raw in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
-            words = words_of(raw)
-            classes, other, n_known, base, score = model.core_part(words)
-            at = np.fromiter(map(places.__getitem__, compress(words, other[:-1].tolist())), dtype=np.int32)
-            rows.append((block, None, doc_id, len(words) + 1, n_known, base, score, classes.tobytes(), at))
-            held += len(words) + 1
-            if len(places) >= BLOCK_WORDS or held >= block_tokens:
+            number = places.numbers(words_of(raw))
+            classes, other, n_known, base, score = model.core_part(places.unit(number))
+            at = (number[other[:-1]] - (places.core + 1)).astype(np.int32)
+            rows.append((block, None, doc_id, len(number) + 1, n_known, base, score, classes.tobytes(), at))
+            held += len(number) + 1
+            if len(places) - places.core >= BLOCK_WORDS or held >= block_tokens:
                 yield word_list()
-                block, places, held = block + 1, Places(), 0
+                block, places, held = block + 1, Places(model.units), 0
         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, _PREPARED_ARROW, strict=True)], schema=_PREPARED_ARROW)
     yield word_list()
 

@@ -132,6 +132,18 @@ def test_few_links_need_no_round_and_more_give_the_same(spark, monkeypatch, at_o
     assert bool(rounds) == (at_once == 16)
 
 
+def test_places_ask_for_each_ending_once_and_give_the_units(monkeypatch):
+    units, asked, ending = brown.Units([b"the", b"of"]), [], brown.ending
+    words = b"the cat of the hat sat of a cat cat".split()
+    want = [units[w] for w in words]
+    monkeypatch.setattr(brown, "ending", lambda w: asked.append(w) or ending(w))
+    places = brown.Places(units)
+    numbers = places.numbers(words)
+    assert places.unit(numbers).tolist() == want
+    assert asked == [b"cat", b"hat", b"sat", b"a"] and places.others() == ["cat", "hat", "sat", "a"]
+    assert numbers.tolist() == [1, 3, 2, 1, 4, 5, 2, 6, 3, 3]
+
+
 @pytest.mark.parametrize("crowded", [64, 2])
 def test_pipeline_stage_leaves_no_near_copies(spark, documents, odd, monkeypatch, crowded):
     import corpus_pipeline
