@@ -193,6 +193,38 @@ def test_grid_of_the_pipeline_stage_meets_every_pair_within_its_radius():
     assert len(np.unique(np.concatenate(unlike))) == sum(map(len, unlike))
 
 
+def test_differences_of_near_copies_share_as_many_sequences_as_said():
+    """Pairs at 0.8, both not near a third set: the differences from it share at least ``shared_at_least`` of either."""
+    rng, met = np.random.default_rng(11), 0
+    for _ in range(4000):
+        n = int(rng.integers(5, 120))
+        led = np.unique(rng.integers(0, 400, n))
+        a = np.unique(np.concatenate([rng.permutation(led)[int(rng.integers(0, n // 3 + 1)) :], rng.integers(400, 500, int(rng.integers(0, n // 3 + 1)))]))
+        b = np.unique(np.concatenate([rng.permutation(a)[int(rng.integers(0, n // 6 + 1)) :], rng.integers(400, 500, int(rng.integers(0, n // 6 + 1)))]))
+        if nearcopies.similarity(a, b) < 0.8 - 1e-12 or max(nearcopies.similarity(a, led), nearcopies.similarity(b, led)) >= 0.8 - 1e-12:
+            continue
+        apart = [np.setxor1d(x, led) for x in (a, b)]
+        assert len(np.intersect1d(*apart)) >= max(nearcopies.shared_at_least(len(d), len(x), len(led)) for d, x in zip(apart, (a, b), strict=True))
+        met += 1
+    assert met > 300
+
+
+def test_crowded_near_copies_leave_one_and_texts_apart_stay(spark, monkeypatch):
+    """A text, 200 edits of it that are near none, 50 near copies of it and 40 of one edit: all held together by common sequences."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    edited = lambda words, n: [f"e{rng.integers(0, 1 << 40)}" if i in gone else w for gone in [set(rng.permutation(len(words))[:n].tolist())] for i, w in enumerate(words)]
+    base = [f"w{rng.integers(0, 1 << 40)}" for _ in range(800)]
+    far = edited(base, 30)
+    texts = [base, *(edited(base, 22) for _ in range(200)), *(edited(base, 3) for _ in range(50)), *(edited(far, 2) for _ in range(40))]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(nearcopies, "CROWDED", 16)
+    left = sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect())
+    assert len(left) == 202 and {*range(1, 201)} < {*left}
+    assert sum(x in (0, *range(201, 251)) for x in left) == 1 and sum(x > 250 for x in left) == 1
+
+
 # --- personal data
 
 def base_spans(text):
