@@ -51,3 +51,25 @@ def test_driver_contract():
 
     assert catalog.QUERIES.items() <= entry.queries().items() and catalog.ORACLE_SQL.items() <= entry.oracle_sql().items()
     assert os.path.exists(entry.__file__)
+
+
+@pytest.fixture(scope="module")
+def odd_texts(spark, tmp_path_factory):
+    """Texts without characters or with an unknown length, with and without labels, beside plain ones."""
+    to = tmp_path_factory.mktemp("odd")
+    texts = [("", 0), ("abc", 0), (None, 0), (None, 300), ("a b c", None), (None, None), ("abc. " * 60, 300), ("12 ab", 5)]
+    docs = [(100 * labelled + i, t, ["en", "de"][i % 2], "s" if i % 3 else "r", n) for labelled in (0, 1) for i, (t, n) in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{to}/documents.parquet")
+    spark.createDataFrame([(100 + i, i % 2, int(i == 6)) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(f"{to}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{to}/{t}.parquet/*.parquet'")
+    return str(to), con
+
+
+@pytest.mark.parametrize("name", "accept_all_ready batch_summary batch_summary_total build_summary cards_order eval_by_category eval_by_verdict eval_summary labelling_stats report_order threshold_sweep verdict_filter verdict_routing".split())
+def test_texts_without_characters(spark, odd_texts, name):
+    path, con = odd_texts
+    df = catalog.QUERIES[name](spark, path)
+    want = con.execute(f"select {', '.join(f'"{c}"' for c in df.columns)} from ({catalog.ORACLE_SQL[name]})").fetchall()
+    assert rows(df.collect()) == rows(want) and want
