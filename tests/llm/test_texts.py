@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from assetloom.llm import brown, decontaminate, mixing, nearcopies, pii, quality, registry, sharding, simhash, tokencount
+from assetloom.operators.components import star_links
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, fp string, word string"
 ODD = [None, "", " \n\t", "one", "two words", "A b\u00a0c", "x" * 5000, "é" * 300 + " " + "y z " * 2000, "7" * 4000, "+" * 3000, "same text here", "same text here"]
@@ -225,6 +226,52 @@ def test_crowded_near_copies_leave_one_and_texts_apart_stay(spark, monkeypatch):
     assert sum(x in (0, *range(201, 251)) for x in left) == 1 and sum(x > 250 for x in left) == 1
 
 
+def test_crowded_near_copies_leave_one_of_each_chain(spark, monkeypatch):
+    """Texts that drift away from one another: whoever is near a leader may be the only way on to those that are not."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(nearcopies, "CROWDED", 4)
+    rng = np.random.default_rng(13)
+    base = [f"w{rng.integers(0, 1 << 40)}" for _ in range(400)]
+    texts = [base]
+    for i in range(120):
+        words = list(texts[-1] if i % 30 and i > 60 else texts[int(rng.integers(0, len(texts)))])
+        for k in rng.permutation(300)[: int(rng.integers(2, 10))]:
+            words[k] = f"e{rng.integers(0, 1 << 40)}"
+        texts.append(words)
+    texts = [" ".join(x) for x in texts]
+    sets = [nearcopies.shingles(t.encode()) for t in texts]
+    edges = [(i, j) for j in range(len(sets)) for i in range(j) if nearcopies.similarity(sets[i], sets[j]) >= 0.8 - 1e-12]
+    nodes, roots = (x.tolist() for x in star_links(*map(np.array, zip(*[(i, j) for i, j in edges], strict=True))))
+    root = dict(zip(nodes, roots, strict=True))
+    groups = {root.get(i, i) for i in range(len(texts))}
+    assert 1 < len(groups) < 20 and len(edges) < len(texts) ** 2 / 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = [r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()]
+    assert sorted(root.get(i, i) for i in left) == sorted(groups)
+
+
+def test_a_near_copy_of_a_leader_joins_texts_that_are_not(spark, monkeypatch):
+    """60 texts near one text only, which is near the leaders of all points that it shares with them, and to which they are not."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(nearcopies, "CROWDED", 16)
+    monkeypatch.setattr(nearcopies, "SAMPLE", 1)
+    rng = np.random.default_rng(14)
+    base = [f"w{rng.integers(0, 1 << 40)}" for _ in range(800)]
+    edit = lambda places: {int(k): f"e{rng.integers(0, 1 << 40)}" for k in places}
+    ours, theirs = edit((25, 35)), edit(range(42, 100, 6))
+    edits = [{}, ours | theirs, ours | edit([8])]  # leaders, and the text that joins
+    edits += [ours | edit(rng.permutation(70)[:16] * 8 + 120) for _ in range(60)] + [theirs | edit([710 + k]) for k in range(30)]
+    texts = [" ".join(e.get(k, w) for k, w in enumerate(base)) for e in edits]
+    sets = [nearcopies.shingles(t.encode()) for t in texts]
+    near = [[nearcopies.similarity(a, b) >= 0.8 for b in sets] for a in sets]
+    assert all(near[0][k] and near[1][k] for k in (0, 1, 2, *range(63, 93)))
+    assert all([j for j in range(93) if near[k][j]] == [2, k] for k in range(3, 63))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert corpus_pipeline.keep_one_of_each(spark, docs, "").count() == 1
+
+
 # --- personal data
 
 def base_spans(text):
